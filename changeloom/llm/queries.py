@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_ans
+from . import hnsw, minhash_mih, packing, token_ans
 from .common import read
 
 
@@ -18,5 +18,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), end_id=1, sequence_length=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ans, op6_packing)}
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_mih.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ans, op6_packing, op7_hnsw, op9_minhash_mih)}
 ORACLE_SQL: dict[str, str] = {}
