@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, minhash_mih, packing, token_ans
+from . import hnsw, line_dedup, minhash_mih, packing, token_ans
 from .common import read
 
 
@@ -22,9 +22,13 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_minhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_mih.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ans, op6_packing, op7_hnsw, op9_minhash_mih)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ans, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih)}
 ORACLE_SQL: dict[str, str] = {}
