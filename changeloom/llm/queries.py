@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, line_dedup, minhash_mih, packing, token_ans
+from . import decontaminate, hnsw, line_dedup, minhash_mih, packing, token_ans
 from .common import read
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_ans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ans.encode_corpus(read(spark, sf_dir, "documents"), end_id=0)
 
@@ -30,5 +34,5 @@ def op9_minhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_mih.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_ans, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontaminate, op4_token_ans, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih)}
 ORACLE_SQL: dict[str, str] = {}
