@@ -246,7 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for batch in slices(batches, "text", 12 << 20):
             if writer is None:
                 store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(name)
+                sink = store.open_output_stream(name, compression=None)
                 writer = TokenFileWriter(sink)
             ids, at = with_end(*encoder(path).encode(batch["text"]), end_id)
             writer.add(batch["doc_id"].cast(pa.int64()), ids, np.diff(at))
