@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hnsw, line_dedup, minhash_mih, packing, secret_scan, token_ans, warc_bundles
+from . import chat_format, decontaminate, hnsw, line_dedup, minhash_mih, packing, quality_mil, secret_scan, token_ans, warc_bundles
 from .common import read
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive(read(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_bundles, op3_decontaminate, op4_token_ans, op5_secret_scan, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_warc_bundles, op3_decontaminate, op4_token_ans, op5_secret_scan, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {
     "op10_chat_format": r"""
         WITH turns AS (
