@@ -118,14 +118,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near."""
+    """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near (replacing columns of these names)."""
     gone = held(find_repeats(docs))
     per_doc = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone_lines"), F.countDistinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     # the bound is on the lines in all lists
     per_doc = (F.broadcast(per_doc) if gone.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_t")), "left").withColumn("parts", F.split(docs["text"], "\n"))
+    # whole rows in a struct, so that no name can clash
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("parts", F.split("doc.text", "\n"))
+    joined = rows.join(per_doc, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc.text") == F.col("gone_t")), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone_lines"), lambda i: F.get("parts", i))
-    text = F.when(F.col("gone_lines").isNull() | docs["text"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("gone_lines").isNull() | F.col("doc.text").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
     n_gone, n_near = F.coalesce(F.size("gone_lines"), F.lit(0)), F.coalesce("n_near", F.lit(0))
-    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size("parts"))
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.when(n_gone > 0, n_gone - n_near).otherwise(0).cast("long").alias("n_exact"), n_near.cast("long").alias("n_near"))
+    n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("parts"))
+    own = [(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
+    return joined.select(*own, n_lines.cast("long").alias("n_lines"), F.when(n_gone > 0, n_gone - n_near).otherwise(0).cast("long").alias("n_exact"), n_near.cast("long").alias("n_near"))
