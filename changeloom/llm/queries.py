@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, hnsw, line_dedup, minhash_mih, packing, quality_mil, secret_scan, token_ans, warc_bundles
 from .common import read
+from .oracle import ORACLE_SQL
 
 
 def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,18 +59,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_warc_bundles, op3_decontaminate, op4_token_ans, op5_secret_scan, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {
-    "op10_chat_format": r"""
-        WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-        ), sized AS (
-            SELECT *, length('### ' || role || ': ' || regexp_replace(text, '(\\*)(### |</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10)) AS chars FROM turns
-        )
-        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(chars) AS BIGINT) AS formatted_chars
-        FROM sized GROUP BY conv_id""",
-}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
