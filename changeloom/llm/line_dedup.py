@@ -38,21 +38,26 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """place (doc_id, t, line), h, g (hashes of the compared form) and norm of every line that counts."""
+    """doc_id, t (hash of the text), line, h, g (hashes of the compared form) and norm of every line that counts."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.withColumn("norm", F.trim(F.lower(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")))).where(F.length("norm") >= MIN_CHARS)
-    return lines.select(F.struct("doc_id", "t", "line").alias("place"), F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "norm")
+    lower = F.trim(F.lower("raw"))
+    odd = F.contains("raw", F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains("raw", F.lit(c))
+    # the pattern is slow, and few lines need it
+    lines = lines.withColumn("norm", F.when(odd, F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))).otherwise(lower)).where(F.length("norm") >= MIN_CHARS)
+    return lines.select("doc_id", "t", "line", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "norm")
 
 
 def _half_keys() -> Column:
-    """(side, key): first and second half of the line, cut as for its length and for one character less."""
+    """First and second half of the line, cut as for its length, then as for one character less (hashes)."""
     n = F.length("norm")
     out = []
     for size in (n, n - 1):
         half = F.floor(size / 2).cast("int")
-        out.append(F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), size, F.substring("norm", F.lit(1), half)).alias("key")))
-        out.append(F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(1), size, F.substring("norm", n - (size - half) + 1, size - half)).alias("key")))
-    return F.explode(F.array(*out))
+        out.append(F.xxhash64(F.lit(0), size, F.substring("norm", F.lit(1), half)))
+        out.append(F.xxhash64(F.lit(1), size, F.substring("norm", n - (size - half) + 1, size - half)))
+    return F.array(*out)
 
 
 def deletion_hashes(text: str) -> tuple[int, np.ndarray]:
@@ -73,48 +78,59 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at, rows = [], [], []
         columns = (batch["norm"].to_pylist(), batch["first_half"].to_pylist(), batch["second_half"].to_pylist())
         for row, (text, first, second) in enumerate(zip(*columns, strict=True)):
-            own, less = deletion_hashes(text)
+            _, less = deletion_hashes(text)
             n = len(text)
             lo, hi = (0 if second else (n - 1) // 2), (n if first else n // 2 + 1)
-            keys.append(np.concatenate([np.array([own], np.uint64), less[lo:hi]]))
-            at.append(np.concatenate([[-1], np.arange(lo, hi)]))
-            rows.append(np.full(len(keys[-1]), row))
-        row = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(at).astype(np.int32)), *(batch[c].take(row) for c in ("h", "g"))], ["variant", "at", "h", "g"])
+            keys.append(less[lo:hi])
+            at.append(np.arange(lo, hi, dtype=np.int32))
+            rows.append(np.full(hi - lo, row))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(at)), batch["h"].take(pa.array(np.concatenate(rows)))], ["variant", "at", "h"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = np.array([deletion_hashes(t)[0] for t in batch["norm"].to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(own)), batch["h"]], ["variant", "shorter"])
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """place and near of every line that goes (near: no earlier line is equal, one is within an edit)."""
+    """doc_id, t, line and near of every line that goes (near: an earlier line is within an edit)."""
     lines = _lines(docs)
-    where = held(lines.drop("norm"))
-    first = where.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    where = held(lines.select("doc_id", "t", "line", "h", "g", _half_keys().alias("halves")))
+    place = F.struct("doc_id", "t", "line")
 
-    # lines that share a half with another line
-    halves = lines.select("h", "g", _half_keys().alias("half")).select("h", "g", "half.*")
+    # lines that share a half with another line, and which: the edit is in the other one
+    halves = where.select("h", "g", F.posexplode("halves").alias("side", "key"))
     shared = held(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    likely = held(halves.join(bounded_broadcast(shared, BROADCAST_ROWS), "key", "left_semi").groupBy("h", "g").agg(F.max(F.col("side") == 0).alias("first_half"), F.max(F.col("side") == 1).alias("second_half")))
-    texts = held(lines.select("h", "g", "norm").join(bounded_broadcast(likely, BROADCAST_ROWS), ["h", "g"]).dropDuplicates(["h", "g"]))
-    places = held(first.join(likely, ["h", "g"], "left_semi").select("h", "g", "place"))
-
-    # an order number would do, but places are their own order: each group passes on its earliest
-    variants = held(texts.mapInArrow(_variants, "variant long, at int, h long, g int").join(places, ["h", "g"]).withColumn("who", F.struct("place", "h", "g")).select("variant", "at", "who"))
-    less = variants.where("at >= 0")
-    swaps = less.groupBy("variant", "at").agg(F.min("who").alias("best"), F.max("who").alias("last")).where("best <> last").drop("last")
-    swaps = less.join(swaps, ["variant", "at"]).select("who", "best")
-    whole = variants.where("at < 0").select("variant", F.col("who").alias("shorter"))
-    inserts = less.select("variant", "who").distinct().join(whole, "variant")
-    found = swaps.union(inserts.select("who", F.col("shorter").alias("best"))).union(inserts.select(F.col("shorter").alias("who"), F.col("who").alias("best")))
-    near = found.groupBy("who").agg(F.min("best").alias("best")).where(F.col("best.place") < F.col("who.place"))
-    near = near.select("who.h", "who.g", F.col("best.h").alias("bh"), F.col("best.g").alias("bg"))
+    likely = held(halves.join(bounded_broadcast(shared, BROADCAST_ROWS), "key", "left_semi").groupBy("h", "g").agg(F.max(F.col("side") % 2 == 0).alias("first_half"), F.max(F.col("side") % 2 == 1).alias("second_half")))
+    some = bounded_broadcast(likely, BROADCAST_ROWS)
+    texts = lines.select("h", "g", "norm").join(some, ["h", "g"]).dropDuplicates(["h", "g"])
+    places = where.join(some.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min(place).alias("place"))
+    texts = held(texts.join(places, ["h", "g"]))
+
+    # variants are many and cheap: made twice, never kept. First those that lines share, then who has them
+    less = texts.mapInArrow(_variants, "variant long, at int, h long")
+    common = held(less.groupBy("variant", "at").agg(F.count("*").alias("n")).where("n > 1").select("variant", "at"))
+    whole = held(texts.mapInArrow(_whole, "variant long, shorter long"))
+    hits = less.join(bounded_broadcast(common.withColumn("swap", F.lit(True)), BROADCAST_ROWS), ["variant", "at"], "left").join(bounded_broadcast(whole, BROADCAST_ROWS), "variant", "left")
+    hits = held(hits.where("swap or shorter is not null"))
+
+    # each group passes on its earliest line only
+    who = texts.select("h", F.struct("place", "h").alias("who"))
+    swaps = hits.where("swap").select("variant", "at", "h").join(who, "h")
+    swaps = swaps.join(swaps.groupBy("variant", "at").agg(F.min("who").alias("best")), ["variant", "at"]).select("who", "best")
+    inserts = hits.where("shorter is not null").select("h", "shorter").distinct().join(who, "h").join(who.select(F.col("h").alias("shorter"), F.col("who").alias("other")), "shorter")
+    found = swaps.union(inserts.select("who", "other")).union(inserts.select("other", "who"))
+    near = found.groupBy("who").agg(F.min("best").alias("best")).where(F.col("best.place") < F.col("who.place")).select("who.h", F.col("best.h").alias("bh"))
     text = texts.select("h", "g", "norm")
-    near = near.join(text, ["h", "g"]).join(text.withColumnsRenamed({"h": "bh", "g": "bg", "norm": "other"}), ["bh", "bg"])
-    near = near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g", F.lit(True).alias("near"))
+    near = near.join(text, "h").join(text.select(F.col("h").alias("bh"), F.col("norm").alias("other")), "bh")
+    near = bounded_broadcast(held(near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g", F.lit(True).alias("near"))), BROADCAST_ROWS)
 
+    first = where.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
     going = first.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near")
-    going = bounded_broadcast(held(going.select("h", "g", F.col("place").alias("kept_place"), "near")), BROADCAST_ROWS)
+    going = bounded_broadcast(held(going.select("h", "g", "kept", "near")), BROADCAST_ROWS)
     # a struct with a null doc_id equals itself only null-safely
-    gone = where.join(going, ["h", "g"]).where(F.col("near") | ~F.col("place").eqNullSafe(F.col("kept_place")))
-    return gone.select("place.doc_id", "place.t", "place.line", "near")
+    return where.join(going, ["h", "g"]).where(F.col("near") | ~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "line", "near")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
