@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import batch_key
 from ..functions.positions import highest
-from . import transactions
 
 
 def numbered(rows: DataFrame, order: str, bucket: Column) -> DataFrame:
@@ -45,9 +44,9 @@ def payloads(batches: DataFrame, by: str, key: str = "idempotency_key", tx: str
 
 def statistics(log: DataFrame, tx: str = "transaction_id") -> DataFrame:
     """One row: events submitted, delivered with their transaction, delivered alone, and transactions still open."""
-    per_tx = transactions.marks(log, tx)
-    alone = log.where(F.col(tx).isNull()).agg(F.count("*").alias("loose"))
-    whole = F.col("begun") & F.col("committed")
-    own = per_tx.agg(F.sum("events").alias("all"), F.sum(F.when(whole, F.col("events")).otherwise(0)).alias("tx_events_delivered"), F.sum(F.when(~F.col("begun"), F.col("events")).otherwise(0)).alias("orphaned"), F.count_if(F.col("begun") & ~F.col("committed")).alias("pending_transactions"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return own.crossJoin(alone).select((zero("all") + F.col("loose")).alias("events_submitted"), zero("tx_events_delivered").alias("tx_events_delivered"), (zero("orphaned") + F.col("loose")).alias("non_tx_events"), F.col("pending_transactions").cast("bigint"))
+    has = lambda kind: F.max(F.col("kind") == kind)
+    # loose events are the group without a transaction
+    per_tx = log.groupBy(tx).agg(F.count("*").alias("events"), has("tx_begin").alias("begun"), has("tx_commit").alias("committed"))
+    whole, begun, loose = F.col("begun") & F.col("committed"), F.col("begun"), F.col(tx).isNull()
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("events"))), F.lit(0)).cast("bigint")
+    return per_tx.agg(total(F.lit(True)).alias("events_submitted"), total(whole & ~loose).alias("tx_events_delivered"), total(~begun | loose).alias("non_tx_events"), F.count_if(begun & ~F.col("committed") & ~loose).alias("pending_transactions"))
