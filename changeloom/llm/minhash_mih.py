@@ -10,9 +10,8 @@ in 16 of 64 symbols on average; more than 31 has a chance of some 1e-5.)
 
 What meets is confirmed on the full sets. Documents with equal sets are one class
 first. Within a key no pairs are made at first: members are compared with the
-one that shares most keys with others, then what is still apart with the
-best of the other components there; only pairs of different components that
-remain are compared one by one, so that no link between components is lost.
+heaviest there, which shares most keys with others. What shares keys and still lies in different
+components is compared block by block, so that no link between components is lost.
 
 Rows with null or empty texts, or texts of white space, have an empty set and are
 linked with nothing. Rows that repeat a doc_id are compared each by itself. A
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ from .components import connected_components
 
 SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 31
 WORDS, PERCENT = 5, 75
+BLOCK = 256  # nodes compared with as many at a time
 BROADCAST_ROWS = 500_000  # of one long each
 
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -149,61 +150,94 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = held(docs.mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, symbols binary").withColumn("row", F.monotonically_increasing_id()))
     same = ["s1", "s2", "n_shingles"]
     classes = held(rows.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("row", "symbols", "doc_id")).alias("first"), F.min("doc_id").alias("least")).select(*same, F.col("first.row").alias("node"), F.col("first.symbols").alias("symbols"), F.col("first.doc_id").alias("doc_id"), "least"))
-    links = held(_links(docs, classes))
-    roots = connected_components(links)
-    joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select(*same, "component_id")
+    roots, merged = _components(docs, classes)
+    own = classes.join(bounded_broadcast(roots, BROADCAST_ROWS), "node", "left").select(*same, "least", F.coalesce("root", "node").alias("label"))
+    own = own.join(bounded_broadcast(merged, BROADCAST_ROWS).withColumnRenamed("root", "top"), F.col("label") == F.col("node"), "left").select(*same, "least", F.coalesce("top", "label").alias("root"))
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = own.join(least, "root").select(*same, "component_id")
     out = rows.join(named, same, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) of classes: enough of them for all connections."""
+def _components(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of classes that are linked, and (node, root) of those roots that further links merge."""
     keys = classes.select("node", "symbols", "n_shingles").mapInArrow(_keys, "key long, node long, n_shingles long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = held(keys.join(shared, "key"))
-    weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
-    met = held(met.join(weight, "node").select("key", "node", "n_shingles", "weight"))
-
-    nodes = met.select("node").distinct()
-    ids = classes.join(nodes, "node", "left_semi").select("doc_id").distinct()
-    ids = bounded_broadcast(held(ids), BROADCAST_ROWS).withColumnRenamed("doc_id", "wanted")
+    # tables of a few longs a row are broadcast up to a counted bound, and shuffled beyond it
+    few = lambda df: bounded_broadcast(held(df), BROADCAST_ROWS)
+    met = held(keys.join(few(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key"))
+    nodes = few(met.groupBy("node").agg(F.sum("members").alias("weight")))
+    met = met.join(nodes, "node").select("key", "node", "n_shingles", "weight")
+    wanted = few(classes.join(nodes, "node", "left_semi").select("s1", "s2", "n_shingles", "node", "doc_id"))
+    ids = few(wanted.select(F.col("doc_id").alias("wanted")).distinct())
     sets = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").mapInArrow(_sets, "n_shingles long, s1 long, s2 long, shingles array<long>")
-    sets = held(sets.join(classes.join(nodes, "node", "left_semi").select("s1", "s2", "n_shingles", "node"), ["s1", "s2", "n_shingles"]).dropDuplicates(["node"]).select("node", "shingles"))
+    sets = held(sets.join(wanted.drop("doc_id"), ["s1", "s2", "n_shingles"]).dropDuplicates(["node"]).select("node", "shingles"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs with ``linked``: 100 times the intersection is at least PERCENT times the union."""
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+        both = few(pairs).join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         return held(both.select("a", "b", (100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).alias("linked")))
 
-    def likely(x: str, y: str):
-        return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    # each node with the heaviest one that it meets: in a group of near copies mostly their common source
+    best = few(met.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("best")))
+    likely = 100 * F.least("n_shingles", "best.n_shingles") >= PERCENT * F.greatest("n_shingles", "best.n_shingles")
+    pairs = met.join(best, "key").where((F.col("node") != F.col("best.node")) & likely).groupBy("node").agg(F.max("best").alias("best"))
+    linked = confirmed(pairs.select(F.col("node").alias("a"), F.col("best.node").alias("b"))).where("linked")
+    roots = held(connected_components(linked))
+    labelled = met.join(bounded_broadcast(roots, BROADCAST_ROWS), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    apart = held(labelled.join(few(several), "key", "left_semi"))
+    return roots, held(connected_components(_between(apart, sets)))
 
-    def with_best(group: DataFrame) -> DataFrame:
-        """Pairs of each row with the heaviest one under its key."""
-        best = group.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles", "label")).alias("best"))
-        pairs = group.join(best, "key").where((F.col("node") != F.col("best.node")) & (F.col("label") != F.col("best.label")) & likely("n_shingles", "best.n_shingles"))
-        return pairs.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
 
-    def labelled(links: DataFrame) -> DataFrame:
-        found = met.join(connected_components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        several = found.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return held(found.join(several, "key", "left_semi"))
+def _between(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between labels, found by all their nodes that have keys in common.
 
-    tested = confirmed(with_best(met.withColumn("label", F.col("node"))))
-    apart = labelled(tested.where("linked"))
-    heads = apart.groupBy("key", "label").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("head")).select("key", "label", "head.*")
-    tested = tested.union(confirmed(with_best(heads).join(tested, ["a", "b"], "left_anti")))
-    apart = labelled(tested.where("linked"))
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & likely("x.n_shingles", "y.n_shingles"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return tested.union(confirmed(rest)).where("linked").select("a", "b")
+    Nodes with common keys, directly or by others, are a cluster. All that lie outside of
+    its largest label are compared with the whole cluster, a block of nodes with a block at a
+    time, so that tasks are alike and only links are rows.
+    """
+    few_rows = lambda df: bounded_broadcast(held(df), BROADCAST_ROWS)
+    hub = few_rows(apart.groupBy("key").agg(F.min("node").alias("b")))
+    clusters = connected_components(apart.select("key", F.col("node").alias("a")).join(hub, "key")).withColumnRenamed("root", "cluster")
+    nodes = held(apart.select("node", "label").distinct().join(few_rows(clusters), "node"))
+    by_label = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    shape = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    shape = shape.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few_blocks"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"))
+    nodes = few_rows(nodes.join(few_rows(shape), "cluster")).join(sets, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key = ["cluster", "x", "y"]
+    few = nodes.where("label <> top").select("cluster", block(F.col("few_blocks")).alias("x"), each("all_blocks").alias("y"), "label", "shingles")
+    many = nodes.select(F.col("cluster").alias("cluster_of"), each("few_blocks").alias("x_of"), block(F.col("all_blocks")).alias("y_of"), F.col("label").alias("other_label"), F.col("shingles").alias("other_shingles"))
+    return held(few.groupBy(*key).cogroup(many.groupBy(*[f"{k}_of" for k in key])).applyInPandas(_compare, "a long, b long").distinct())
+
+
+def _compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of labels that a link joins: common shingles are counted along an index of ``many``."""
+    out: list[tuple[int, int]] = []
+    if len(few) and len(many):
+        size = np.array([len(s) for s in many["other_shingles"]])
+        values = np.concatenate(many["other_shingles"].to_list())
+        owner = np.repeat(np.arange(len(many)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        label = many["other_label"].to_numpy()
+        for own_label, shingles in zip(few["label"], few["shingles"], strict=True):
+            lo, hi = np.searchsorted(values, shingles, side="left"), np.searchsorted(values, shingles, side="right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(many))
+            hit = np.flatnonzero((100 * common >= PERCENT * (size + len(shingles) - common)) & (label != own_label))
+            out += [(own_label, x) for x in np.unique(label[hit]).tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without all but the first (smallest doc_id) of each component, columns as they are."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"))
+    """The documents without all but the first (smallest doc_id) of each component, columns as they are.
+
+    Rows that share the first doc_id all stay, and so do rows with a null doc_id.
+    """
+    gone = held(near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")))
+    gone = bounded_broadcast(gone, BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
