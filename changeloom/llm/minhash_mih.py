@@ -35,7 +35,7 @@ from .components import connected_components
 
 SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 31
 WORDS, PERCENT = 5, 75
-BLOCK = 256  # nodes compared with as many at a time
+BLOCK = 1024  # nodes compared with as many at a time
 BROADCAST_ROWS = 500_000  # of one long each
 
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
