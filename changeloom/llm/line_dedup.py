@@ -1,11 +1,13 @@
-"""Lines that repeat earlier lines, exactly or within one edit, by a deletion neighbourhood.
+"""Lines that repeat earlier lines, exactly or within a few edits.
 
 Lines (cut at newlines) are compared in lower case with runs of white space as one
 space; those of fewer than ``MIN_CHARS`` characters are left alone. A line goes if it
-is not the first of its equals, or if an earlier line is within one insertion,
-deletion or substitution of a character ("earlier": by doc_id, then line number).
+is not the first of its equals, or if an earlier line is within ``edits`` insertions,
+deletions or substitutions of a character ("earlier": by doc_id, then line number).
+The default, which the SQL has too, is one edit. With more, the bound of two lines grows with
+the shorter one: an edit for each ``MIN_CHARS`` characters, up to ``edits``.
 
-Two lines within one edit share a variant: the line itself or the line less
+One edit goes by a deletion neighbourhood. Two lines within one edit share a variant: the line itself or the line less
 one character. With one edit, lines that lost a character at the same position
 and became equal are all within one substitution of each other, and a variant that is a
 line itself is one insertion from all that became it. So each group of equal
@@ -15,6 +17,10 @@ only lines that share a half (at the lengths in question) with another line
 emit variants, and only of the other half. What is found is verified by
 edit distance.
 
+More edits go by pieces: of k + 1 pieces of the shorter line, k edits leave one as it
+is in the longer line, shifted by no more than the edits before and after it. Lines that share a
+piece at such a place are paired and verified by edit distance.
+
 Null texts stay null and empty texts empty, without lines that count. A null doc_id comes
 first. Rows equal in doc_id and text are one document; rows that share a doc_id but differ in
 text are ordered by the text's hash. Extra columns stay as they are.
@@ -93,12 +99,61 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(own)), batch["h"]], ["variant", "shorter"])
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, t, line and near of every line that goes (near: an earlier line is within an edit)."""
-    lines = _lines(docs)
-    where = held(lines.select("doc_id", "t", "line", "h", "g", _half_keys().alias("halves")))
-    place = F.struct("doc_id", "t", "line")
-
+def piece_keys(texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, key and own of the pieces of each text (own), and of what may be a piece of a text as long or shorter."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = np.array([len(t) for t in texts], np.int64)
+    off = np.cumsum(n) - n
+    rows, keys, own = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    with np.errstate(over="ignore"):
+        power, inverse = np.full(len(c), _BASE, np.uint64), np.full(len(c) + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
+        power[:1] = inverse[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(inverse, out=inverse)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c + np.uint64(1)) * power, dtype=np.uint64)])
+        for k in range(1, edits + 1):
+            for less in range(k + 1):  # the other text has so many characters less
+                m = n - less
+                row = np.flatnonzero((m >= MIN_CHARS) & (np.minimum(m // MIN_CHARS, edits) == k))
+                m, at = m[row], off[row]
+                for i in range(k + 1):
+                    lo, hi = m * i // (k + 1), m * (i + 1) // (k + 1)
+                    # as many edits as pieces before this one, or after it, leave an earlier, or later, piece whole
+                    for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
+                        a, b = at + lo + shift, at + hi + shift
+                        rows.append(row)
+                        keys.append(mix((upto[b] - upto[a]) * inverse[a] + mix((m * 64 + i).astype(np.uint64))))
+                        own.append(np.full(len(row), less == shift == 0))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
+
+
+def _near_by_pieces(lines: DataFrame, edits: int) -> DataFrame:
+    """h and g of the lines (of ``MIN_CHARS`` characters at least) that have an earlier line within the bound."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "norm", 1 << 20):
+            row, key, own = piece_keys(batch["norm"].to_pylist(), edits)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(own), batch["h"].take(pa.array(row))], ["key", "own", "h"])
+
+    # keys are many and cheap: made twice, never kept
+    keys = lines.select("h", "norm").mapInArrow(pieces, "key long, own boolean, h long")
+    shared = held(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo <> hi").select("key"))
+    hits = held(keys.join(bounded_broadcast(shared, BROADCAST_ROWS), "key").groupBy("key", "h").agg(F.max("own").alias("own")))
+    pairs = hits.where("own").select("key", F.col("h").alias("a")).join(hits.select("key", F.col("h").alias("b")), "key").where("a <> b")
+    pairs = held(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    some = held(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    texts = lines.join(bounded_broadcast(some, BROADCAST_ROWS), "h").groupBy("h", "g").agg(F.first("norm").alias("norm"), F.min(F.struct("doc_id", "t", "line")).alias("place"))
+    texts = held(texts)
+    one, other = (texts.select(*[F.col(c).alias(f"{side}_{c}" if c != "h" else side) for c in texts.columns]) for side in "ab")
+    both = pairs.join(one, "a").join(other, "b")
+    bound = F.least(F.lit(edits), F.floor(F.least(F.length("a_norm"), F.length("b_norm")) / MIN_CHARS))
+    both = both.where(F.levenshtein("a_norm", "b_norm", edits).between(0, bound))
+    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a").alias("h"), F.col("a_g").alias("g")))
+    return both.select(later.alias("later")).select("later.*").distinct()
+
+
+def _near_by_deletions(lines: DataFrame, where: DataFrame, place: Column) -> DataFrame:
+    """h and g of the lines that have an earlier line within one edit."""
     # lines that share a half with another line, and which: the edit is in the other one
     halves = where.select("h", "g", F.posexplode("halves").alias("side", "key"))
     shared = held(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
@@ -124,7 +179,16 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     near = found.groupBy("who").agg(F.min("best").alias("best")).where(F.col("best.place") < F.col("who.place")).select("who.h", F.col("best.h").alias("bh"))
     text = texts.select("h", "g", "norm")
     near = near.join(text, "h").join(text.select(F.col("h").alias("bh"), F.col("norm").alias("other")), "bh")
-    near = bounded_broadcast(held(near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g", F.lit(True).alias("near"))), BROADCAST_ROWS)
+    return near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g")
+
+
+def find_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """doc_id, t, line and near of every line that goes (near: an earlier line is within the bound)."""
+    lines = _lines(docs)
+    place = F.struct("doc_id", "t", "line")
+    where = held(lines.select("doc_id", "t", "line", "h", "g", *([_half_keys().alias("halves")] if edits == 1 else [])))
+    near = _near_by_deletions(lines, where, place) if edits == 1 else _near_by_pieces(lines, edits)
+    near = bounded_broadcast(held(near.select("h", "g", F.lit(True).alias("near"))), BROADCAST_ROWS)
 
     first = where.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
     going = first.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near")
@@ -133,9 +197,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return where.join(going, ["h", "g"]).where(F.col("near") | ~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "line", "near")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
     """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near (replacing columns of these names)."""
-    gone = held(find_repeats(docs))
+    gone = held(find_repeats(docs, edits))
     per_doc = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone_lines"), F.countDistinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     # the bound is on the lines in all lists
     per_doc = (F.broadcast(per_doc) if gone.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})

@@ -206,6 +206,44 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.without_repeats(documents(spark, rows).limit(0)).count() == 0
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_line_dedup_of_more_edits_equals_all_pairs(spark, edits):
+    rng = random.Random(edits)
+    base = ["the quick brown fox jumps", "a" * 34, "ünïcödé line of some length 漢, and as much again, \U0001f600 as it takes to allow for all edits", "0123456789 " * 6, "short"]
+
+    def edit(s):
+        for _ in range(rng.randrange(6)):
+            k, c = rng.randrange(len(s)), rng.choice("aé x")
+            s = rng.choice([s[:k] + s[k + 1 :], s[:k] + c + s[k + 1 :], s[:k] + c + s[k:]])
+        return s
+
+    rows = [(k, "\n".join(edit(rng.choice(base)) for _ in range(4))) for k in range(60)] + [(70, None), (71, "")]
+    first, n_near = {}, 0
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            norm = re.sub(" +", " ", line).lower().strip(" ")
+            if len(norm) >= line_dedup.MIN_CHARS:
+                first.setdefault(norm, []).append((i, k))
+    gone = {p for places in first.values() for p in places[1:]}
+    for x, places in first.items():
+        if any(o[0] < places[0] and levenshtein(x, y) <= min(edits, min(len(x), len(y)) // line_dedup.MIN_CHARS) for y, o in first.items()):
+            gone |= set(places)
+            n_near += len(places)
+    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    got = line_dedup.without_repeats(documents(spark, rows), edits=edits).collect()
+    assert {r.doc_id: r.text for r in got} == want and sum(r.n_near for r in got) == n_near
+    assert line_dedup.without_repeats(documents(spark, rows).limit(0), edits=edits).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(min_size=1, max_size=12))
 def test_deletion_hashes(text):
