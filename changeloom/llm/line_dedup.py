@@ -1,7 +1,8 @@
 """Lines that repeat earlier lines, exactly or within a few edits.
 
 Lines (cut at newlines) are compared in lower case with runs of white space as one
-space; those of fewer than ``MIN_CHARS`` characters are left alone. A line goes if it
+space; those of fewer than ``exact_chars`` characters are left alone (default, as in the SQL:
+``MIN_CHARS``; 1: all but blank lines), and near ones need ``MIN_CHARS``. A line goes if it
 is not the first of its equals, or if an earlier line is within ``edits`` insertions,
 deletions or substitutions of a character ("earlier": by doc_id, then line number).
 The default, which the SQL has too, is one edit. With more, the bound of two lines grows with
@@ -43,7 +44,7 @@ BROADCAST_ROWS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, exact_chars: int) -> DataFrame:
     """doc_id, t (hash of the text), line, h, g (hashes of the compared form) and norm of every line that counts."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     lower = F.trim(F.lower("raw"))
@@ -51,7 +52,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains("raw", F.lit(c))
     # the pattern is slow, and few lines need it
-    lines = lines.withColumn("norm", F.when(odd, F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))).otherwise(lower)).where(F.length("norm") >= MIN_CHARS)
+    lines = lines.withColumn("norm", F.when(odd, F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))).otherwise(lower)).where(F.length("norm") >= exact_chars)
     return lines.select("doc_id", "t", "line", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "norm")
 
 
@@ -182,12 +183,13 @@ def _near_by_deletions(lines: DataFrame, where: DataFrame, place: Column) -> Dat
     return near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g")
 
 
-def find_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
+def find_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, t, line and near of every line that goes (near: an earlier line is within the bound)."""
-    lines = _lines(docs)
+    lines = _lines(docs, max(exact_chars, 1))
+    long = F.length("norm") >= MIN_CHARS
     place = F.struct("doc_id", "t", "line")
-    where = held(lines.select("doc_id", "t", "line", "h", "g", *([_half_keys().alias("halves")] if edits == 1 else [])))
-    near = _near_by_deletions(lines, where, place) if edits == 1 else _near_by_pieces(lines, edits)
+    where = held(lines.select("doc_id", "t", "line", "h", "g", *([F.when(long, _half_keys()).alias("halves")] if edits == 1 else [])))
+    near = _near_by_deletions(lines, where, place) if edits == 1 else _near_by_pieces(lines.where(long), edits)
     near = bounded_broadcast(held(near.select("h", "g", F.lit(True).alias("near"))), BROADCAST_ROWS)
 
     first = where.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
@@ -197,9 +199,9 @@ def find_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
     return where.join(going, ["h", "g"]).where(F.col("near") | ~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "line", "near")
 
 
-def without_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near (replacing columns of these names)."""
-    gone = held(find_repeats(docs, edits))
+    gone = held(find_repeats(docs, edits, exact_chars))
     per_doc = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone_lines"), F.countDistinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     # the bound is on the lines in all lists
     per_doc = (F.broadcast(per_doc) if gone.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})

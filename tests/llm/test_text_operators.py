@@ -244,6 +244,13 @@ def test_line_dedup_of_more_edits_equals_all_pairs(spark, edits):
     assert line_dedup.without_repeats(documents(spark, rows).limit(0), edits=edits).count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines_repeat_exactly(spark, edits):
+    rows = [(1, "ietzte.\n\nIETZTE. \na line that is long enough"), (2, "ietzte!\n \nietzte.\na line that is long enough!"), (3, "x\n\nx\nx")]
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.without_repeats(documents(spark, rows), edits=edits, exact_chars=1).collect()}
+    assert got == {1: ("ietzte.\n\na line that is long enough", 1, 0), 2: ("ietzte!\n ", 1, 1), 3: ("x\n", 2, 0)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(min_size=1, max_size=12))
 def test_deletion_hashes(text):
