@@ -33,8 +33,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 char
 
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
+# the shortest base secret has 12 characters (token=abcdef)
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++={0,2})+")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Fa-f])")
 
 
 def decode64(text: str) -> bytes | None:
@@ -135,6 +138,22 @@ def _holds_secret(raw: bytes) -> bool:
     return bool(text.isprintable() or "\n" in text) and (bool(base_spans(text)) or PEM.search(text) is not None)
 
 
+def wrapped_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64 over several lines: lines of one width, without and with the shorter line after them."""
+    for m in WRAPPED.finditer(text):
+        runs = [r.span() for r in RUN.finditer(text, m.start(), m.end())]
+        first = 0
+        while first < len(runs):
+            width, last = runs[first][1] - runs[first][0], first
+            while last + 1 < len(runs) and runs[last + 1][1] - runs[last + 1][0] == width:
+                last += 1
+            if width >= 16 and last > first:
+                yield runs[first][0], runs[last][1]
+            if width >= 16 and last + 1 < len(runs) and runs[last + 1][1] - runs[last + 1][0] < width:
+                yield runs[first][0], runs[last + 1][1]
+            first = last + 1
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out, pem = [], []
     if "PRIVATE KEY-----" in text:
@@ -144,20 +163,24 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 out.append((*m.span(), "pem"))
                 pem.append(m.span())
     tokens = []
-    for m in JWT.finditer(text):
+    m = JWT.search(text)
+    while m:
         if is_signed_token(m[1], m[2]):
             out.append((*m.span(), "jwt"))
             tokens.append(m.span())
+            m = JWT.search(text, m.end())
+        else:
+            m = JWT.search(text, m.start(2))  # the next part may be the header
     known = pem + tokens
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, b in known):
+    for start, end in (*(m.span() for m in BASE64.finditer(text)), *wrapped_runs(text)):
+        if any(a <= start and end <= b for a, b in known):
             continue
-        raw = decode64(m[0])
+        raw = decode64(text[start:end])
         if raw is not None:
             if is_private_key(raw):
-                out.append((*m.span(), "key"))
+                out.append((start, end, "key"))
             elif _holds_secret(raw):
-                out.append((*m.span(), "encoded"))
+                out.append((start, end, "encoded"))
     for m in ANY_HEX.finditer(text):
         if (m.end() - m.start()) % 2 == 0:
             raw = bytes.fromhex(m[0])

@@ -317,6 +317,29 @@ def test_secret_structure():
     assert kinds == [("key", b64), ("jwt", token), ("key", pkcs1.hex()), ("encoded", wrapped), ("pem", pem)]
 
 
+def test_short_and_wrapped_secrets():
+    import base64
+    import json
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    tlv = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")) + body
+    key = b64(tlv(0x30, tlv(2, b"\0") + tlv(2, b"\1" * 64) + b"".join(tlv(2, b"\1" * 8) for _ in range(7))))
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    access = b"AKIA" + b"A" * 16
+    found = lambda text: [(k, text[a:b]) for a, b, k in secret_scan.in_order(secret_scan.confirmed_spans(text))]
+    for short in (b64(access), access.hex(), b64(b"password=hunter2x"), b"password=hunter2x".hex().upper(), b64(b"token=abcdef"), b"token=abcdef".hex()):
+        assert found(f"see {short} there") == [("encoded", short)]
+    for width in (64, 76):
+        lines = [key[k : k + width] for k in range(0, len(key), width)]
+        for end in ("\n", "\r\n", "\n  "):
+            assert found(f"a key:\n{end.join(lines)}\nand words after it") == [("key", end.join(lines))]
+    even = key[: len(key) // 2] + "\n" + key[len(key) // 2 :]
+    assert len(key) % 2 == 0 and found(f"{even}\nwords") == [("key", even)]
+    assert found(f"somehost1.{token} api.somehost1.{token}") == [("jwt", token), ("jwt", token)]
+    assert found("internationalization and\nincomprehensibilities\nwithout any secret.of.them") == []
+
+
 def test_secret_base_spans(spark):
     hex24 = "0123456789abcdef01234567"
     text = f"API-KEY: no; apikey = '{hex24}' Token:short passwd:\"longer1\" AKIA{'A' * 16} xAKIA{'B' * 15} {hex24[:-1]} ſecret: abcdefgh"
