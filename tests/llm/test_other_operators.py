@@ -154,3 +154,17 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(new.doc_id) == {i for i, _ in old} and new.groupby("sequence_id")["length"].sum().max() <= 2048
         if name != "packing":
             assert docs.columns == before.columns
+
+
+def test_benchmark_times_the_pipeline(spark, monkeypatch, capsys):
+    import json
+
+    import __spark_entry__ as entry
+    import bench
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.delenv("BENCH_QUERIES", raising=False)
+    monkeypatch.setattr(entry, "queries", lambda: {n: lambda spark, sf: spark.range(1) for n in ("op_counts", "pipeline")})
+    bench.main()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(json.loads(capsys.readouterr().out.splitlines()[-1])["queries"]) == {"op_counts", "pipeline"}
