@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
+SLICE = 1 << 20  # bytes of text that a worker works on at a time: several arrays of 8 bytes a byte may stand beside them
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +45,6 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra ones, whatever they are called, go."""
-    return df.select(*[df[n] for n in names])
-
-
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary array (null: empty) and its n + 1 offsets."""
     array = pc.fill_null(array, "" if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else b"")
@@ -61,7 +57,7 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``most`` bytes of ``column``, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -107,20 +103,38 @@ _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
 
+_WINDOW = 1 << 16
+with np.errstate(over="ignore"):
+    _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_WINDOW, _BASE, np.uint64)]))
+    _INVERSES = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_WINDOW, pow(int(_BASE), -1, 1 << 64), np.uint64)]))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of each byte span (spans ascend and don't overlap), by prefix sums of a polynomial modulo 2**64.
+
+    The sums are made for one window of the bytes after another, so memory beside the result is that of a window;
+    a span longer than a window is added up in pieces.
+    """
+    out = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
-        power = np.full(len(data), _BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * power, out=total[1:])
-        inverse = np.full(len(data), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        k = 0
+        while k < len(start):
+            base = start[k]
+            upto = max(k + 1, int(np.searchsorted(end, base + _WINDOW, side="right")))
+            if end[upto - 1] - base <= _WINDOW:
+                own = data[base : end[upto - 1]]
+                total = np.zeros(len(own) + 1, np.uint64)
+                np.cumsum(_TABLE[own] * _POWERS[: len(own)], out=total[1:])
+                a, b = start[k:upto] - base, end[k:upto] - base
+                out[k:upto] = (total[b] - total[a]) * _INVERSES[a]
+            else:
+                shift = np.uint64(1)
+                for at in range(base, end[k], _WINDOW):
+                    own = data[at : min(at + _WINDOW, end[k])]
+                    out[k] += (_TABLE[own] * _POWERS[: len(own)]).sum(dtype=np.uint64) * shift
+                    shift *= _POWERS[_WINDOW]
+            k = upto
+        return mix(out + (end - start).astype(np.uint64))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

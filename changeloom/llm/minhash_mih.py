@@ -120,7 +120,7 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text"):
         values, at = shingle_sets(batch["text"])
         one, two = set_hashes(values, at)
         symbols = signatures(values, at)
@@ -129,7 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text"):
         values, at = shingle_sets(batch["text"])
         one, two = set_hashes(values, at)
         yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), pa.array(signed(one)), pa.array(signed(two)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(values)))], ["n_shingles", "s1", "s2", "shingles"])

@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     own = docs.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             x, whose = passages(batch["text"])
             rows = []
             for k in range(batch.num_rows):
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             if model is None:
                 s = np.full(batch.num_rows, 0.5)
             else:
@@ -216,7 +216,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             if model is not None:
                 x, whose = passages(batch["text"])
                 batch = batch.filter(pa.array(model.score(x, whose) >= THRESHOLD))

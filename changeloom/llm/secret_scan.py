@@ -204,7 +204,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             base, both = [], []
             for text in batch["text"].to_pylist():
                 own = base_spans(text or "")

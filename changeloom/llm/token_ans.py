@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         number = TaskContext.get().partitionId()
         name = f"{base}/ids-{number:06d}-{uuid.uuid4().hex}.rans"
         writer = sink = None
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text"):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(name, compression=None)
