@@ -145,11 +145,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BROADCAST_ROWS = 100_000  # rows of a few longs: some 10 MB at most, so that all broadcasts of a query fit the driver together
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows, counted no further than that."""
     return df.limit(rows + 1).count() <= rows
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (then joins shuffle)."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+LIGHT, HEAVY_KEYS = 128, 50_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``many`` joined with ``one`` on ``key``, which is unique in ``one``, so that no task gets a hot key whole.
+
+    A key with very many rows in ``many`` is dealt to parts by the hash of the column ``by``; its row of ``one`` is
+    copied for each part. Heavy keys have more than 1 / HEAVY_KEYS of all rows, so there are at most HEAVY_KEYS
+    of them, which bounds what is broadcast. ``many`` is read thrice: hold what is dear. ``counts`` (key, n) may be given.
+    """
+    keys = [key] if isinstance(key, str) else key
+    most = max(LIGHT, many.count() // HEAVY_KEYS)
+    n = counts if counts is not None else many.groupBy(*keys).agg(F.count("*").alias("n"))
+    heavy = n.where(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("n") / most).alias("_parts"))
+    heavy = F.broadcast(held(heavy))
+    same = lambda df: [df[k] == heavy[f"_{k}"] for k in keys]
+    drop = ["_parts", *[f"_{k}" for k in keys]]
+    left = many.join(heavy, same(many), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0).cast("long"))).drop(*drop)
+    right = one.join(heavy, same(one), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))).drop(*drop)
+    return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, spread_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,16 +15,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     larger neighbours, then its smaller ones, are tied to its smallest
     neighbour, until all that is left are stars. Each round is two grouped minima (partial
     aggregates come first, so a node with very many neighbours is no hot group)
-    and two joins, which adaptive execution splits where a node is hot.
+    and two joins, in which such a node's edges are dealt to several tasks.
     Nodes without an edge to another node are absent; null ends are ignored.
     """
     e = held(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     while not _is_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = held(spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = held(small.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
