@@ -1,8 +1,8 @@
 """Lines that repeat earlier lines, exactly or within a few edits.
 
 Lines (cut at newlines) are compared in lower case with runs of white space as one
-space; those of fewer than ``exact_chars`` characters are left alone (default, as in the SQL:
-``MIN_CHARS``; 1: all but blank lines), and near ones need ``MIN_CHARS``. A line goes if it
+space; blank lines, and others of fewer than ``exact_chars`` characters (default: 1), are left alone, and near ones
+need ``MIN_CHARS`` characters. A line goes if it
 is not the first of its equals, or if an earlier line is within ``edits`` insertions,
 deletions or substitutions of a character ("earlier": by doc_id, then line number).
 The default, which the SQL has too, is one edit. With more, the bound of two lines grows with
@@ -24,7 +24,8 @@ piece at such a place are paired and verified by edit distance.
 
 Null texts stay null and empty texts empty, without lines that count. A null doc_id comes
 first. Rows equal in doc_id and text are one document; rows that share a doc_id but differ in
-text are ordered by the text's hash. Extra columns stay as they are.
+text are ordered by the text's hash. Extra columns stay as they are. An empty table gives no rows. A very long text is split into
+its lines inside one row, and a very long line is one value of a row; neither is copied for its variants but in slices.
 """
 
 from __future__ import annotations
@@ -36,10 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, held, mix, signed, slices
+from .common import BROADCAST_ROWS, bounded_broadcast, held, is_small, mix, signed, slices, spread_join
 
 MIN_CHARS = 16
-BROADCAST_ROWS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,11 +139,11 @@ def _near_by_pieces(lines: DataFrame, edits: int) -> DataFrame:
     # keys are many and cheap: made twice, never kept
     keys = lines.select("h", "norm").mapInArrow(pieces, "key long, own boolean, h long")
     shared = held(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo <> hi").select("key"))
-    hits = held(keys.join(bounded_broadcast(shared, BROADCAST_ROWS), "key").groupBy("key", "h").agg(F.max("own").alias("own")))
+    hits = held(keys.join(bounded_broadcast(shared), "key").groupBy("key", "h").agg(F.max("own").alias("own")))
     pairs = hits.where("own").select("key", F.col("h").alias("a")).join(hits.select("key", F.col("h").alias("b")), "key").where("a <> b")
     pairs = held(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     some = held(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = lines.join(bounded_broadcast(some, BROADCAST_ROWS), "h").groupBy("h", "g").agg(F.first("norm").alias("norm"), F.min(F.struct("doc_id", "t", "line")).alias("place"))
+    texts = lines.join(bounded_broadcast(some), "h").groupBy("h", "g").agg(F.first("norm").alias("norm"), F.min(F.struct("doc_id", "t", "line")).alias("place"))
     texts = held(texts)
     one, other = (texts.select(*[F.col(c).alias(f"{side}_{c}" if c != "h" else side) for c in texts.columns]) for side in "ab")
     both = pairs.join(one, "a").join(other, "b")
@@ -158,17 +158,21 @@ def _near_by_deletions(lines: DataFrame, where: DataFrame, place: Column) -> Dat
     # lines that share a half with another line, and which: the edit is in the other one
     halves = where.select("h", "g", F.posexplode("halves").alias("side", "key"))
     shared = held(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    likely = held(halves.join(bounded_broadcast(shared, BROADCAST_ROWS), "key", "left_semi").groupBy("h", "g").agg(F.max(F.col("side") % 2 == 0).alias("first_half"), F.max(F.col("side") % 2 == 1).alias("second_half")))
-    some = bounded_broadcast(likely, BROADCAST_ROWS)
-    texts = lines.select("h", "g", "norm").join(some, ["h", "g"]).dropDuplicates(["h", "g"])
-    places = where.join(some.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min(place).alias("place"))
-    texts = held(texts.join(places, ["h", "g"]))
+    likely = held(halves.join(bounded_broadcast(shared), "key", "left_semi").groupBy("h", "g").agg(F.max(F.col("side") % 2 == 0).alias("first_half"), F.max(F.col("side") % 2 == 1).alias("second_half")))
+    long = where.where("halves is not null").select("doc_id", "t", "line", "h", "g")
+    mine = F.broadcast(likely) if is_small(likely, BROADCAST_ROWS) else likely
+    there = long.join(mine, ["h", "g"]) if mine is not likely else spread_join(long, likely, ["h", "g"], "t")
+    # a line's text is read at its first place, so that a common line is no hot key
+    first = held(there.groupBy("h", "g").agg(F.min(place).alias("place"), F.first("first_half").alias("first_half"), F.first("second_half").alias("second_half")))
+    at = bounded_broadcast(first.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "place", "first_half", "second_half"))
+    same = lines["doc_id"].eqNullSafe(at["place.doc_id"]) & (lines["t"] == at["place.t"]) & (lines["line"] == at["place.line"])
+    texts = held(lines.join(at, same).select("h", "g", "norm", "place", "first_half", "second_half").dropDuplicates(["h", "g"]))
 
     # variants are many and cheap: made twice, never kept. First those that lines share, then who has them
     less = texts.mapInArrow(_variants, "variant long, at int, h long")
     common = held(less.groupBy("variant", "at").agg(F.count("*").alias("n")).where("n > 1").select("variant", "at"))
     whole = held(texts.mapInArrow(_whole, "variant long, shorter long"))
-    hits = less.join(bounded_broadcast(common.withColumn("swap", F.lit(True)), BROADCAST_ROWS), ["variant", "at"], "left").join(bounded_broadcast(whole, BROADCAST_ROWS), "variant", "left")
+    hits = less.join(bounded_broadcast(common.withColumn("swap", F.lit(True))), ["variant", "at"], "left").join(bounded_broadcast(whole), "variant", "left")
     hits = held(hits.where("swap or shorter is not null"))
 
     # each group passes on its earliest line only
@@ -183,28 +187,30 @@ def _near_by_deletions(lines: DataFrame, where: DataFrame, place: Column) -> Dat
     return near.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "g")
 
 
-def find_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = MIN_CHARS) -> DataFrame:
+def find_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = 1) -> DataFrame:
     """doc_id, t, line and near of every line that goes (near: an earlier line is within the bound)."""
     lines = _lines(docs, max(exact_chars, 1))
     long = F.length("norm") >= MIN_CHARS
     place = F.struct("doc_id", "t", "line")
     where = held(lines.select("doc_id", "t", "line", "h", "g", *([F.when(long, _half_keys()).alias("halves")] if edits == 1 else [])))
     near = _near_by_deletions(lines, where, place) if edits == 1 else _near_by_pieces(lines.where(long), edits)
-    near = bounded_broadcast(held(near.select("h", "g", F.lit(True).alias("near"))), BROADCAST_ROWS)
+    near = bounded_broadcast(held(near.select("h", "g", F.lit(True).alias("near"))))
 
     first = where.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
-    going = first.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near")
-    going = bounded_broadcast(held(going.select("h", "g", "kept", "near")), BROADCAST_ROWS)
+    going = held(first.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near"))
+    places, rest = where.select("doc_id", "t", "line", "h", "g"), going.select("h", "g", "kept", "near")
+    # common lines may be very common: beyond the bound their places are dealt to parts
+    found = places.join(F.broadcast(rest), ["h", "g"]) if is_small(going, BROADCAST_ROWS) else spread_join(places, rest, ["h", "g"], "t", counts=going.select("h", "g", "n"))
     # a struct with a null doc_id equals itself only null-safely
-    return where.join(going, ["h", "g"]).where(F.col("near") | ~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "line", "near")
+    return found.where(F.col("near") | ~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "line", "near")
 
 
-def without_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near (replacing columns of these names)."""
+def _without(docs: DataFrame, edits: int, exact_chars: int) -> DataFrame:
+    """doc (the whole row), text (without what goes), n_lines, n_exact and n_near."""
     gone = held(find_repeats(docs, edits, exact_chars))
     per_doc = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone_lines"), F.countDistinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     # the bound is on the lines in all lists
-    per_doc = (F.broadcast(per_doc) if gone.limit(2 * BROADCAST_ROWS + 1).count() <= 2 * BROADCAST_ROWS else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})
+    per_doc = (F.broadcast(per_doc) if is_small(gone, 2 * BROADCAST_ROWS) else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})
     # whole rows in a struct, so that no name can clash
     rows = docs.select(F.struct("*").alias("doc")).withColumn("parts", F.split("doc.text", "\n"))
     joined = rows.join(per_doc, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc.text") == F.col("gone_t")), "left")
@@ -212,5 +218,20 @@ def without_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = MIN_CHAR
     text = F.when(F.col("gone_lines").isNull() | F.col("doc.text").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
     n_gone, n_near = F.coalesce(F.size("gone_lines"), F.lit(0)), F.coalesce("n_near", F.lit(0))
     n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("parts"))
-    own = [(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    return joined.select(*own, n_lines.cast("long").alias("n_lines"), F.when(n_gone > 0, n_gone - n_near).otherwise(0).cast("long").alias("n_exact"), n_near.cast("long").alias("n_near"))
+    return joined.select("doc", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.when(n_gone > 0, n_gone - n_near).otherwise(0).cast("long").alias("n_exact"), n_near.cast("long").alias("n_near"))
+
+
+def _own(docs: DataFrame, less: tuple[str, ...] = ()) -> list[Column]:
+    return [(F.col("text") if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns if c not in less]
+
+
+def without_repeats(docs: DataFrame, edits: int = 1, exact_chars: int = 1) -> DataFrame:
+    """The documents with ``text`` less the lines that go, and n_lines, n_exact and n_near (replacing columns of these names)."""
+    counts = ("n_lines", "n_exact", "n_near")
+    return _without(docs, edits, exact_chars).select(*_own(docs, counts), *counts)
+
+
+def cleaned(docs: DataFrame, edits: int = 1, exact_chars: int = 1) -> DataFrame:
+    """As ``without_repeats``, but all columns other than ``text`` stay as they are, and documents of which nothing is left go."""
+    gone = (F.col("n_exact") + F.col("n_near") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*\z")
+    return _without(docs, edits, exact_chars).where(~F.coalesce(gone, F.lit(False))).select(*_own(docs))

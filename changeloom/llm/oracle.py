@@ -57,12 +57,13 @@ LINES = rf"""
 WITH raw AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL
 ), lines AS (SELECT *, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS norm, doc_id * 1000000 + k AS place FROM raw
-), distinct_lines AS (SELECT norm, min(place) AS place FROM lines WHERE length(norm) >= {MIN_CHARS} GROUP BY norm
+), distinct_lines AS (SELECT norm, min(place) AS place FROM lines WHERE length(norm) >= 1 GROUP BY norm
+), long_lines AS (SELECT * FROM distinct_lines WHERE length(norm) >= {MIN_CHARS}
 ), less AS (
-    SELECT norm, place, i, left(norm, i - 1) || substr(norm, i + 1) AS v FROM (SELECT norm, place, CAST(unnest(range(1, length(norm) + 1)) AS INT) AS i FROM distinct_lines)
+    SELECT norm, place, i, left(norm, i - 1) || substr(norm, i + 1) AS v FROM (SELECT norm, place, CAST(unnest(range(1, length(norm) + 1)) AS INT) AS i FROM long_lines)
 ), hashed AS (SELECT hash(v) AS v, i, hash(norm) AS norm, place FROM less
 ), swaps AS (SELECT h.norm, h.place, g.best FROM hashed h JOIN (SELECT v, i, min(place) AS best FROM hashed GROUP BY v, i HAVING count(*) > 1) g ON h.v = g.v AND h.i = g.i
-), inserts AS (SELECT h.norm, h.place, hash(d.norm) AS other, d.place AS other_place FROM hashed h JOIN distinct_lines d ON h.v = hash(d.norm)
+), inserts AS (SELECT h.norm, h.place, hash(d.norm) AS other, d.place AS other_place FROM hashed h JOIN long_lines d ON h.v = hash(d.norm)
 ), near AS (
     SELECT norm FROM (SELECT norm, place, best FROM swaps UNION ALL SELECT norm, place, other_place FROM inserts UNION ALL SELECT other, other_place, place FROM inserts) GROUP BY norm, place HAVING min(best) < place
 ), marked AS (

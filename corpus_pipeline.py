@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again.
+
+All but the last stage return the columns of their input, extra ones as they are, whatever their names. Null and empty texts
+pass the stages after the classifier, unless they are copies; rows that repeat a doc_id are told apart by their texts; an empty table
+passes all stages as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -18,11 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; documents of which nothing is left go."""
-    found = line_dedup.without_repeats(docs)
-    gone = (F.col("n_exact") + F.col("n_near") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*\z")
+    found = line_dedup.cleaned(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return found.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+    return found
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,13 +165,13 @@ def brute_lines(rows):
     first, all_lines = {}, []
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(clean(line)) >= line_dedup.MIN_CHARS:
+            if clean(line):
                 all_lines.append((i, k, clean(line)))
     for i, k, n in sorted(all_lines):
         first.setdefault(n, (i, k))
 
     def close(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < line_dedup.MIN_CHARS:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
@@ -231,11 +231,11 @@ def test_line_dedup_of_more_edits_equals_all_pairs(spark, edits):
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             norm = re.sub(" +", " ", line).lower().strip(" ")
-            if len(norm) >= line_dedup.MIN_CHARS:
+            if norm:
                 first.setdefault(norm, []).append((i, k))
     gone = {p for places in first.values() for p in places[1:]}
     for x, places in first.items():
-        if any(o[0] < places[0] and levenshtein(x, y) <= min(edits, min(len(x), len(y)) // line_dedup.MIN_CHARS) for y, o in first.items()):
+        if len(x) >= line_dedup.MIN_CHARS and any(o[0] < places[0] and levenshtein(x, y) <= min(edits, min(len(x), len(y)) // line_dedup.MIN_CHARS) for y, o in first.items()):
             gone |= set(places)
             n_near += len(places)
     want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
@@ -247,7 +247,7 @@ def test_line_dedup_of_more_edits_equals_all_pairs(spark, edits):
 @pytest.mark.parametrize("edits", [1, 2])
 def test_short_lines_repeat_exactly(spark, edits):
     rows = [(1, "ietzte.\n\nIETZTE. \na line that is long enough"), (2, "ietzte!\n \nietzte.\na line that is long enough!"), (3, "x\n\nx\nx")]
-    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.without_repeats(documents(spark, rows), edits=edits, exact_chars=1).collect()}
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.without_repeats(documents(spark, rows), edits=edits).collect()}
     assert got == {1: ("ietzte.\n\na line that is long enough", 1, 0), 2: ("ietzte!\n ", 1, 1), 3: ("x\n", 2, 0)}
 
 
