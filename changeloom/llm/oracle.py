@@ -80,23 +80,31 @@ _MARK = rf"""list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{NUMBER
         WHEN regexp_full_match(x, '{NAME}') AND NOT regexp_full_match(x, '{NO_NAME}') THEN '<name>' ELSE lower(x) END)"""
 
 TEMPLATES = rf"""
-WITH docs AS (SELECT doc_id, w, {_MARK} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{_SOLID}') AS w FROM documents WHERE text IS NOT NULL)
-), items AS (SELECT item_id, w, {_MARK} AS t, least(len(w), {WINDOW}) AS size FROM (SELECT item_id, regexp_extract_all(text, '{_SOLID}') AS w FROM benchmark WHERE text IS NOT NULL)
-), item_spans AS (SELECT item_id, size, t, unnest(range(1, len(t) - size + 2)) AS item_at FROM items WHERE size >= {LEAST}
+WITH docs AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{_SOLID}') AS w FROM documents WHERE text IS NOT NULL)
+), items AS (
+    SELECT item_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t, CASE WHEN len(w) < {LEAST} THEN len(w) ELSE least(len(w), {WINDOW}) END AS size
+    FROM (SELECT item_id, regexp_extract_all(text, '{_SOLID}') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
+), item_spans AS (SELECT item_id, size, t, low, unnest(range(1, len(t) - size + 2)) AS item_at FROM items
 ), windows AS (
-    SELECT item_id, size, item_at, array_to_string(t[item_at:item_at + size - 1], ' ') AS x, count(*) OVER (PARTITION BY item_id) AS item_windows
-    FROM item_spans WHERE 2 * len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) >= size
-), doc_spans AS (SELECT doc_id, s.size, t, unnest(range(1, len(t) - s.size + 2)) AS k FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) s
-), hits AS (SELECT d.doc_id, w.item_id, w.size, w.item_windows, w.item_at, d.k - w.item_at AS shift FROM (SELECT doc_id, size, k, array_to_string(t[k:k + size - 1], ' ') AS x FROM doc_spans) d JOIN windows w ON d.x = w.x AND d.size = w.size
+    SELECT item_id, size, item_at, form, array_to_string(CASE WHEN form = 0 THEN t[item_at:item_at + size - 1] ELSE low[item_at:item_at + size - 1] END, ' ') AS x, count(*) OVER (PARTITION BY item_id) AS item_windows
+    FROM (SELECT *, CASE WHEN len(t) < {LEAST} THEN 2 WHEN 2 * len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) >= size THEN 0 ELSE 1 END AS form FROM item_spans)
+), doc_spans AS (SELECT doc_id, s.size, s.form, t, low, unnest(range(1, len(t) - s.size + 2)) AS k FROM docs CROSS JOIN (SELECT DISTINCT size, form FROM windows) s WHERE s.form < 2 OR len(t) = s.size
+), hits AS (
+    SELECT d.doc_id, w.item_id, w.size, w.item_windows, w.item_at, d.k - w.item_at AS shift
+    FROM (SELECT doc_id, size, form, k, array_to_string(CASE WHEN form = 0 THEN t[k:k + size - 1] ELSE low[k:k + size - 1] END, ' ') AS x FROM doc_spans) d JOIN windows w ON d.x = w.x AND d.size = w.size AND d.form = w.form
 ), spots AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(item_at, item_at + size)) AS p FROM hits
 ), slots AS (
-    SELECT DISTINCT s.doc_id, s.item_id, s.shift, d.t[s.p + s.shift] AS kind, {_BARE.format("i.w[s.p]")} AS item, {_BARE.format("d.w[s.p + s.shift]")} AS doc
+    SELECT s.doc_id, s.item_id, s.shift, s.p, d.t[s.p + s.shift] AS kind, {_BARE.format("i.w[s.p]")} AS item, {_BARE.format("d.w[s.p + s.shift]")} AS doc
     FROM spots s JOIN docs d USING (doc_id) JOIN items i USING (item_id) WHERE d.t[s.p + s.shift] IN ('<num>', '<unit>', '<name>')
+), steady AS (
+    SELECT h.doc_id, h.item_id, h.shift, h.item_at, any_value(h.size) AS size, any_value(h.item_windows) AS item_windows FROM hits h
+    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1
+    GROUP BY h.doc_id, h.item_id, h.shift, h.item_at HAVING count(DISTINCT (kind, item)) FILTER (s.p IS NOT NULL) = count(DISTINCT (kind, item, doc)) FILTER (s.p IS NOT NULL)
 ), shifts AS (
-    SELECT h.doc_id, h.item_id, h.shift, coalesce(any_value(s.steady), true) AS steady, coalesce(any_value(s.changed), 0) AS changed FROM (SELECT DISTINCT doc_id, item_id, shift FROM hits) h
-    LEFT JOIN (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT (kind, item)) AS steady, count(*) FILTER (WHERE item <> doc) AS changed FROM slots GROUP BY ALL) s USING (doc_id, item_id, shift) GROUP BY ALL
+    SELECT h.doc_id, h.item_id, h.shift, count(DISTINCT (kind, item, doc)) FILTER (item <> doc) AS changed FROM steady h
+    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1 GROUP BY ALL
 )
 SELECT doc_id, item_id, CAST(any_value(item_windows) AS BIGINT) AS item_windows, CAST(count(DISTINCT item_at) AS BIGINT) AS covered_windows, CAST(min(changed) AS BIGINT) AS changed_slots
-FROM hits JOIN shifts USING (doc_id, item_id, shift) WHERE steady GROUP BY doc_id, item_id HAVING 2 * count(DISTINCT item_at) >= any_value(item_windows)"""
+FROM steady JOIN shifts USING (doc_id, item_id, shift) GROUP BY doc_id, item_id HAVING 2 * count(DISTINCT item_at) >= any_value(item_windows)"""
 
 ORACLE_SQL: dict[str, str] = {"op3_decontaminate": TEMPLATES, "op7_hnsw": VECTORS, "op8_line_dedup": LINES, "op9_minhash_mih": NEAR, "op10_chat_format": CHAT}

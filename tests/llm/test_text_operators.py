@@ -292,6 +292,24 @@ def test_inconsistent_slots_are_no_match(spark):
     assert [(r.doc_id, r.changed_slots) for r in decontaminate.find_contaminated(docs, item).collect()] == [(1, 2)]
 
 
+def test_short_items_and_items_of_placeholders(spark):
+    bench = spark.createDataFrame([(1, "Tom 5 Anna 7 Bob 9 Carl 3"), (2, "Two Words"), (3, " \n"), (4, "the sum of 3 and 3 and the words after it up to the very end")], "item_id long, text string")
+    rows = [(1, "so Tom 5 Anna 7 BOB 9 Carl 3 it is"), (2, "so Tim 5 Anna 7 Bob 9 Carl 3 it is"), (3, "two\nWORDS"), (4, "two words more"), (5, ""), (6, "the sum of 3 and 4 and the words after it up to the very end"), (7, "the sum of 3 and 3 and the words")]
+    found = {(r.doc_id, r.item_id): (r.item_windows, r.covered_windows, r.changed_slots) for r in decontaminate.find_contaminated(documents(spark, rows), bench).collect()}
+    # one of two equal numbers changed: the windows with both say no, the others count
+    assert found == {(1, 1): (1, 1, 0), (3, 2): (1, 1, 0), (6, 4): (9, 5, 1)}
+
+
+def test_rows_that_share_a_doc_id_stay_by_their_texts(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    unique, other = "a text that is like no other one here", "yet another text that nobody else has written"
+    rows = [(1, item), (1, unique), (None, item), (None, other), (None, None), (2, item), (2, None)]
+    docs = documents(spark, rows)
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.clean(docs, bench).collect()), key=str) == sorted([(1, unique), (None, other), (None, None), (2, None)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in minhash_mih.deduplicated(docs).collect()), key=str) == sorted([(1, item), (1, unique), (None, other), (None, None), (2, None)], key=str)
+
+
 def test_secret_structure():
     import base64
     import json
