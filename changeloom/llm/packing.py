@@ -8,7 +8,8 @@ lengths occurs. Pieces then find their place by their rank among the
 pieces of their length: no task sees more than its own rows.
 
 Null texts are empty (only the end id); a null doc_id stays null; repeated rows
-are packed each by itself; an empty table gives no rows; extra columns are ignored.
+are packed each by itself; an empty table gives no rows; extra columns are ignored. A very long text is encoded as a whole and gives
+as many full pieces as it needs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import held, slices
 from .tokens import default_tokenizer, encoder
 
-SALTS = 64
+RANKED = 2000  # pieces of one length that a task ranks, about
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -128,24 +128,24 @@ class Places:
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence_length: int = 2048, with_ids: bool = False) -> DataFrame:
     """All pieces with sequence_id and offset (and ids). Sequences are gapless from offset 0."""
     spark = docs.sparkSession
-    found = held(pieces(docs, tokenizer, end_id, sequence_length, with_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS))))
-    # at most sequence_length * SALTS rows, so they may be broadcast and gathered
-    counts = found.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    histogram: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(counts):
-        before[r.length, r.salt] = histogram[r.length]
-        histogram[r.length] += r.n
-    places = spark.sparkContext.broadcast((Places(shortest_pack_first(histogram, sequence_length)), before))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")))
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, first = places.value
-        for f in frames:
-            length = f["length"].to_numpy(np.int64)
-            rank = f["rank"].to_numpy(np.int64) - 1 + np.fromiter((first[k] for k in zip(length.tolist(), f["salt"].tolist(), strict=True)), np.int64, len(f))
-            f["sequence_id"], f["offset"] = table.find(length, rank)
-            f["doc_id"] = f["doc_id"].astype("Int64")
-            yield f.drop(columns=["salt", "rank"])
-
-    return ranked.mapInPandas(place, PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long")
+    found = held(pieces(docs, tokenizer, end_id, sequence_length, with_ids))
+    # at most sequence_length rows
+    histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    places = spark.sparkContext.broadcast(Places(shortest_pack_first(histogram, sequence_length)))
+    # pieces of a length are dealt to so many parts that no part is large; a part's ranks start from the parts before
+    total, top = sum(histogram.values()), max(histogram.values(), default=0)
+    salts = max(1, -(-top // max(RANKED, total // 100_000)))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    upto = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = found.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    # hashed by the same key as the window, so that the join needs no shuffle of its own
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
+    ranked = found.withColumn("rank", rank - 1).join(before, ["length", "salt"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, offset = places.value.find(batch["length"].to_numpy(), batch["rank"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    names = [c.split()[0] for c in PIECE.split(", ")] + (["ids"] if with_ids else [])
+    return ranked.select(*names, "rank").mapInArrow(place, PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long")

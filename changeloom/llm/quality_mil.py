@@ -6,14 +6,16 @@ lengths, repetition), a gated attention weighs the encodings, and the weighted m
 scored (Ilse, Tomczak and Welling, 2018). Encoder, attention and score are learned together from
 document labels alone.
 
-Learning uses at most ``TRAIN_DOCS`` labelled documents, those with the smallest hashes,
-and at most ``TRAIN_PASSAGES`` evenly spaced passages of each; scoring takes all passages of all
+Learning uses whole bags of at most ``TRAIN_DOCS`` labelled documents, those with the smallest hashes, and of
+no more of them than have ``TRAIN_PASSAGES`` passages together; scoring takes all passages of all
 documents. Labels, lang, source and doc_id are never inputs.
 
 Null and empty texts are one empty passage and get a score like all others. Labels that
 are null are ignored, and of repeated labels of a document the lowest counts; without labels of both kinds
-every score is 0.5. A null doc_id is scored, never learned from. Repeated rows are scored each by
-itself, and extra columns are ignored.
+every score is 0.5. Of rows that repeat a labelled doc_id the text with the smallest hash is learned from. A null doc_id is
+scored, never learned from. Repeated rows are scored each by
+itself, and extra columns are ignored. An empty table gives no rows. Texts are worked on in slices; a very long one takes some
+20 bytes a byte.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, text_bytes, words_of
+from .common import held, slices, span_hashes, text_bytes, words_of
 
 PASSAGE = 64
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 64
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 400_000  # a passage takes 100 bytes of the driver
 THRESHOLD = 0.3
 UNITS, GATES, EPOCHS, BATCH, RATE = 24, 16, 40, 64, 0.01
+PATIENCE, GAIN = 6, 1e-3  # epochs without a fall of the loss by so much end the learning
 FOLDS = 5
 
 _GROUPS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"#$%&*@^~", b"|", b"/\\_-=+", b"()[]{}<>", b"\"'`", bytes(range(128, 256)), b"\n", b" \t\r\x0b\x0c"]
@@ -112,8 +115,128 @@ class Model:
         return _sigmoid(z @ self.p["c"] + self.p["d"][0])
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of bags (their passages one after another in ``x``, ``count`` of each) and its gradients."""
+    first, bag = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+    e = np.tanh(x @ p["w"] + p["b"])
+    t, s = np.tanh(e @ p["v"]), _sigmoid(e @ p["u"])
+    a = (t * s) @ p["a"]
+    a = np.exp(a - np.maximum.reduceat(a, first)[bag])
+    a /= np.add.reduceat(a, first)[bag]
+    z = np.add.reduceat(a[:, None] * e, first)
+    score = _sigmoid(z @ p["c"] + p["d"][0])
+    loss = -np.mean(y * np.log(score + 1e-12) + (1 - y) * np.log(1 - score + 1e-12))
+    dz = (score - y) / len(y)
+    back = (dz[:, None] * p["c"])[bag]
+    da = (back * e).sum(axis=1)
+    dl = a * (da - np.add.reduceat(a * da, first)[bag])
+    dt, ds = dl[:, None] * p["a"] * s * (1 - t * t), dl[:, None] * p["a"] * t * s * (1 - s)
+    de = (a[:, None] * back + dt @ p["v"].T + ds @ p["u"].T) * (1 - e * e)
+    return float(loss), {"c": z.T @ dz, "d": np.array([dz.sum()]), "a": (t * s).T @ dl, "v": e.T @ dt, "u": e.T @ ds, "w": x.T @ de, "b": de.sum(axis=0)}
+
+
+def fit(x: np.ndarray, whose: np.ndarray, y: np.ndarray, seed: int = 7) -> Model | None:
+    """Adam on the log loss, until it falls no more or ``EPOCHS`` are over. None without both labels."""
+    if len(np.unique(y)) < 2:
+        return None
+    rng = np.random.default_rng(seed)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    x = np.clip((x - mean) / scale, -6, 6).astype(np.float64)
+    d = x.shape[1]
+    p = {"w": rng.normal(0, d**-0.5, (d, UNITS)), "b": np.zeros(UNITS), "v": rng.normal(0, UNITS**-0.5, (UNITS, GATES)), "u": rng.normal(0, UNITS**-0.5, (UNITS, GATES)), "a": rng.normal(0, GATES**-0.5, GATES), "c": rng.normal(0, UNITS**-0.5, UNITS), "d": np.zeros(1)}
+    m, v2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+    first = np.searchsorted(whose, np.arange(len(y)))
+    count = np.diff(np.append(first, len(whose)))
+    best, since = np.inf, 0
+    for epoch in range(EPOCHS):
+        rate, total = RATE * (1 - epoch / EPOCHS), 0.0
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), BATCH):
+            own = order[k : k + BATCH]
+            n = count[own]
+            rows = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            loss, g = loss_and_gradients(p, x[rows], n, y[own])
+            total += loss * len(own) / len(y)
+            step += 1
+            for name, grad in g.items():
+                grad = grad + 1e-4 * p[name]
+                m[name] = 0.9 * m[name] + 0.1 * grad
+                v2[name] = 0.999 * v2[name] + 0.001 * grad**2
+                p[name] = p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.999**step)) + 1e-8)
+        best, since = (total, 0) if total < best - GAIN else (best, since + 1)
+        if since >= PATIENCE:
+            break
+    return Model(mean, scale, p)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that are never learned from: crc32 of the id as text is divisible by ``FOLDS``."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def _training_rows(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of at most TRAIN_DOCS documents, so they may be broadcast."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    rows = F.broadcast(_training_rows(labels).withColumnRenamed("doc_id", "labelled_id"))
+    known = docs.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("labelled_id")).withColumn("t", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    # one text of each document: at most TRAIN_DOCS rows
+    one = F.broadcast(known.groupBy("doc_id").agg(F.min("t").alias("t")).withColumnsRenamed({"doc_id": "one_id", "t": "one_t"}))
+    own = known.join(one, (F.col("doc_id") == F.col("one_id")) & (F.col("t") == F.col("one_t"))).select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            x, whose = passages(batch["text"])
+            at = np.searchsorted(whose, np.arange(batch.num_rows + 1))
+            rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"].cast(pa.int32()), pa.array(np.diff(at)), pa.array(rows, pa.binary())], ["doc_id", "quality", "n", "x"])
+
+    bags = held(own.mapInArrow(encode, "doc_id long, quality int, n long, x binary"))
+    # whole bags in the sample's order, while they fit: the running sum is over TRAIN_DOCS rows of longs
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = bags.select("doc_id", "n").withColumn("upto", upto).where(F.col("upto") <= TRAIN_PASSAGES).select("doc_id")
+    found = sorted(bags.join(F.broadcast(fits), "doc_id").collect())
+    if not found:
+        return None
+    x = [np.frombuffer(r.x, "<f4").reshape(-1, len(_GROUPS) + 12) for r in found]
+    return fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), np.array([r.quality for r in found], np.float64))
+
+
+def score(self, x: np.ndarray, whose: np.ndarray) -> np.ndarray:
+        """Scores of the bags that ``whose``, ascending, names."""
+        e = np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.p["w"] + self.p["b"])
+        a = (np.tanh(e @ self.p["v"]) * _sigmoid(e @ self.p["u"])) @ self.p["a"]
+        first = np.flatnonzero(np.diff(whose, prepend=-1))
+        a = np.exp(a - np.repeat(np.maximum.reduceat(a, first), np.diff(np.append(first, len(whose)))))
+        z = np.add.reduceat(e * a[:, None], first) / np.add.reduceat(a, first)[:, None]
+        return _sigmoid(z @ self.p["c"] + self.p["d"][0])
+
+
+def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of bags (their passages one after another in ``x``, ``count`` of each) and its gradients."""
+    first, bag = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+    e = np.tanh(x @ p["w"] + p["b"])
+    t, s = np.tanh(e @ p["v"]), _sigmoid(e @ p["u"])
+    a = (t * s) @ p["a"]
+    a = np.exp(a - np.maximum.reduceat(a, first)[bag])
+    a /= np.add.reduceat(a, first)[bag]
+    z = np.add.reduceat(a[:, None] * e, first)
+    score = _sigmoid(z @ p["c"] + p["d"][0])
+    loss = -np.mean(y * np.log(score + 1e-12) + (1 - y) * np.log(1 - score + 1e-12))
+    dz = (score - y) / len(y)
+    back = (dz[:, None] * p["c"])[bag]
+    da = (back * e).sum(axis=1)
+    dl = a * (da - np.add.reduceat(a * da, first)[bag])
+    dt, ds = dl[:, None] * p["a"] * s * (1 - t * t), dl[:, None] * p["a"] * t * s * (1 - s)
+    de = (a[:, None] * back + dt @ p["v"].T + ds @ p["u"].T) * (1 - e * e)
+    return float(loss), {"c": z.T @ dz, "d": np.array([dz.sum()]), "a": (t * s).T @ dl, "v": e.T @ dt, "u": e.T @ ds, "w": x.T @ de, "b": de.sum(axis=0)}
+
+
 def fit(x: np.ndarray, whose: np.ndarray, y: np.ndarray, seed: int = 7) -> Model | None:
-    """Adam on the log loss; bags of a batch are padded to the longest. None without both labels."""
+    """Adam on the log loss, until it falls no more or ``EPOCHS`` are over. None without both labels."""
     if len(np.unique(y)) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -124,36 +247,25 @@ def fit(x: np.ndarray, whose: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
     m, v2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     first = np.searchsorted(whose, np.arange(len(y)))
     count = np.diff(np.append(first, len(whose)))
+    best, since = np.inf, 0
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate, total = RATE * (1 - epoch / EPOCHS), 0.0
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             own = order[k : k + BATCH]
-            most = count[own].max()
-            there = np.arange(most) < count[own][:, None]
-            xs = x[np.where(there, first[own][:, None] + np.arange(most), 0)]
-            e = np.tanh(xs @ p["w"] + p["b"])
-            t, s = np.tanh(e @ p["v"]), _sigmoid(e @ p["u"])
-            a = np.where(there, (t * s) @ p["a"], -np.inf)
-            a = np.exp(a - a.max(axis=1, keepdims=True))
-            a /= a.sum(axis=1, keepdims=True)
-            z = np.einsum("bk,bkd->bd", a, e)
-            dz = (_sigmoid(z @ p["c"] + p["d"][0]) - y[own]) / len(own)
-            g = {"c": z.T @ dz, "d": np.array([dz.sum()])}
-            back = dz[:, None] * p["c"]
-            da = np.einsum("bd,bkd->bk", back, e)
-            dl = a * (da - (a * da).sum(axis=1, keepdims=True))
-            g["a"] = np.einsum("bk,bkg->g", dl, t * s)
-            dt, ds = dl[:, :, None] * p["a"] * s * (1 - t * t), dl[:, :, None] * p["a"] * t * s * (1 - s)
-            g["v"], g["u"] = np.einsum("bkd,bkg->dg", e, dt), np.einsum("bkd,bkg->dg", e, ds)
-            de = (a[:, :, None] * back[:, None, :] + dt @ p["v"].T + ds @ p["u"].T) * (1 - e * e)
-            g["w"], g["b"] = np.einsum("bkf,bkd->fd", xs, de), de.sum(axis=(0, 1))
+            n = count[own]
+            rows = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            loss, g = loss_and_gradients(p, x[rows], n, y[own])
+            total += loss * len(own) / len(y)
             step += 1
             for name, grad in g.items():
                 grad = grad + 1e-4 * p[name]
                 m[name] = 0.9 * m[name] + 0.1 * grad
                 v2[name] = 0.999 * v2[name] + 0.001 * grad**2
                 p[name] = p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.999**step)) + 1e-8)
+        best, since = (total, 0) if total < best - GAIN else (best, since + 1)
+        if since >= PATIENCE:
+            break
     return Model(mean, scale, p)
 
 

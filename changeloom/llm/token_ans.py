@@ -11,8 +11,8 @@ doc_id and length.
     magic | segments: table, blocks | footer (Arrow and JSON, deflated) | footer's length, magic
 
 Null texts are empty (only the end id). Rows with a null doc_id come first,
-and rows that share a doc_id follow each other. An empty table gives no file
-and no rows; extra columns are ignored.
+and rows that share a doc_id follow each other, in the order of their texts' hashes. An empty table gives no file
+and no rows; extra columns are ignored. A very long text is encoded as a whole and lies in as many segments as it needs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -37,6 +36,7 @@ from .tokens import default_tokenizer, encoder
 
 MAGIC = b"CLRANS01"
 LANES, BLOCK, SEGMENT = 32, 1 << 16, 1 << 22
+PART, ROWS = 1 << 20, 8192  # ids decoded, rows returned at a time
 BITS = 20  # frequencies add up to 2**BITS
 LOW = np.uint64(1 << 31)  # states lie in [2**31, 2**63)
 _WORD, _TOTAL = np.uint64(32), np.uint64(BITS)
@@ -215,18 +215,25 @@ class TokenFile:
             raise ValueError(f"checksum of a block of segment {segment} differs")
         return decode_blocks(self.bytes(*s["table"]), raw, [x[2] for x in own])
 
-    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        """(doc_id, ids), decoding a segment at a time."""
-        rest, k = np.zeros(0, np.uint32), 0
-        for doc_id, n in zip(self.index["doc_id"].to_pylist(), self.index["n"].to_pylist(), strict=True):
-            if len(rest) < n:
-                parts = [rest]
-                while sum(map(len, parts)) < n:
-                    parts.append(self.blocks(k))
-                    k += 1
-                rest = np.concatenate(parts)
-            yield doc_id, rest[:n]
-            rest = rest[n:]
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids from ``first`` to ``last`` (not itself) of the file, by the blocks that hold them."""
+        out = [np.zeros(0, np.uint32)]
+        for segment in range(first // SEGMENT, -(-last // SEGMENT)):
+            lo, hi = max(0, first - segment * SEGMENT), min(SEGMENT, last - segment * SEGMENT)
+            out.append(self.blocks(segment, lo // BLOCK, -(-hi // BLOCK))[lo - lo // BLOCK * BLOCK :][: hi - lo])
+        return np.concatenate(out)
+
+    def documents(self, segment: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, start, ids) of the documents that begin in a segment (None: of all), some blocks at a time."""
+        n = self.index["n"].to_numpy()
+        start = np.cumsum(n) - n
+        lo, hi = (0, len(n)) if segment is None else np.searchsorted(start, [segment * SEGMENT, (segment + 1) * SEGMENT])
+        while lo < hi:
+            end = max(lo + 1, int(np.searchsorted(start[:hi], start[lo] + PART, side="left")))
+            found = self.ids(int(start[lo]), int(start[end - 1] + n[end - 1]))
+            for k, doc_id in enumerate(self.index["doc_id"].slice(lo, end - lo).to_pylist(), start=int(lo)):
+                yield doc_id, int(start[k]), found[start[k] - start[lo] :][: n[k]]
+            lo = end
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0) -> list[tuple[int, str, int, int]]:
@@ -243,17 +250,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         number = TaskContext.get().partitionId()
         name = f"{base}/ids-{number:06d}-{uuid.uuid4().hex}.rans"
         writer = sink = None
-        for batch in slices(batches, "text"):
-            if writer is None:
-                store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(name, compression=None)
-                writer = TokenFileWriter(sink)
-            ids, at = with_end(*encoder(path).encode(batch["text"]), end_id)
-            writer.add(batch["doc_id"].cast(pa.int64()), ids, np.diff(at))
-        if writer is not None:
-            rows, n = writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"number": [number], "path": [name], "rows": [rows], "ids": [n]})
+        try:
+            for batch in slices(batches, "text"):
+                if writer is None:
+                    store.create_dir(base, recursive=True)
+                    sink = store.open_output_stream(name, compression=None)
+                    writer = TokenFileWriter(sink)
+                ids, at = with_end(*encoder(path).encode(batch["text"]), end_id)
+                writer.add(batch["doc_id"].cast(pa.int64()), ids, np.diff(at))
+            if writer is not None:
+                rows, n = writer.close()
+                yield pa.RecordBatch.from_pydict({"number": [number], "path": [name], "rows": [rows], "ids": [n]})
+        finally:
+            if sink is not None:
+                sink.close()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = held(ordered.mapInArrow(write, "number long, path string, rows long, ids long"))
@@ -261,29 +271,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 
 def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, file and ids_in_file of every document, decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32, file and start_in_file of every document, decoded from the files, a segment a row of work."""
     rows, before = [], 0
     for _, path, _, n in files:
-        rows.append((path, before, n))
+        rows += [(path, before, segment) for segment in range(-(-n // SEGMENT))]
         before += n
     if not rows:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string, start_in_file long")
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        for f in frames:
-            for path, base in zip(f["path"], f["before"], strict=True):
+
+        def rows_of(out: list[tuple], name: str) -> pa.RecordBatch:
+            doc_id, start, n, crc, at = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([name] * len(out)), pa.array(at, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "file", "start_in_file"])
+
+        for batch in batches:
+            for path, base, segment in zip(*(batch[c].to_pylist() for c in ("path", "before", "segment")), strict=True):
+                out, name = [], path.rsplit("/", 1)[1]
                 with store.open_input_file(path) as source:
-                    at, out = 0, []
-                    for doc_id, ids in TokenFile(source).documents():
-                        out.append((doc_id, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.rsplit("/", 1)[1], at))
-                        at += len(ids)
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "file", "start_in_file"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-
-    table = spark.createDataFrame(rows, "path string, before long, n long").repartition(len(rows), "path")
-    return table.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, start_in_file long")
+                    for doc_id, at, ids in TokenFile(source).documents(segment):
+                        out.append((doc_id, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), at))
+                        if len(out) == ROWS:
+                            yield rows_of(out, name)
+                            out = []
+                if out:
+                    yield rows_of(out, name)
+
+    # dealt in turn, not by a hash, so that tasks have equal shares
+    table = spark.createDataFrame(rows, "path string, before long, segment long").repartition(len(rows))
+    return table.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, start_in_file long")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, folder: str | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ inside the frame, so one record costs one seek and one frame.
 Of records with equal payloads (of ``least_bytes`` at least) that with the smallest page_id is a
 response, and the others revisit it. Null payloads are empty; rows that repeat the smallest page_id
 are all responses; a null page_id never is the smallest unless all are null, and then
-all are responses. Null urls are ``about:blank``; extra columns are ignored; an empty table gives no rows.
+all are responses. Null urls are ``about:blank``; extra columns are ignored; an empty table gives no rows. A very long payload is a record, and
+so a frame, of its own, which a worker holds a few times.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, new_folder, slices
+from .common import BROADCAST_ROWS, held, is_small, new_folder, slices, spread_join
 
 FRAME, LEVEL = 1 << 20, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -144,12 +145,17 @@ def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (bytes), digest (hex), and the page to which equal payloads refer.
 
     First a narrow pass finds payloads that occur more than once (grouped minima, so a payload
-    in very many pages is no hot group); then pages are joined with those, by payload digest.
+    in very many pages is no hot group). Up to a counted bound these are broadcast, and pages aren't shuffled at all; beyond it pages
+    are joined with them by digest, the pages of a common payload dealt to several tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload"))
-    often = own.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
-    return own.join(often, ["digest", "bytes"], "left").select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    often = own.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    often = held(often)
+    first = often.select("digest", "bytes", "first")
+    key = ["digest", "bytes"]
+    joined = own.join(F.broadcast(first), key, "left") if is_small(often, BROADCAST_ROWS) else spread_join(own, first, key, "page_id", "left", often.select(*key, "n"))
+    return joined.select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
@@ -162,21 +168,24 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         name, sink, writer = f"{base}/pages-{uuid.uuid4().hex}.warc.zst", None, None
-        for batch in slices(batches, "payload", 4 << 20):
-            if writer is None:
-                store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(name, compression=None)
-                writer = BundleWriter(sink)
-            entries = []
-            columns = (batch[c].to_pylist() for c in ("page_id", "url", "payload", "refers_to"))
-            for page_id, url, payload, refers_to in zip(*columns, strict=True):
-                raw = record(page_id, url, payload, payload_digest(payload), refers_to, refers_to is not None)
-                entries.append((*writer.add(raw), len(raw)))
-            frame, offset, length = zip(*entries, strict=True)
-            yield pa.RecordBatch.from_arrays([batch["page_id"].cast(pa.int64()), pa.array([name] * len(entries)), pa.array(frame, pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["page_id", "bundle", "frame", "offset", "length"])
-        if writer is not None:
-            writer.close()
-            sink.close()
+        try:
+            for batch in slices(batches, "payload"):
+                if writer is None:
+                    store.create_dir(base, recursive=True)
+                    sink = store.open_output_stream(name, compression=None)
+                    writer = BundleWriter(sink)
+                entries = []
+                columns = (batch[c].to_pylist() for c in ("page_id", "url", "payload", "refers_to"))
+                for page_id, url, payload, refers_to in zip(*columns, strict=True):
+                    raw = record(page_id, url, payload, payload_digest(payload), refers_to, refers_to is not None)
+                    entries.append((*writer.add(raw), len(raw)))
+                frame, offset, length = zip(*entries, strict=True)
+                yield pa.RecordBatch.from_arrays([batch["page_id"].cast(pa.int64()), pa.array([name] * len(entries)), pa.array(frame, pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["page_id", "bundle", "frame", "offset", "length"])
+            if writer is not None:
+                writer.close()
+        finally:
+            if sink is not None:
+                sink.close()
 
     return held(with_responses(pages, least_bytes).mapInArrow(write, ENTRY))
 

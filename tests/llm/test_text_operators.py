@@ -49,7 +49,8 @@ def test_token_file_round_trip_and_random_access(tmp_path):
         assert w.close() == (5, sizes.sum())
     f = token_ans.TokenFile(store.open_input_file(path))
     found = list(f.documents())
-    assert [d for d, _ in found] == [None, 1, 2, 3, 4] and np.array_equal(np.concatenate([x for _, x in found]), ids)
+    assert [d for d, _, _ in found] == [None, 1, 2, 3, 4] and np.array_equal(np.concatenate([x for _, _, x in found]), ids)
+    assert [a for _, a, _ in found] == (np.cumsum(sizes) - sizes).tolist() and np.array_equal(f.ids(7, 140_000), ids[7:140_000])
     assert np.array_equal(f.blocks(0, 1, 2), ids[token_ans.BLOCK : 2 * token_ans.BLOCK])
     raw = bytearray(open(path, "rb").read())
     raw[f.segments[0]["blocks"][0][0] + 500] ^= 1
