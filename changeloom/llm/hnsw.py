@@ -3,9 +3,14 @@
 Equal vectors are one class first. Classes are dealt to shards by hash; each
 shard builds a hierarchical graph over its vectors, and every class is searched
 for in every shard, blocks of queries at a time. A query whose beam is full
-of linked vectors is searched again with twice the beam. In each block some
-queries are also compared with the whole shard; if their links were not all
-found, the block's beam doubles, until a scan of the shard is what is left.
+of linked vectors is searched again with twice the beam.
+
+Recall is measured, not assumed. When a shard is built, vectors planted just inside the threshold beside its own
+vectors are searched for, and the beam widens until they are found; so an audit never passes for want of links. In every
+block and shard the queries whose vec_id is divisible by ``AUDIT`` are also compared with the whole shard (self matches
+don't count), and the block's beam doubles until their links are found, each query's by itself; a scan of the shard is what is left. Their
+recall at the first beam that passes is a column of the result.
+
 Links are cosines, in double precision, of at least ``THRESHOLD``. A query reports how
 many vectors it links with, and one link for each component inside the shard
 that it touches, which is enough to join all components; pairs within a group
@@ -14,7 +19,7 @@ of near copies are never listed.
 Vectors that are null, zero, or hold null or non-finite components are linked with
 nothing. Vectors of another dimension are never compared. Repeated rows are copies of
 each other; a null vec_id is never the smallest (a component of them alone has
-a null component_id and its rows are kept). Extra columns are ignored.
+a null component_id and its rows are kept). Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mix
+from .common import held, mix, spread_join
 from .components import connected_components
 
 THRESHOLD = 0.95
-SHARDS, SHARD_ROWS = 12, 50_000  # at least so many shards, of about so many vectors at most
+SHARD_BYTES, SHARD_LEAST = 64 << 20, 8192  # a shard's memory at most, and vectors below which shards aren't divided for the sake of more tasks
 BLOCK = 8192  # queries in a block, about
 WIDTH, BEAM = 16, 32  # links of a node (twice that on the ground layer), first beam
-AUDIT, RECALL = 48, 0.99
+AUDIT, RECALL = 50, 0.99  # each so-manieth id is audited
+PROBES, INSIDE = 64, 0.002  # planted vectors of a shard, so much above the threshold
 _CELLS = 1 << 24  # of a batch's table of visited nodes
 
 
@@ -162,17 +168,18 @@ class Layer:
 class Graph:
     """Layers over a shard's vectors, the sparsest first; level 0 has all."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, links: list[np.ndarray] | None = None, roots: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, links: list[np.ndarray] | None = None, roots: np.ndarray | None = None, beam: int = BEAM):
         if links is None:  # a node is on level k with a chance of WIDTH ** -k, told by its id
             chance = (mix(ids.view(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
             level = np.floor(-np.log(np.maximum(chance, 1e-18)) / np.log(WIDTH)).astype(np.int64)
             order = np.argsort(-level, kind="stable")
             ids, counts, vectors, level = ids[order], counts[order], vectors[order], level[order]
         self.ids, self.counts, self.exact = ids, counts, vectors
-        self.v = vectors.astype(np.float32)
+        self.v, self.beam = vectors.astype(np.float32), beam
         if links is None:
             sizes = [int((level >= k).sum()) for k in range(int(level[0]), -1, -1)]
             self.layers = [Layer(self.v, n, 2 * WIDTH if n == len(ids) else WIDTH) for n in sorted({*sizes, len(ids)})]
+            self.beam = self._probe()
             self.roots = self._roots()
         else:
             self.layers, self.roots = [Layer(self.v, len(x), x.shape[1], x) for x in links], roots
@@ -200,29 +207,55 @@ class Graph:
         return np.concatenate([np.einsum("qd,qkd->qk", q[left[k : k + 64]], self.exact[ids[k : k + 64]]) for k in range(0, len(left), 64)])
 
     def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in range(0, len(q), 256):
             a, b = np.nonzero(q[k : k + 256] @ self.exact.T >= THRESHOLD)
             parts.append((a + k, b))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def links(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links of a block of queries; the beam widens until the audit passes."""
-        audit = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(np.int64))
-        truth = {(audit[a], b) for a, b in zip(*self.scan(q[audit]), strict=True)}
+    def links(self, q: np.ndarray, audit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Links of a block of queries (query, node), and for each of ``audit`` its links by a scan and how many of them were found.
+
+        The beam widens until audited queries have their links; ``own`` is the node that a query is itself (-1: none).
+        """
+        audit = np.zeros(0, np.int64) if audit is None else audit
+        own = np.full(len(q), -1) if own is None else own
+        a, b = self.scan(q[audit])
+        other = own[audit[a]] != b
+        n = len(self.ids)
+        truth = np.unique(audit[a[other]] * n + b[other])
+        there, beam = np.bincount(truth // n, minlength=len(q)), self.beam
+        while True:
+            a, b = self.near(q, beam) if beam < n else self.scan(q)
+            found = np.bincount(truth[np.isin(truth, a * n + b)] // n, minlength=len(q))
+            if beam >= n or (found >= RECALL * there).all():
+                return a, b, there[audit], found[audit]
+            beam *= 2
+
+    def _probe(self) -> int:
+        """The least beam that finds the vector beside which each planted one lies."""
+        rng = np.random.default_rng(5)
+        at = np.unique(np.linspace(0, len(self.ids) - 1, PROBES).astype(np.int64))
+        v = self.exact[at]
+        aside = rng.normal(size=v.shape)
+        aside -= (aside * v).sum(axis=1, keepdims=True) * v
+        norm = np.linalg.norm(aside, axis=1, keepdims=True)
+        near = THRESHOLD + INSIDE
+        q = np.where(norm > 1e-9, near * v + (1 - near**2) ** 0.5 * aside / np.maximum(norm, 1e-9), v)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
         beam = BEAM
         while beam < len(self.ids):
             a, b = self.near(q, beam)
-            own = np.isin(a, audit)
-            if len(truth & set(zip(a[own], b[own], strict=True))) >= RECALL * len(truth):
-                return a, b
+            if np.isin(np.arange(len(at)) * len(self.ids) + at, a * len(self.ids) + b).mean() >= RECALL:
+                break
             beam *= 2
-        return self.scan(q)
+        return beam
 
     def _roots(self) -> np.ndarray:
         """For each node the least node of its component by links inside the shard."""
         root = np.arange(len(self.ids))
-        a, b = self.links(self.exact)
+        each = np.flatnonzero(mix(self.ids.view(np.uint64)) % np.uint64(AUDIT) == 0)
+        a, b, _, _ = self.links(self.exact, each, root)
         while True:
             low = root.copy()
             np.minimum.at(low, a, root[b])
@@ -234,13 +267,13 @@ class Graph:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, roots=self.roots, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
+        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, roots=self.roots, beam=self.beam, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> Graph:
         z = np.load(io.BytesIO(raw))
-        return cls(z["ids"], z["counts"], z["exact"], [z[k] for k in sorted(z.files) if k.startswith("layer")], z["roots"])
+        return cls(z["ids"], z["counts"], z["exact"], [z[k] for k in sorted(z.files) if k.startswith("layer")], z["roots"], int(z["beam"]))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -253,21 +286,28 @@ def _build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
 
 
 def _query(graph: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-    """For each query: the vectors linked in this shard (``found``), and a link to each component there."""
+    """For each query: the vectors linked in this shard (``found``), a link to each component there, and of audited ones the links told by a scan and found."""
     if not len(graph) or not len(f):
-        return pd.DataFrame({"node": [], "found": [], "other": []}).astype("int64")
+        return pd.DataFrame({"node": [], "found": [], "other": [], "of": [], "hit": []}).astype("int64")
     g, node = Graph.load(graph["graph"].iloc[0]), f["node"].to_numpy(np.int64)
-    a, b = g.links(_matrix(f["embedding"]))
+    order = np.argsort(g.ids, kind="stable")
+    place = np.minimum(np.searchsorted(g.ids, node, sorter=order), len(order) - 1)
+    own = np.where(g.ids[order[place]] == node, order[place], -1)
+    audit = np.flatnonzero(f["audited"].to_numpy())
+    a, b, of, hit = g.links(_matrix(f["embedding"]), audit, own)
     other = g.ids[b] != node[a]
     a, b = a[other], b[other]
     found = np.bincount(a, weights=g.counts[b], minlength=len(node)).astype(np.int64)
     pair = np.unique(np.stack([a, g.roots[b]]), axis=1)
-    some = np.flatnonzero(found)
+    some, said = np.flatnonzero(found), np.flatnonzero(of)
+    none = lambda n: np.zeros(n, np.int64)
     return pd.DataFrame(
         {
-            "node": np.concatenate([node[some], node[pair[0]]]),
-            "found": np.concatenate([found[some], np.zeros(pair.shape[1], np.int64)]),
-            "other": np.concatenate([node[some], g.ids[pair[1]]]),
+            "node": np.concatenate([node[some], node[pair[0]], node[audit[said]]]),
+            "found": np.concatenate([found[some], none(pair.shape[1]), none(len(said))]),
+            "other": np.concatenate([node[some], g.ids[pair[1]], node[audit[said]]]),
+            "of": np.concatenate([none(len(some)), none(pair.shape[1]), of[said]]),
+            "hit": np.concatenate([none(len(some)), none(pair.shape[1]), hit[said]]),
         }
     )
 
@@ -276,31 +316,37 @@ def _each(n: int):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row."""
+def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row, and ``recall`` of the audited ones that have links (share of the linked classes found)."""
     rows = held(vectors.select("vec_id", "embedding").withColumn("row", F.monotonically_increasing_id()))
     numbers = F.transform("embedding", lambda x: x.cast("double"))
     limit = F.lit(float("inf"))
     usable = F.coalesce(F.forall(numbers, lambda x: x.isNotNull() & (F.abs(x) < limit)) & F.exists(numbers, lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
     classes = held(good.groupBy("embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    total = classes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // BLOCK))
-    dealt = classes.select("node", "copies", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
+    # by memory, and for small tables as many as there are cores for, but none too small: every shard is queried for every vector
+    shards = max(1, -(-size.n * size.dim * 12 // SHARD_BYTES), min(8, -(-size.n // SHARD_LEAST)))
+    blocks = max(1, -(-size.n // BLOCK))
+    audited = F.coalesce(F.col("least") % AUDIT == 0, F.lit(False))
+    dealt = classes.select("node", "copies", "embedding", audited.alias("audited"), F.size("embedding").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
     # heavy work on few rows: the numbers of partitions are given, or they would be merged by size
     graphs = held(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard long, graph binary"))
-    asked = dealt.select("node", "embedding", "dim", "block", _each(shards).alias("shard"))
+    asked = dealt.select("node", "embedding", "dim", "block", "audited", _each(shards).alias("shard"))
     served = graphs.withColumn("block", _each(blocks))
     key = ["dim", "shard", "block"]
     parts = shards * blocks
-    answers = held(served.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(_query, "node long, found long, other long"))
-    links = answers.groupBy("node").agg(F.sum("found").alias("found"))
+    answers = held(served.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(_query, "node long, found long, other long, of long, hit long"))
+    links = answers.groupBy("node").agg(F.sum("found").alias("found"), F.sum("of").alias("of"), F.sum("hit").alias("hit"))
     roots = connected_components(answers.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").join(links, "node", "left").select(F.col("embedding"), "component_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    # by the class's own vector; rows that are linked with nothing have none
-    out = rows.join(named.withColumnRenamed("embedding", "of"), (F.when(usable, F.col("embedding")) == F.col("of")), "left")
-    component = F.when(F.col("of").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = joined.join(least, "root").join(links, "node", "left")
+    named = held(named.select(F.col("embedding").alias("key"), "component_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("of") > 0, F.col("hit") / F.col("of")).alias("recall"), F.col("copies").alias("n")))
+    # by the class's own vector, a very common one dealt to several tasks; rows that are linked with nothing have none
+    keyed = rows.select("vec_id", "row", F.when(usable, F.col("embedding")).alias("key"))
+    out = spread_join(keyed, named.drop("n"), "key", "row", "left", named.select("key", "n"))
+    component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), "recall")
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out if with_recall else out.drop("recall")

@@ -205,103 +205,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), np.array([r.quality for r in found], np.float64))
 
 
-def score(self, x: np.ndarray, whose: np.ndarray) -> np.ndarray:
-        """Scores of the bags that ``whose``, ascending, names."""
-        e = np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.p["w"] + self.p["b"])
-        a = (np.tanh(e @ self.p["v"]) * _sigmoid(e @ self.p["u"])) @ self.p["a"]
-        first = np.flatnonzero(np.diff(whose, prepend=-1))
-        a = np.exp(a - np.repeat(np.maximum.reduceat(a, first), np.diff(np.append(first, len(whose)))))
-        z = np.add.reduceat(e * a[:, None], first) / np.add.reduceat(a, first)[:, None]
-        return _sigmoid(z @ self.p["c"] + self.p["d"][0])
-
-
-def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, count: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean log loss of bags (their passages one after another in ``x``, ``count`` of each) and its gradients."""
-    first, bag = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
-    e = np.tanh(x @ p["w"] + p["b"])
-    t, s = np.tanh(e @ p["v"]), _sigmoid(e @ p["u"])
-    a = (t * s) @ p["a"]
-    a = np.exp(a - np.maximum.reduceat(a, first)[bag])
-    a /= np.add.reduceat(a, first)[bag]
-    z = np.add.reduceat(a[:, None] * e, first)
-    score = _sigmoid(z @ p["c"] + p["d"][0])
-    loss = -np.mean(y * np.log(score + 1e-12) + (1 - y) * np.log(1 - score + 1e-12))
-    dz = (score - y) / len(y)
-    back = (dz[:, None] * p["c"])[bag]
-    da = (back * e).sum(axis=1)
-    dl = a * (da - np.add.reduceat(a * da, first)[bag])
-    dt, ds = dl[:, None] * p["a"] * s * (1 - t * t), dl[:, None] * p["a"] * t * s * (1 - s)
-    de = (a[:, None] * back + dt @ p["v"].T + ds @ p["u"].T) * (1 - e * e)
-    return float(loss), {"c": z.T @ dz, "d": np.array([dz.sum()]), "a": (t * s).T @ dl, "v": e.T @ dt, "u": e.T @ ds, "w": x.T @ de, "b": de.sum(axis=0)}
-
-
-def fit(x: np.ndarray, whose: np.ndarray, y: np.ndarray, seed: int = 7) -> Model | None:
-    """Adam on the log loss, until it falls no more or ``EPOCHS`` are over. None without both labels."""
-    if len(np.unique(y)) < 2:
-        return None
-    rng = np.random.default_rng(seed)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - mean) / scale, -6, 6).astype(np.float64)
-    d = x.shape[1]
-    p = {"w": rng.normal(0, d**-0.5, (d, UNITS)), "b": np.zeros(UNITS), "v": rng.normal(0, UNITS**-0.5, (UNITS, GATES)), "u": rng.normal(0, UNITS**-0.5, (UNITS, GATES)), "a": rng.normal(0, GATES**-0.5, GATES), "c": rng.normal(0, UNITS**-0.5, UNITS), "d": np.zeros(1)}
-    m, v2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    first = np.searchsorted(whose, np.arange(len(y)))
-    count = np.diff(np.append(first, len(whose)))
-    best, since = np.inf, 0
-    for epoch in range(EPOCHS):
-        rate, total = RATE * (1 - epoch / EPOCHS), 0.0
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), BATCH):
-            own = order[k : k + BATCH]
-            n = count[own]
-            rows = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            loss, g = loss_and_gradients(p, x[rows], n, y[own])
-            total += loss * len(own) / len(y)
-            step += 1
-            for name, grad in g.items():
-                grad = grad + 1e-4 * p[name]
-                m[name] = 0.9 * m[name] + 0.1 * grad
-                v2[name] = 0.999 * v2[name] + 0.001 * grad**2
-                p[name] = p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.999**step)) + 1e-8)
-        best, since = (total, 0) if total < best - GAIN else (best, since + 1)
-        if since >= PATIENCE:
-            break
-    return Model(mean, scale, p)
-
-
-def held_out(doc_id: Column) -> Column:
-    """Rows that are never learned from: crc32 of the id as text is divisible by ``FOLDS``."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-
-
-def _training_rows(labels: DataFrame) -> DataFrame:
-    """doc_id and quality of at most TRAIN_DOCS documents, so they may be broadcast."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = F.broadcast(_training_rows(labels).withColumnRenamed("doc_id", "labelled_id"))
-    own = docs.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x, whose = passages(batch["text"])
-            rows = []
-            for k in range(batch.num_rows):
-                own = x[whose == k]
-                if len(own) > TRAIN_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(np.int64)]
-                rows.append(own.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"].cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
-
-    found = sorted(own.mapInArrow(encode, "doc_id long, quality int, x binary").collect())
-    if not found:
-        return None
-    bags = [np.frombuffer(r.x, "<f4").reshape(-1, len(_GROUPS) + 12) for r in found]
-    return fit(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([r.quality for r in found], np.float64))
-
-
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 

@@ -11,6 +11,7 @@ import pytest
 from changeloom.llm import chat_format, hnsw, queries, warc_bundles
 from changeloom.llm.components import connected_components
 from changeloom.llm.oracle import ORACLE_SQL
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,8 +50,25 @@ def test_graph_recall():
     rng = np.random.default_rng(9)
     v = hnsw.unit(np.concatenate([rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(1, 16)), 300, axis=0) + rng.normal(size=(300, 16)) * 0.02]))
     g = hnsw.Graph.load(hnsw.Graph(np.arange(len(v)), np.ones(len(v), np.int64), v).dump())
-    found, truth = set(zip(*g.links(v))), set(zip(*g.scan(v)))
-    assert found <= truth and len(found) >= 0.99 * len(truth)
+    every = np.arange(len(v))
+    a, b, of, hit = g.links(v, every[::50], every)
+    found, truth = set(zip(a, b)), set(zip(*g.scan(v)))
+    assert found <= truth and len(found) >= 0.99 * len(truth) and (hit >= 0.99 * of).all() and of.max() >= 299
+
+
+def test_planted_links_across_shards_and_their_recall(spark, monkeypatch):
+    """Single links among many vectors without any: all found, against brute force, and the recall that the run tells."""
+    monkeypatch.setattr(hnsw, "SHARD_LEAST", 700)
+    rng = np.random.default_rng(12)
+    v = hnsw.unit(rng.normal(size=(3000, 32)))
+    pair = hnsw.unit(v[:400] * 0.96 + 0.28 * hnsw.unit(rng.normal(size=(400, 32))))
+    v = np.concatenate([v, pair, np.repeat(v[:1], 900, axis=0)])
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), with_recall=True).toPandas().sort_values("vec_id")
+    linked = v @ v.T >= hnsw.THRESHOLD
+    want = linked.sum(axis=1) - 1
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.99 * want.sum() and (got.n_links.to_numpy()[::50] == want[::50]).mean() >= 0.99
+    assert (want[3000:3400] > 0).sum() > 300 and got.recall.dropna().min() >= 0.9 and got.recall.notna().sum() >= 5
 
 
 PAGES = [(1, "a\r\nb é", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (1, "q", "x"), (None, "u", "zz"), (8, "v", "é" * 700_000), (9, "w", "x\r\n\r\nWARC/1.1")]
@@ -156,6 +174,58 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == before.columns
 
 
+def test_pipeline_run_equals_its_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    own, want = corpus_pipeline.run(spark, SF), docs
+    assert own.columns == want.columns
+    piece = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(own.select(*piece).collect()) == sorted(want.select(*piece).collect())
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated and shared doc_ids, extra columns named as the operators' own: kept as they are where no stage removes them."""
+    import corpus_pipeline
+
+    line = "a line of some length that is only here, with 3 words more than that"
+    rows = [(None, None, "x"), (None, line, "x"), (1, line, "y"), (1, "quite another text, and a longer one at that", "z"), (2, "", "w"), (3, "short\nshort\nlong enough to be a line", "v")]
+    schema = "doc_id long, text string, n_lines string"
+    extra = lambda df: df.select("*", *[F.lit("own").alias(c) for c in ("n_exact", "n_near", "gone", "gone_t", "t", "node", "score", "label", "h", "place")])
+    docs, empty = extra(spark.createDataFrame(rows, schema)), extra(spark.createDataFrame([], schema))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == empty.columns and stage(spark, empty, SF).count() == 0
+        assert {r.n_near for r in docs.collect()} == {"own"}
+    want = [(None, None, "x"), (None, line, "x"), (1, "quite another text, and a longer one at that", "z"), (2, "", "w"), (3, "short\nlong enough to be a line", "v")]
+    assert sorted([(r.doc_id, r.text, r.n_lines) for r in docs.collect()], key=str) == sorted(want, key=str)
+    assert corpus_pipeline.STAGES[0][1](spark, empty, SF).count() == corpus_pipeline.STAGES[4][1](spark, empty, SF).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).select("doc_id").distinct().count() == 4
+
+
+def test_archive_query_equals_a_plain_version(spark):
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    first = {}
+    for i, raw in sorted(pages):
+        first.setdefault(raw, i)
+    want = sorted((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first[raw] == i else "revisit", None if first[raw] == i else first[raw]) for i, raw in pages)
+    got = queries.QUERIES["op2_warc_bundles"](spark, SF).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_a_common_payload_is_dealt_to_parts(spark, monkeypatch):
+    from changeloom.llm import common
+
+    monkeypatch.setattr(warc_bundles, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "LIGHT", 5)
+    pages = spark.createDataFrame([(k, "u", "common" if k % 2 else f"page {k}") for k in range(200)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc_bundles.archive(pages).collect()}
+    assert got == {k: ("revisit", 1) if k % 2 and k > 1 else ("response", None) for k in range(200)}
+
+
 def test_benchmark_times_the_pipeline(spark, monkeypatch, capsys):
     import json
 

@@ -15,6 +15,7 @@ from changeloom.llm.oracle import ORACLE_SQL
 from changeloom.llm.tokens import BatchEncoder, default_tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, node string, label int, parts string, gone string, score double"
@@ -410,3 +411,144 @@ def test_query_equals_sql(spark, name):
     own, other = queries.QUERIES[name](spark, SF), duck.sql(ORACLE_SQL[name])
     order = [own.columns.index(c) for c in other.columns]
     assert sorted((tuple(r[i] for i in order) for r in own.collect()), key=str) == sorted(other.fetchall(), key=str)
+
+
+def plain_loss(p, bags, y):
+    """The attention's formulas document by document."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    total = 0.0
+    for x, label in zip(bags, y):
+        e = np.tanh(x @ p["w"] + p["b"])
+        a = np.array([np.sum(p["a"] * np.tanh(row @ p["v"]) * sig(row @ p["u"])) for row in e])
+        a = np.exp(a) / np.exp(a).sum()
+        score = sig(sum(w * row for w, row in zip(a, e)) @ p["c"] + p["d"][0])
+        total -= label * np.log(score) + (1 - label) * np.log(1 - score)
+    return total / len(y)
+
+
+def test_attention_scores_and_gradients_equal_a_plain_version():
+    rng = np.random.default_rng(8)
+    d, units, gates = 5, 4, 3
+    p = {"w": rng.normal(size=(d, units)), "b": rng.normal(size=units), "v": rng.normal(size=(units, gates)), "u": rng.normal(size=(units, gates)), "a": rng.normal(size=gates), "c": rng.normal(size=units), "d": rng.normal(size=1)}
+    bags, y = [rng.normal(size=(n, d)) for n in (1, 7, 2, 30)], np.array([1.0, 0, 0, 1])
+    count = np.array([len(b) for b in bags])
+    loss, grads = quality_mil.loss_and_gradients(p, np.concatenate(bags), count, y)
+    assert abs(loss - plain_loss(p, bags, y)) < 1e-9
+    for name, g in grads.items():
+        for at in list(np.ndindex(p[name].shape))[:6]:
+            moved = []
+            for step in (1e-5, -1e-5):
+                other = {k: v.copy() for k, v in p.items()}
+                other[name][at] += step
+                moved.append(plain_loss(other, bags, y))
+            assert abs((moved[0] - moved[1]) / 2e-5 - g[at]) < 1e-6
+    model = quality_mil.Model(np.zeros(d), np.ones(d), p)
+    scores = model.score(np.concatenate(bags), np.repeat(np.arange(4), count))
+    assert abs(-np.mean(y * np.log(scores) + (1 - y) * np.log(1 - scores)) - loss) < 1e-6
+
+
+def test_learning_takes_whole_bags_and_one_text_of_a_doc_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_mil, "fit", lambda x, whose, y: seen.append((len(x), np.bincount(whose).tolist(), y.tolist())))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:3]
+    rows = [(ids[0], "w " * 20_000), (ids[1], "a b"), (ids[1], "another text"), (ids[1], "a b"), (ids[2], None)]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    quality_mil.train(documents(spark, rows), labels)
+    assert seen[0][0] == -(-20_000 // 64) + 2 and sorted(seen[0][1]) == [1, 1, 313]
+    monkeypatch.setattr(quality_mil, "TRAIN_PASSAGES", 313)
+    quality_mil.train(documents(spark, rows), labels)
+    assert all(n in (1, 313) for n in seen[1][1]) and sum(seen[1][1]) <= 313  # whole bags or none
+
+
+def test_held_out_accuracy_on_the_labels(spark):
+    got = queries.QUERIES["op1_quality_mil"](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
+    held = got[got.held_out & got.quality.notna()]
+    assert len(held) and (held.predicted == held.quality).mean() >= 0.9
+
+
+def test_packing_deals_a_common_length_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 5)
+    docs = documents(spark, [(k, "a b c") for k in range(300)] + [(1000 + k, "word " * (k % 9)) for k in range(60)])
+    got = packing.pack(docs, sequence_length=16).toPandas()
+    ends = got.sort_values("offset").groupby("sequence_id").apply(lambda g: (g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist()) and g["length"].sum() <= 16, include_groups=False)
+    assert ends.all() and len(got) == len(got.drop_duplicates(["sequence_id", "offset"])) and got.sequence_id.nunique() <= 1.2 * got["length"].sum() / 16
+
+
+def test_packing_query_equals_the_tokenizer(spark):
+    """Every id of every document of the table lies in one piece, with the ids' checksum."""
+    got = queries.QUERIES["op6_packing"](spark, SF).toPandas()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for doc_id, own in got.groupby("doc_id"):
+        ids, at = ids_of(texts[doc_id], 1), 0
+        for r in own.sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert set(got.doc_id) == set(texts) and got["length"].sum() >= 0.95 * 2048 * got.sequence_id.nunique()
+
+
+def test_token_query_equals_the_tokenizer(spark):
+    got = queries.QUERIES["op4_token_ans"](spark, SF).orderBy("start").toPandas()
+    at = 0
+    for r, (doc_id, text) in zip(got.itertuples(), sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), strict=True):
+        ids = ids_of(text, 0)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_secret_query_equals_plain_patterns(spark):
+    """Base spans of the table's texts by patterns written out anew, and no span lost."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rules = (("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))
+    for r in queries.QUERIES["op5_secret_scan"](spark, SF).collect():
+        want = []
+        for rank, (kind, pattern, least) in enumerate(rules):
+            want += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, texts[r.doc_id], re.ASCII) if len(m[2] if kind == "assign" else m[0]) >= least]
+        assert r.base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(want)).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
+        assert {x[2] for x in want} <= set(r.spans.split(","))
+
+
+def test_documents_with_common_boilerplate_are_no_near_copies(spark, monkeypatch):
+    """A hot key: many documents share a passage, a few of them are near copies; blocks are small, so that the hot key takes many."""
+    monkeypatch.setattr(minhash_mih, "BLOCK", 16)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common = [word() for _ in range(24)]
+    rows = [(k, " ".join(common + [word() for _ in range(16)])) for k in range(150)]
+    for k in range(30):
+        own = rows[k * 5][1].split(" ")
+        own[-1 - k % 3] = word()
+        rows.append((500 + k, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in minhash_mih.near_duplicates(documents(spark, rows)).collect()}
+    root = components(rows, near)
+    assert got == {i: min(rows[j][0] for j in range(len(rows)) if root[j] == root[k]) for k, (i, _) in enumerate(rows)}
+
+
+def test_very_long_texts_and_lines(spark):
+    """A text of megabytes, a single huge line, a single huge word: the same results as for short ones."""
+    rng = random.Random(1)
+    words = " ".join(str(rng.randrange(10**6)) for _ in range(250_000))
+    lines = "\n".join(f"line number {k} of a long text" for k in range(60_000))
+    rows = [(1, words), (2, words + " end"), (3, "x" * 1_500_000), (4, "y" * 1_500_000), (5, lines)]
+    docs = documents(spark, rows)
+    near_ids = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash_mih.near_duplicates(docs).collect()}
+    assert {i: c for i, (c, _) in near_ids.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert near_ids[1][1] == len(shingles(words)) and near_ids[3][1] == 1
+    packed = packing.pack(docs.where("doc_id = 1")).agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert packed[0] == packed[1] > 500_000
+    spans = token_ans.encode_corpus(docs.where("doc_id < 3")).collect()
+    assert {r.doc_id for r in spans} == {1, 2}
+    assert quality_mil.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 5
+    assert secret_scan.summarize(docs).count() == 5
+
+
+def test_joins_deal_hot_keys_to_parts(spark, monkeypatch):
+    from changeloom.llm import common
+
+    monkeypatch.setattr(common, "LIGHT", 10)
+    many = spark.range(1000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"))
+    one = many.select("k").distinct().where("k is not null and k <> 11").withColumn("v", F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = sorted(tuple(r) for r in common.spread_join(many, one, "k", "row", how).select("row", "v").collect())
+        assert got == sorted(tuple(r) for r in many.join(one, "k", how).select("row", "v").collect())
