@@ -161,15 +161,19 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 LIGHT, HEAVY_KEYS = 128, 50_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, how: str = "inner", counts: DataFrame | None = None, narrow: bool = False, rows: int | None = None) -> DataFrame:
     """``many`` joined with ``one`` on ``key``, which is unique in ``one``, so that no task gets a hot key whole.
 
     A key with very many rows in ``many`` is dealt to parts by the hash of the column ``by``; its row of ``one`` is
     copied for each part. Heavy keys have more than 1 / HEAVY_KEYS of all rows, so there are at most HEAVY_KEYS
     of them, which bounds what is broadcast. ``many`` is read thrice: hold what is dear. ``counts`` (key, n) may be given.
+    Few rows of longs are broadcast themselves (``narrow``). ``rows``: a known bound on the rows of ``many``.
     """
     keys = [key] if isinstance(key, str) else key
-    most = max(LIGHT, many.count() // HEAVY_KEYS)
+    rows = many.count() if rows is None else rows
+    if narrow and rows <= BROADCAST_ROWS:
+        return F.broadcast(many).join(one, keys, how)
+    most = max(LIGHT, rows // HEAVY_KEYS)
     n = counts if counts is not None else many.groupBy(*keys).agg(F.count("*").alias("n"))
     heavy = n.where(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("n") / most).alias("_parts"))
     heavy = F.broadcast(held(heavy))

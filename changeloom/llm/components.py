@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, spread_join
+from .common import BROADCAST_ROWS, held, spread_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,11 +20,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = held(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     while not _is_stars(e):
+        n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = held(spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = spread_join(both.where("v > u"), least, "u", "v", narrow=True, rows=n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if n <= BROADCAST_ROWS else held(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, "u", "v", narrow=True, rows=n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = held(small.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

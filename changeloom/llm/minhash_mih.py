@@ -37,6 +37,7 @@ from .components import connected_components
 
 SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 31
 WORDS, PERCENT = 5, 75
+KEYS_BROADCAST = 500_000  # of two longs each, some 30 MB; what joins with them is the largest table here
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # nodes (and their shingles) compared with as many at a time
 
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -171,7 +172,8 @@ def _components(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
     keys = classes.select("node", "symbols", "n_shingles").mapInArrow(_keys, "key long, node long, n_shingles long")
     # tables of a few longs a row are broadcast up to a counted bound, and shuffled beyond it
     few = lambda df: bounded_broadcast(held(df))
-    met = held(keys.join(few(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")), "key"))
+    shared = held(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    met = held(keys.join(bounded_broadcast(shared, KEYS_BROADCAST), "key"))
     nodes = few(met.groupBy("node").agg(F.sum("members").alias("weight")))
     met = met.join(nodes, "node").select("key", "node", "n_shingles", "weight")
     wanted = held(classes.join(nodes, "node", "left_semi").select("s1", "s2", "n_shingles", "node", "doc_id", "symbols"))
@@ -185,7 +187,7 @@ def _components(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
     pairs = met.join(best, "key").where((F.col("node") != F.col("best.node")) & likely).groupBy("node").agg(F.max("best").alias("best"))
     pairs = held(pairs.select(F.col("node").alias("a"), F.col("best.node").alias("b")))
     # a has one pair, but very many may have the same b
-    both = spread_join(pairs, sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b", "a").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
+    both = spread_join(pairs, sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b", "a", narrow=True).join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
     common = F.size(F.array_intersect("x", "y"))
     linked = both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
     roots = held(connected_components(linked))
