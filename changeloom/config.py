@@ -21,6 +21,7 @@ class Database:
     read_timeout: int = 30
 
 
+# The settings' defaults, and below the names of sections and keys, which configuration files rely on.
 @dataclass
 class Settings:
     database: Database = field(default_factory=Database)
@@ -33,6 +34,7 @@ class Settings:
     exclude_tables: list[str] = field(default_factory=list)
     include_databases: list[str] = field(default_factory=list)
     exclude_databases: list[str] = field(default_factory=list)
+    staging_path: str = "./cdc_staging"  # where events are written before they are delivered
     snapshot_enabled: bool = True
     snapshot_chunk_size: int = 1000
     batch_size: int = 100
@@ -59,6 +61,7 @@ class Settings:
             for key, attribute in names.items():
                 if key in (raw.get(section) or {}):
                     setattr(out, attribute, raw[section][key])
+        out.staging_path = raw.get("staging_path", out.staging_path)
         if raw.get("sink"):
             out.sink = dict(raw["sink"])
         return out

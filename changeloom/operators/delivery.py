@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import batch_key
 from ..functions.positions import highest
+from .transactions import CAP
 
 
 def numbered(rows: DataFrame, order: str, bucket: Column) -> DataFrame:
@@ -30,6 +31,38 @@ def batch_offsets(batches: DataFrame, by: str = "batch_no") -> DataFrame:
     return batches.groupBy(by).agg(highest().alias("max_position"))
 
 
+def batched(events: DataFrame, cap: int = CAP, size: int = 100, tx: str = "transaction_id") -> DataFrame:
+    """The events with ``delivery_batch``, and ``pending`` for those of transactions that are still open (no batch).
+
+    A transaction from its (last) begin to its commit is a batch; one with more than ``cap`` events is cut there, and what follows
+    is loose. So are events without a transaction or whose begin isn't here; they make batches of ``size`` in log order.
+    """
+    kind = "event_type" if "event_type" in events.columns and "kind" not in events.columns else "kind"  # of events, or of log records
+    at = F.struct(F.coalesce("binlog_file", F.lit("")).alias("f"), F.coalesce("position", F.lit(0)).alias("p"))
+    has = F.col(tx).isNotNull()
+    own = Window.partitionBy(tx)
+    placed = events.where(has).withColumn("_at", at).withColumn("_begin", F.max(F.when(F.col(kind) == "tx_begin", F.col("_at"))).over(own))
+    kept = placed.where(F.col("_begin").isNull() | (F.col("_at") >= F.col("_begin"))).withColumn("_n", F.row_number().over(own.orderBy("_at", F.col(kind) != "tx_begin", F.col(kind) == "tx_commit")))
+    closed = F.min(F.when(F.col(kind) == "tx_commit", F.col("_n"))).over(own)
+    kept = kept.withColumn("_closed", closed).withColumn("_last", F.max("_n").over(own))
+    inside = F.col("_begin").isNotNull() & (F.col("_n") <= F.least(F.lit(cap + 1), F.coalesce("_closed", F.col("_n"))))
+    whole = (F.col("_closed") <= cap + 1) | (F.col("_last") > cap)
+    names = events.columns
+    labelled = kept.withColumn("_in", inside).withColumn("delivery_batch", F.when(inside & whole, F.concat(F.lit("tx-"), F.col(tx).cast("string"))))
+    labelled = labelled.withColumn("pending", inside & ~F.coalesce(whole, F.lit(False)))
+    loose = labelled.where(~F.col("_in")).select(*names, "_at").unionByName(events.where(~has).withColumn("_at", at))
+    bucket = F.struct(F.col("_at.f").alias("f"), F.floor(F.col("_at.p") / (1 << 20)).alias("p"))
+    loose = size_batches(loose, "_at", bucket, size).withColumn("delivery_batch", F.concat(F.lit("loose-"), F.col("batch_no").cast("string")))
+    return labelled.where("_in").select(*names, "delivery_batch", "pending").unionByName(loose.select(*names, "delivery_batch", F.lit(False).alias("pending")))
+
+
+def summary(batches: DataFrame) -> DataFrame:
+    """One row about what ``batched`` gives: batches, events delivered and pending, and the last position."""
+    done = ~F.col("pending")
+    top = F.max(F.when(done & F.col("binlog_file").isNotNull(), F.struct("binlog_file", F.coalesce("position", F.lit(0)).alias("position"))))
+    return batches.agg(F.countDistinct("delivery_batch").alias("batches_delivered"), F.count_if(done).alias("events_delivered"), F.count_if(~done).alias("events_pending"), top["binlog_file"].alias("last_binlog_file"), top["position"].alias("last_position"))
+
+
 def payloads(batches: DataFrame, by: str, key: str = "idempotency_key", tx: str = "transaction_id") -> DataFrame:
     """What a webhook is sent about each batch: counts, greatest position, its only transaction, and the batch's key."""
     agg = batches.groupBy(by).agg(

@@ -36,7 +36,11 @@ def envelopes(log: DataFrame, history: DataFrame, source: str = "mysql", qualifi
     An operation other than INSERT, UPDATE and DELETE is an error. Row counts are of the
     rows given, so filter tables first.
     """
-    own = schema_at(log, history)
+    commit = F.coalesce(F.col("kind") == "tx_commit", F.lit(False))
+    own = schema_at(log.where(~commit), history)
+    # only commits meet their transactions' counts: rows, and records without a transaction, aren't shuffled
+    counts = log.where("kind = 'row' and transaction_id is not null").groupBy("transaction_id").agg(F.count("*").alias("rows_in_tx"))
+    own = own.unionByName(log.where(commit).join(counts, "transaction_id", "left"), allowMissingColumns=True)
     row = F.col("kind") == "row"
     op = F.upper("operation")
     checked = F.when(~row, F.lit(None).cast("string")).when(op.isin("INSERT", "UPDATE", "DELETE"), op).otherwise(F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("operation", F.lit("null")))))
@@ -44,8 +48,6 @@ def envelopes(log: DataFrame, history: DataFrame, source: str = "mysql", qualifi
     own = own.withColumn("before_columns", F.when(row, named(F.when(F.col("change_type") != "INSERT", F.col("before_row")), F.col("h_columns"))))
     own = own.withColumn("after_columns", F.when(row, named(F.when(F.col("change_type") != "DELETE", F.col("after_row")), F.col("h_columns"))))
     own = own.withColumn("primary_key", F.when(row, primary_key(F.col("before_columns"), F.col("after_columns"), F.col("h_primary_key_columns"))))
-    counts = log.where("kind = 'row' and transaction_id is not null").groupBy("transaction_id").agg(F.count("*").alias("rows_in_tx"))
-    own = own.join(counts, "transaction_id", "left")
     text, kind = key_text(F.col("primary_key")), F.col("kind")
     return own.select(
         F.replace(F.uuid(), F.lit("-")).alias("event_id"),

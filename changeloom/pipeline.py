@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.positions import resume
+from .operators.delivery import batched
 from .operators.envelope import envelopes, snapshot_envelopes
 from .operators.filters import without_boundaries
 from .operators.history import schema_history
+from .operators.transactions import CAP
 from .schemas import SCHEMA_HISTORY
 from .sinks import Sink, create
 from .sources.snapshot import Snapshot
@@ -23,6 +26,8 @@ from .streaming.run import deliver
 class Pipeline:
     """Runs what is new: with no offset a snapshot first, then the log from its position on.
 
+    Events carry their ``delivery_batch``: whole transactions (cut at the cap), loose events by ``batch_size``, and chunks of the snapshot.
+
     Each run delivers, then acknowledges; a run that fails is repeated from the last
     acknowledged position (whose own record is delivered again).
     """
@@ -57,24 +62,34 @@ class Pipeline:
         total = 0
         if self.offsets.committed is None and snapshot is not None and self.settings.snapshot_enabled:
             self.offsets.begin_snapshot()
-            total += self._deliver(snapshot_envelopes(snapshot.rows(self.spark, self.settings.tables), snapshot.binlog_file, snapshot.position))
+            rows = snapshot_envelopes(snapshot.rows(self.spark, self.settings.tables), snapshot.binlog_file, snapshot.position)
+            # chunks by the key's hash: rows of a snapshot have no order
+            chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*").over(Window.partitionBy("database", "table")) / self.settings.snapshot_chunk_size))
+            chunk = F.pmod(F.xxhash64("idempotency_key"), chunks)
+            total += self._deliver(rows.withColumn("delivery_batch", F.concat_ws("-", F.lit("snapshot"), "database", "table", chunk)).withColumn("pending", F.lit(False)))[0]
             self.offsets.end_snapshot(snapshot.binlog_file, snapshot.position)
         save_history(history, self.settings.schema_path)
         own = resume(log, self.offsets.committed)
-        total += self._deliver(self.events(own, load_history(self.spark, self.settings.schema_path)))
-        top = own.agg(F.max(F.struct("binlog_file", "position")).alias("top")).first().top
+        events = self.events(own, load_history(self.spark, self.settings.schema_path))
+        n, top = self._deliver(batched(events, CAP, self.settings.batch_size))
         if top is not None:
-            self.offsets.ack(top.binlog_file, top.position)
+            self.offsets.ack(*top)
             self.offsets.flush()
-        return total
+        return total + n
+
+    def _deliver(self, events: DataFrame) -> tuple[int, tuple[str, int] | None]:
+        """Delivers what has a batch; the number of events, and the position up to which nothing is pending.
 
-    def _deliver(self, events: DataFrame) -> int:
-        events = events.orderBy("binlog_file", "position").persist()
-        try:
-            n = events.count()
-            if n:
-                deliver(self.sink, events, self.runs, attempts=5)
-                self.runs += 1
-            return n
-        finally:
-            events.unpersist()
+        Events are written durably first, so that their ids stay the same whatever is lost or delivered again.
+        """
+        staged = f"{self.settings.staging_path}/run-{uuid.uuid4().hex}"
+        events.write.parquet(staged)
+        events = self.spark.read.parquet(staged)
+        place = F.when(F.col("binlog_file").isNotNull(), F.struct("binlog_file", "position"))
+        seen = events.agg(F.count_if(~F.col("pending")).alias("n"), F.max(F.when(~F.col("pending"), place)).alias("top"), F.min(F.when(F.col("pending"), place)).alias("open")).first()
+        if seen.n:
+            deliver(self.sink, events.where(~F.col("pending")).drop("pending"), self.runs, attempts=5)
+            self.runs += 1
+        # a transaction that is still open is read again from its begin
+        last = min((x for x in (seen.top, seen.open) if x is not None), default=None) if seen.open is not None else seen.top
+        return seen.n, None if last is None or not seen.n else (last.binlog_file, last.position)

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import batch_key, dedup_key, idempotency_key, key_text
+from ..functions.ddl import statement_kind, table_of
+from ..functions.keys import batch_key
 from ..functions.positions import at_or_after, committed_so_far, position
 from ..operators import asof, delivery, transactions, views
-from ..operators.envelope import named
-from ..operators.filters import TableFilter
-from ..operators.history import schema_history
+from ..operators.envelope import as_map, envelopes, named, snapshot_envelopes, to_json
+from ..operators.filters import TableFilter, without_boundaries
+from ..operators.history import latest_version, schema_history
+from ..sources.landed import from_binlog_events
+from ..sources.snapshot import Snapshot, SnapshotTable, page
 from . import changelog as c
 
 
@@ -68,13 +71,135 @@ def resume_from(s: SparkSession, d: str) -> DataFrame:
     return c.log(s, d).where(at_or_after(f"{c.FILE}000002", 4 + 128 * 300)).agg(F.count("*").alias("n"))
 
 
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return envelopes(c.raw(s, d), c.full_history(s))
+
+
+def _cell(image: F.Column, name: str) -> F.Column:
+    return F.element_at(as_map(image), name)
+
+
 def before_after(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    """What an update's two images say of one column, of the table whose images match its columns."""
+    updates = _events(s, d).where("change_type = 'UPDATE' and table = 'user_state'")
+    return updates.select(F.element_at("primary_key", "user_id").alias("user_id"), "binlog_file", "position", _cell(F.col("before_columns"), "value").alias("before_value"), _cell(F.col("after_columns"), "value").alias("after_value"))
+
+
+def _line(image: F.Column) -> F.Column:
+    return F.array_join(F.transform(image, lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x["value"], F.lit("~")))), "|")
+
+
+def envelope_rows(s: SparkSession, d: str) -> DataFrame:
+    key = F.array_join(F.transform(F.map_entries("primary_key"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|")
+    return _events(s, d).where("event_type = 'row'").select("source", "database", "table", "change_type", _line(F.col("before_columns")).alias("before_image"), _line(F.col("after_columns")).alias("after_image"), key.alias("key_text"), "binlog_file", "position", F.col("timestamp").alias("event_ts"), "transaction_id", "idempotency_key", "dedup_key")
+
+
+def envelope_types(s: SparkSession, d: str) -> DataFrame:
+    """The labels of the images' columns: the schema's where widths agree, none where columns are anonymous."""
+    cells = _events(s, d).where("event_type = 'row'").select(F.explode(F.concat("before_columns", "after_columns")).alias("x"))
+    return cells.groupBy(F.col("x.name").alias("col_name"), F.col("x.data_type").alias("data_type")).agg(F.count("*").alias("n"))
+
+
+def envelope_marks(s: SparkSession, d: str) -> DataFrame:
+    """Begins, commits (with the rows of their transaction) and statements (with the version that they made)."""
+    return _events(s, d).where("event_type <> 'row'").select("event_type", "table", "ddl_statement", "schema_version", "row_count", "binlog_file", "position", "transaction_id", "idempotency_key", "dedup_key", F.size("primary_key").alias("key_size"))
+
+
+def filtered_row_counts(s: SparkSession, d: str) -> DataFrame:
+    """Commits count the rows of captured tables only, down to none."""
+    kept = TableFilter(exclude_tables=("app.user_state",)).apply(c.raw(s, d))
+    return envelopes(kept, c.full_history(s)).where("event_type = 'tx_commit'").groupBy("row_count").agg(F.count("*").alias("n"))
+
+
+def event_json(s: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines, nulls included, but for their random ids."""
+    return to_json(_events(s, d).select("event_type", "change_type", "schema_version", "row_count", "binlog_file", "position", "transaction_id", "dedup_key"))
+
+
+def images_as_maps(s: SparkSession, d: str) -> DataFrame:
+    """Of columns with one name the last counts."""
+    twice = F.concat("after_columns", F.array(F.struct(F.lit("event_type").alias("name"), F.lit("again").alias("value"), F.lit(None).cast("string").alias("data_type"))))
+    own = _events(s, d).where("change_type = 'INSERT'").select("binlog_file", "position", as_map(twice).alias("m"))
+    return own.select("binlog_file", "position", F.size("m").alias("n"), F.element_at("m", "event_type").alias("event_type"), F.element_at("m", "user_id").alias("user_id"))
+
+
+def snapshot_envelope_rows(s: SparkSession, d: str) -> DataFrame:
+    """Snapshot rows by the library's reader and envelopes; a row longer than the columns is cut."""
+    own = c.snapshot(s, d)
+    tables = [SnapshotTable("app", t, own.where(F.col("tbl") == t).select("user_id", (F.col("user_id") * 2).alias("twice")), ["user_id"]) for t in ("audit", "user_state")]
+    snapshot = Snapshot(f"{c.FILE}000001", 4, tables)
+    rows = snapshot.rows(s, TableFilter()).withColumn("row", F.concat("row", F.array(F.lit("more"))))
+    found = snapshot_envelopes(rows, snapshot.binlog_file, snapshot.position)
+    return found.select("event_type", "table", _line(F.col("after_columns")).alias("after_image"), "binlog_file", "position", "transaction_id", "idempotency_key", "dedup_key")
+
+
+def snapshot_schema(s: SparkSession, d: str) -> DataFrame:
+    """The history's entries of a snapshot's tables that the filter passes."""
+    own = c.snapshot(s, d)
+    tables = [SnapshotTable("app", t, own.select("user_id", "position"), ["user_id"]) for t in ("audit", "user_state")]
+    found = Snapshot(f"{c.FILE}000001", 4, tables).history(s, TableFilter(exclude_tables=("app.audit",)))
+    return found.select("database", "table", "binlog_file", "position", "version", F.posexplode("columns").alias("i", "x")).select("database", "table", "binlog_file", "position", "version", "i", F.col("x.name").alias("col_name"), F.col("x.data_type").alias("data_type"), F.col("x.is_primary_key").alias("in_key"))
+
+
+def snapshot_page(s: SparkSession, d: str) -> DataFrame:
+    return page(c.snapshot(s, d).select("user_id", "tbl"), ["user_id", "tbl"], 3, 20)
 
-    before = F.lag("value").over(Window.partitionBy("tbl", "user_id").orderBy("slot"))
-    rows = c.log(s, d).where("kind = 'row'")
-    # the image before an update is what the key's change before left; only updates are shown
-    return rows.where("op = 'UPDATE'").select("user_id", "position", before.alias("before_value"), "value")
+
+def binlog_records(s: SparkSession, d: str) -> DataFrame:
+    """Raw binlog events as log records: kinds, operations, a record a row, names of transactions."""
+    own = from_binlog_events(c.binlog(s, d))
+    return own.select("kind", "operation", "table", "binlog_file", "position", "transaction_id", F.get("before_row", F.lit(0)).alias("before_id"), F.get("after_row", F.lit(0)).alias("after_id"))
+
+
+def statement_kinds(s: SparkSession, d: str) -> DataFrame:
+    from .statements import QUERIES
+
+    return s.createDataFrame(list(enumerate(QUERIES)), "k bigint, query string").select("k", statement_kind(F.col("query"), F.col("k") % 2 == 0).alias("kind"), table_of(F.col("query")).alias("table_name"))
+
+
+def ddl_filter(s: SparkSession, d: str) -> DataFrame:
+    """Statements of captured tables pass, and those whose table isn't known."""
+    from .statements import statements
+
+    unknown = statements(s).where("table in ('users', 'keys')").withColumn("table", F.when(F.col("table") == "users", F.lit("")))
+    log = statements(s).select("kind", "database", "table").union(unknown.select("kind", "database", "table")).union(c.raw(s, d).select("kind", "database", "table"))
+    kept = TableFilter(include_databases=("app",), exclude_tables=("app.audit", "app.gone")).apply(log)
+    return kept.groupBy("kind", F.coalesce("table", F.lit("?")).alias("table_name")).agg(F.count("*").alias("n"))
+
+
+def boundaries_off(s: SparkSession, d: str) -> DataFrame:
+    return without_boundaries(c.raw(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count("transaction_id").alias("in_transactions"))
+
+
+def tx_assembly(s: SparkSession, d: str) -> DataFrame:
+    """Transactions as ordered batches, cut beyond a cap of four."""
+    log = c.log(s, d).withColumn("delivery_seq", F.col("slot"))
+    found = transactions.assemble(log, "tx", cap=4)
+    kinds = F.array_join(F.transform("events", lambda e: e["kind"]), ",")
+    slots = F.array_join(F.transform("events", lambda e: e["slot"].cast("string")), ",")
+    return found.select("tx", kinds.alias("kinds"), slots.alias("slots"), "n", "cut", F.col("max_position.binlog_file").alias("max_file"), F.col("max_position.position").alias("max_pos"))
+
+
+def delivery_batches(s: SparkSession, d: str) -> DataFrame:
+    """Whole transactions, parts beyond a cap of four, loose events by fifty, and what is pending."""
+    found = delivery.batched(c.raw(s, d), cap=4, size=50)
+    return found.groupBy("delivery_batch", "pending").agg(F.count("*").alias("n"), F.min("position").alias("least_position"))
+
+
+def delivery_summary(s: SparkSession, d: str) -> DataFrame:
+    return delivery.summary(delivery.batched(c.raw(s, d), size=50))
+
+
+def batch_offsets(s: SparkSession, d: str) -> DataFrame:
+    """The greatest (file, position) of each batch of events in delivery order."""
+    batches = delivery.size_batches(c.delivered(s, d).where("kind = 'row'"), "delivery_seq", F.floor(F.col("delivery_seq") / 100_000), 70)
+    return delivery.batch_offsets(batches).select("batch_no", F.col("max_position.binlog_file").alias("max_file"), F.col("max_position.position").alias("max_pos"))
+
+
+def mixed_payloads(s: SparkSession, d: str) -> DataFrame:
+    """Payloads of batches that hold several transactions (then none is named) or one."""
+    rows = c.events(s, d).withColumn("batch", F.when(F.col("tx") % 3 == 0, F.col("tx")).otherwise(F.floor(F.col("tx") / 10) * 10 + 1))
+    return delivery.payloads(rows, "batch", tx="tx")
 
 
 def _decoded(s: SparkSession, d: str) -> DataFrame:
@@ -102,9 +227,10 @@ def snapshot_union(s: SparkSession, d: str) -> DataFrame:
 
 
 def _snapshot_keys(s: SparkSession, d: str) -> DataFrame:
-    key = key_text(F.create_map(F.lit("user_id"), F.col("user_id").cast("string")))
-    source, kind = F.lit("mysql"), F.lit("snapshot")
-    return c.snapshot(s, d).select(dedup_key(source, F.lit("app"), F.col("tbl"), key).alias("dedup_key"), idempotency_key(source, F.col("binlog_file"), F.col("position"), kind, key).alias("idempotency_key"), kind.alias("kind"), "binlog_file", "position", F.lit(-1).cast("bigint").alias("delivery_seq"))
+    own = c.snapshot(s, d)
+    tables = [SnapshotTable("app", t, own.where(F.col("tbl") == t).select("user_id"), ["user_id"]) for t in ("audit", "user_state")]
+    found = snapshot_envelopes(Snapshot(f"{c.FILE}000001", 4, tables).rows(s), f"{c.FILE}000001", 4)
+    return found.select("dedup_key", "idempotency_key", F.col("event_type").alias("kind"), "binlog_file", "position", F.lit(-1).cast("bigint").alias("delivery_seq"))
 
 
 def snapshot_overlap_latest(s: SparkSession, d: str) -> DataFrame:
@@ -132,11 +258,9 @@ def sink_dedup_anti(s: SparkSession, d: str) -> DataFrame:
 
 
 def webhook_payload_meta(s: SparkSession, d: str) -> DataFrame:
-    log = c.log(s, d)
-    has = lambda kind: F.max(F.col("kind") == kind)
-    top = F.max(F.struct("binlog_file", "position"))
-    whole = log.groupBy("tx").agg(F.count("*").alias("event_count"), top.alias("top"), has("tx_begin").alias("b"), has("tx_commit").alias("c")).where("b and c")
-    return whole.select("tx", "event_count", F.col("top.binlog_file").alias("max_binlog_file"), F.col("top.position").alias("max_binlog_position"), F.col("tx").alias("transaction_id"))
+    events = c.events(s, d)
+    whole = transactions.complete(events, "tx").select("tx")
+    return delivery.payloads(events.join(whole, "tx", "left_semi").withColumn("batch", F.col("tx")), "batch", tx="tx").select(F.col("batch").alias("tx"), "event_count", "max_binlog_file", "max_binlog_position", "transaction_id")
 
 
 def delivery_stats(s: SparkSession, d: str) -> DataFrame:
@@ -155,7 +279,15 @@ def ddl_history(s: SparkSession, d: str) -> DataFrame:
     return out.select("database", "table", "position", "version", F.array_join(F.transform("columns", lambda x: F.concat_ws(" ", x["name"], x["data_type"])), ", ").alias("columns"), F.array_join("primary_key_columns", ",").alias("key"))
 
 
+def ddl_versions(s: SparkSession, d: str) -> DataFrame:
+    """The version that an event of each table reports: of a dropped table none."""
+    from .statements import registered, statements
+
+    return latest_version(schema_history(registered(s), statements(s)))
+
+
 _NAMES = """op_counts table_filter envelope_keys unique_events duplicates latest_by_dedup_key materialized_view tx_batches tx_pending non_tx_orphans size_batches resume_from
 before_after schema_asof decoded_columns snapshot_union snapshot_overlap_latest snapshot_idempotency_overlap offset_progress tx_cap sink_dedup_anti webhook_payload_meta delivery_stats
-batch_idempotency_key ddl_history""".split()
+batch_idempotency_key ddl_history envelope_rows envelope_types envelope_marks filtered_row_counts event_json images_as_maps snapshot_envelope_rows snapshot_schema snapshot_page
+binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

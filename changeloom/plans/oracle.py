@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _NULLS = "cast(null as varchar), cast(null as varchar), cast(null as bigint), cast(null as varchar), cast(null as double), cast(null as varchar)"
 _VIEWS = {
     "cl_rows": """select event_id, cast(floor(event_id/4) as bigint) as tx, cast(floor(event_id/4) as bigint)*6+1+event_id%4 as slot,
@@ -26,9 +28,27 @@ _VIEWS = {
         and (h.rn=1 or l.binlog_file>h.h_file or (l.binlog_file=h.h_file and l.position>=h.h_pos))
         and (h.n_file is null or l.binlog_file<h.n_file or (l.binlog_file=h.n_file and l.position<h.n_pos))""",
     "idx": "select 0 as i union all select 1 union all select 2 union all select 3",
+    "raw_rows": """select l.*, lag(event_type) over (partition by user_id order by slot) as was_type, lag(props) over (partition by user_id order by slot) as was_props,
+        lag(value) over (partition by user_id order by slot) as was_value from decoded l""",
+    "env_rows": """select *, case when op<>'INSERT' then img(ncols, width, user_id, was_type, was_props, was_value) else '' end as before_image,
+        case when op<>'DELETE' then img(ncols, width, user_id, event_type, props, value) else '' end as after_image,
+        case when ncols=width then cast(user_id as varchar) end as key_value from raw_rows""",
+    "raw_all": """select binlog_file, position, kind, tbl, tx from log union all select 'mysql-bin-changelog.000002', 4, 'schema', 'user_state', null""",
+    "raw_tx": """select *, case when tx is not null then row_number() over (partition by tx order by binlog_file, position) end as rn, case when tx is not null then count(*) over (partition by tx) end as cnt,
+        max(case when kind='tx_begin' then 1 else 0 end) over (partition by tx)=1 and tx is not null as begun, max(case when kind='tx_commit' then 1 else 0 end) over (partition by tx)=1 and tx is not null as done from raw_all""",
     "snap": """select user_id, case when user_id%5=0 then 'audit' else 'user_state' end as tbl, 'mysql-bin-changelog.000001' as binlog_file, 4 as position from
         (select distinct user_id from events where user_id<100 union all select distinct user_id+100000 from events where user_id<20) s""",
 }
+_VERSIONS = """select 'app' as database, tbl as "table", cast(position as bigint) as position, cast(version as int) as version, columns, key from (values
+    ('both', 4, 1, 'x INT', 'x'), ('both', 132, 2, 'x INT, b INT, a INT', 'x'), ('both', 260, 3, 'x INT, b INT, a INT', 'x'),
+    ('gone', 4, 1, 'id INT', 'id'), ('gone', 132, null, null, null), ('gone', 260, null, null, null), ('gone', 388, 1, '', ''),
+    ('index', 4, 1, 'id INT', 'id'), ('index', 132, 2, 'id INT, INDEX i', 'id'),
+    ('keys', 4, 1, 'id INT, v INT', 'id'), ('keys', 132, 2, 'uid BIGINT UNSIGNED, v INT', 'uid'), ('keys', 260, 3, 'v INT', ''),
+    ('new', 132, 1, '', ''), ('new', 260, 2, 'c DECIMAL(10, 2)', ''),
+    ('same', 4, 1, 'id INT', 'id'), ('same', 132, 2, 'id INT', 'id'), ('same', 260, 3, 'id INT', 'id'), ('same', 388, 4, 'id INT', 'id'),
+    ('users', 4, 1, 'id INT, name VARCHAR(255), age INT', 'id'), ('users', 132, 2, 'id INT, name VARCHAR(255), email VARCHAR(255), age INT', 'id'),
+    ('users', 260, 3, 'a INT, id INT, name VARCHAR(255), email VARCHAR(255), age INT', 'id'), ('users', 388, 4, 'a INT, id INT, name TEXT, email VARCHAR(255)', 'id')
+    ) as v(tbl, position, version, columns, key)"""
 _BEGUN, _DONE = "(select tx from log where kind='tx_begin')", "(select tx from log where kind='tx_commit')"
 _BODIES = {
     "op_counts": "select tbl, op, count(*) as n from log where kind='row' group by tbl, op",
@@ -43,7 +63,8 @@ _BODIES = {
     "non_tx_orphans": "select l.slot, l.kind from log l left join (select tx from log where kind='tx_begin') b on l.tx=b.tx where b.tx is null",
     "size_batches": "select cast(floor((rn-1)/100) as bigint) as batch_no, count(*) as n, max(binlog_file) as f from (select *, row_number() over (order by slot) rn from log where kind='row') t group by 1",
     "resume_from": "select count(*) as n from log where binlog_file>'mysql-bin-changelog.000002' or (binlog_file='mysql-bin-changelog.000002' and position>=4+128*300)",
-    "before_after": "select user_id, position, lag(value) over (partition by tbl,user_id order by slot) as before_value, value from log where kind='row' and op='UPDATE'",
+    "before_after": """select cast(user_id as varchar) as user_id, binlog_file, position, cast(cast(round(was_value*100) as bigint) as varchar) as before_value,
+        cast(cast(round(value*100) as bigint) as varchar) as after_value from raw_rows where op='UPDATE' and tbl='user_state'""",
     "schema_asof": "select tbl, version, width, count(*) as n from decoded group by tbl, version, width",
     "decoded_columns": """select slot, i, case when ncols=width then case when i=0 then 'user_id' when i=1 then 'event_type' when i=2 and width=4 then 'props' else 'value' end else 'col_'||cast(i as varchar) end as col_name,
         case when i=0 then cast(user_id as varchar) when i=1 then event_type when i=2 and width=4 then props else cast(cast(round(value*100) as bigint) as varchar) end as col_value from decoded cross join idx where i<width""",
@@ -63,9 +84,72 @@ _BODIES = {
         (select count(*) from log where tx not in {_BEGUN}) as non_tx_events,
         (select count(*) from (select tx from log group by tx having max(case when kind='tx_begin' then 1 else 0 end)=1 and max(case when kind='tx_commit' then 1 else 0 end)=0) p) as pending_transactions""",
     "batch_idempotency_key": "select tx, sha256(string_agg(idempotency_key,'|' order by idempotency_key)) as batch_key from env group by tx",
+    "envelope_rows": """select 'mysql' as source, 'app' as database, tbl as "table", op as change_type, before_image, after_image, 'user_id='||coalesce(key_value,'~') as key_text, binlog_file, position, cast(slot as double) as event_ts,
+        'tx-'||cast(tx as varchar) as transaction_id, 'mysql:'||binlog_file||':'||cast(position as varchar)||':row:user_id='||coalesce(key_value,'None') as idempotency_key, 'mysql:app:'||tbl||':user_id='||coalesce(key_value,'None') as dedup_key from env_rows""",
+    "envelope_types": """select col_name, data_type, sum(k) as n from (
+        select case when ncols=width then case when i=0 then 'user_id' when i=1 then 'event_type' when i=2 and width=4 then 'props' else 'value' end else 'col_'||cast(i as varchar) end as col_name,
+        case when ncols=width then 'VARCHAR(64)' end as data_type, case when op='UPDATE' then 2 else 1 end as k from decoded cross join idx where i<width) t group by 1, 2""",
+    "envelope_marks": """select kind as event_type, cast(null as varchar) as "table", cast(null as varchar) as ddl_statement, cast(null as int) as schema_version,
+        case when kind='tx_commit' then (select count(*) from log r where r.kind='row' and r.tx=l.tx) end as row_count, binlog_file, position, 'tx-'||cast(tx as varchar) as transaction_id,
+        'mysql:'||binlog_file||':'||cast(position as varchar)||':'||kind||':' as idempotency_key, cast(null as varchar) as dedup_key, cast(null as int) as key_size from log l where kind<>'row'
+        union all select 'schema', 'user_state', 'ALTER TABLE app.user_state ADD COLUMN props TEXT AFTER event_type', 2, null, 'mysql-bin-changelog.000002', 4, null, 'mysql:mysql-bin-changelog.000002:4:schema:', null, null""",
+    "filtered_row_counts": """select row_count, count(*) as n from (select (select count(*) from log r where r.kind='row' and r.tx=l.tx and r.tbl<>'user_state') as row_count from log l where kind='tx_commit') t group by row_count""",
+    "event_json": """select cast(to_json({'event_type': kind, 'change_type': op, 'schema_version': v, 'row_count': n, 'binlog_file': binlog_file, 'position': position, 'transaction_id': 'tx-'||cast(tx as varchar), 'dedup_key': dk}) as varchar) as value from (
+        select 'row' as kind, op, cast(null as int) as v, cast(null as bigint) as n, binlog_file, position, tx, 'mysql:app:'||tbl||':user_id='||coalesce(key_value,'None') as dk from env_rows
+        union all select kind, null, null, case when kind='tx_commit' then (select count(*) from log r where r.kind='row' and r.tx=l.tx) end, binlog_file, position, tx, null from log l where kind<>'row'
+        union all select 'schema', null, 2, null, 'mysql-bin-changelog.000002', 4, null, null) t""",
+    "images_as_maps": """select binlog_file, position, width + case when ncols=width then 0 else 1 end as n, 'again' as event_type, key_value as user_id from env_rows where op='INSERT'""",
+    "snapshot_envelope_rows": """select 'snapshot' as event_type, tbl as "table", 'user_id='||cast(user_id as varchar)||'|twice='||cast(user_id*2 as varchar) as after_image, binlog_file, cast(position as bigint) as position, cast(null as varchar) as transaction_id,
+        'mysql:'||binlog_file||':4:snapshot:user_id='||cast(user_id as varchar) as idempotency_key, 'mysql:app:'||tbl||':user_id='||cast(user_id as varchar) as dedup_key from snap""",
+    "snapshot_schema": """select 'app' as database, 'user_state' as "table", 'mysql-bin-changelog.000001' as binlog_file, cast(4 as bigint) as position, 1 as version, i, col_name, data_type, in_key from (
+        select 0 as i, 'user_id' as col_name, 'bigint' as data_type, true as in_key union all select 1, 'position', 'int', false) t""",
+    "snapshot_page": "select user_id, tbl from snap order by user_id, tbl limit 20 offset 60",
+    "binlog_records": """select kind, operation, "table", binlog_file, position, case when is_open then 'tx-'||binlog_file||'-'||cast(b as varchar) when kind='tx_commit' then 'tx-'||binlog_file||'-'||cast(position as varchar) end as transaction_id,
+        case when op<>'INSERT' then cast(user_id as varchar) end as before_id, case when op<>'DELETE' then cast(user_id as varchar) end as after_id from (
+        select *, case when kind='row' then op end as operation, case when kind='row' then tbl end as "table", coalesce(b>coalesce(e,-1),false) as is_open from (
+        select *, max(case when kind='tx_begin' then position end) over (partition by binlog_file order by position rows between unbounded preceding and current row) as b,
+        max(case when kind='tx_commit' then position end) over (partition by binlog_file order by position rows between unbounded preceding and 1 preceding) as e from log) x) y
+        cross join (select 1 as k union all select 2) z where (k=1 or (kind='row' and user_id%7=0)) and not (kind='tx_commit' and tx%2=1 and not is_open)""",
+    "statement_kinds": r"""select k, case when q like 'BEGIN%' then 'tx_begin' when q like 'COMMIT%' then case when k%2=0 then 'tx_commit' end else 'schema' end as kind,
+        nullif(replace(replace(regexp_extract(query, '(?i)(?:ALTER|CREATE|DROP|RENAME|TRUNCATE)\s+(?:TABLE\s+)?(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:[`"\w]+\.)?([`"\w]+)', 1),'`',''),'"','') , case when query like 'CREATE DATABASE%' then 'DATABASE' else '' end) as table_name
+        from (select k, query, upper(trim(query)) as q from (select unnest(range(14)) as k, unnest(['BEGIN', ' begin work', 'COMMIT', 'commit', 'ROLLBACK', 'SAVEPOINT a', 'ALTER TABLE `app`.`users` ADD c INT', 'create table if not exists app.t (id INT)',
+        'DROP TABLE IF EXISTS old', 'RENAME TABLE a TO b', 'TRUNCATE app.log', 'TRUNCATE TABLE log', 'CREATE DATABASE q', '']) as query) v) t""",
+    # seven tables of statements: users 3, keys 2, both 2, index 1, gone 3, same 3, new 2; the five of users and keys come again without a table for users
+    "ddl_filter": """select kind, table_name, count(*) as n from (select kind, tbl as table_name from log where kind='row' and tbl<>'audit' union all select kind, '?' from log where kind<>'row'
+        union all select 'schema', 'user_state' union all select 'schema', t from (select unnest(['users','users','users','keys','keys','both','both','index','same','same','same','new','new','','','','?','?']) as t)) x group by 1, 2""",
+    "boundaries_off": "select kind, count(*) as n, cast(0 as bigint) as in_transactions from raw_all where kind in ('row','schema') group by kind",
+    "tx_assembly": """select tx, kinds, slots, n, cut, max_file, position as max_pos from (
+        select tx, string_agg(kind, ',' order by slot) as kinds, string_agg(cast(slot as varchar), ',' order by slot) as slots, count(*) as n, not bool_or(kind='tx_commit') as cut, max(binlog_file) as max_file, max(slot) as top from (
+        select *, row_number() over (partition by tx order by slot) as rn from log where tx in (select tx from log where kind='tx_begin')) t where rn<=5 group by tx) g join (select slot, position from log) p on g.top=p.slot where n>4 or not cut""",
+    "delivery_batches": """select delivery_batch, pending, count(*) as n, min(position) as least_position from (
+        select case when (done and cnt<=5) or cnt>4 then 'tx-tx-'||cast(tx as varchar) end as delivery_batch, not ((done and cnt<=5) or cnt>4) as pending, position from raw_tx where begun and rn<=5
+        union all select 'loose-'||cast(cast(floor((row_number() over (order by binlog_file, position)-1)/50) as bigint) as varchar), false, position from raw_tx where not begun or rn>5) t group by 1, 2""",
+    "delivery_summary": """select (select count(*) from (select distinct tx from raw_tx where begun and done)) + (select cast(ceil(count(*)/50) as bigint) from raw_tx where not begun) as batches_delivered,
+        count(*) filter (not begun or done) as events_delivered, count(*) filter (begun and not done) as events_pending, max(binlog_file) filter (not begun or done) as last_binlog_file,
+        max(position) filter ((not begun or done) and binlog_file=(select max(binlog_file) from raw_tx where not begun or done)) as last_position from raw_tx""",
+    "batch_offsets": """select batch_no, max(binlog_file) as max_file, max(position) filter (binlog_file=top) as max_pos from (
+        select *, max(binlog_file) over (partition by batch_no) as top from (select *, cast(floor((row_number() over (order by delivery_seq)-1)/70) as bigint) as batch_no from delivered where kind='row') x) t group by batch_no""",
+    "mixed_payloads": """select batch, count(*) as event_count, max(binlog_file) as max_binlog_file, max(position) filter (binlog_file=top) as max_binlog_position, case when count(distinct tx)=1 then max(tx) end as transaction_id,
+        sha256(string_agg(idempotency_key,'|' order by idempotency_key)) as batch_key from (select *, max(binlog_file) over (partition by batch) as top from (select *, case when tx%3=0 then tx else cast(floor(tx/10) as bigint)*10+1 end as batch from env) e) t group by batch""",
+    # worked out by the rules of the statement grammar
+    "ddl_history": f"select * from ({_VERSIONS}) t",
+    "ddl_versions": f"""select database, "table", coalesce(version, 0) as schema_version from (select *, row_number() over (partition by "table" order by position desc) as rn from ({_VERSIONS}) v) t where rn=1""",
 }
 
 
+def _expanded(sql: str) -> str:
+    """``img(ncols, width, user_id, type, props, value)``: an image as name=value parts, anonymous where widths differ."""
+
+    def image(m: re.Match) -> str:
+        ncols, width, user, kind, props, value = (x.strip() for x in m[1].split(","))
+        cells = [f"cast({user} as varchar)", f"coalesce({kind},'~')", f"coalesce({props},'~')", f"coalesce(cast(cast(round({value}*100) as bigint) as varchar),'~')"]
+        known = f"'user_id='||{cells[0]}||'|event_type='||{cells[1]}||case when {width}=4 then '|props='||{cells[2]} else '' end||'|value='||{cells[3]}"
+        other = f"'col_0='||{cells[0]}||'|col_1='||{cells[1]}||case when {width}=4 then '|col_2='||{cells[2]}||'|col_3=' else '|col_2=' end||{cells[3]}"
+        return f"(case when {ncols}={width} then {known} else {other} end)"
+
+    return re.sub(r"img\(([^)]*)\)", image, sql)
+
+
 def oracle_sql() -> dict[str, str]:
-    chain = "with " + ",\n".join(f"{name} as ({sql})" for name, sql in _VIEWS.items())
+    chain = "with " + ",\n".join(f"{name} as ({_expanded(sql)})" for name, sql in _VIEWS.items())
     return {name: f"{chain}\n{body}" for name, body in _BODIES.items()}

@@ -20,6 +20,10 @@ CASES: list[tuple[str, str | None, list[str]]] = [
 ]
 
 
+#: Queries of a binlog, for the classifier; those of even number stand inside a transaction.
+QUERIES = ["BEGIN", " begin work", "COMMIT", "commit", "ROLLBACK", "SAVEPOINT a", "ALTER TABLE `app`.`users` ADD c INT", "create table if not exists app.t (id INT)", "DROP TABLE IF EXISTS old", "RENAME TABLE a TO b", "TRUNCATE app.log", "TRUNCATE TABLE log", "CREATE DATABASE q", ""]
+
+
 def registered(spark: SparkSession) -> DataFrame:
     rows = []
     for k, (table, columns, _) in enumerate(CASES):

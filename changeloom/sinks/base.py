@@ -22,7 +22,7 @@ class Sink(ABC):
 
 
 class MemorySink(Sink):
-    """Keeps deliveries as a temporary view of this session, for tests."""
+    """Keeps deliveries in the driver, for tests only: it collects what it is given."""
 
     def __init__(self):
         self.batches: list[DataFrame] = []
@@ -41,7 +41,7 @@ class MemorySink(Sink):
 
 
 class LogSink(Sink):
-    """One line per event, in order, a partition at a time."""
+    """One line per event, in order, a partition at a time through the driver: for small logs and for looking at."""
 
     def __init__(self, to_stdout: bool = False):
         self.to_stdout = to_stdout

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.positions import at_or_after
 from ..operators import views
 from ..operators.envelope import to_json
 from .base import Sink
@@ -23,22 +24,28 @@ class JsonLinesSink(Sink):
         self.path, self.index, self.append = path, dedupe_index_path, append
 
     def deliver(self, events: DataFrame, batch_id: int) -> None:
-        spark = events.sparkSession
-        own = events
+        own, keys = events, ["binlog_file", "position"]
         if self.index:
-            own = views.unseen(events, self._seen(spark, batch_id)).unionByName(events.where(F.col("idempotency_key").isNull()))
+            own = views.unseen(events, self._seen(events, batch_id)).unionByName(events.where(F.col("idempotency_key").isNull()))
         target = f"{self.path}/batch={batch_id}" if self.append else self.path
-        keys = ["binlog_file", "position"]
         to_json(own.repartitionByRange(*keys).sortWithinPartitions(*keys)).write.mode("overwrite").text(target)
         if self.index:
-            own.select("idempotency_key").where("idempotency_key is not null").distinct().write.mode("overwrite").parquet(f"{self.index}/batch={batch_id}")
+            own.select("idempotency_key", *keys).where("idempotency_key is not null").distinct().write.mode("overwrite").parquet(f"{self.index}/batch={batch_id}")
+
+    def _seen(self, events: DataFrame, batch_id: int) -> DataFrame:
+        """Keys of all batches but this one, from this one's least position on: a key has its position in it, so older ones can't repeat.
 
-    def _seen(self, spark, batch_id: int) -> DataFrame:
-        """Keys of all batches but this one."""
+        The predicate reaches the scan, and files of older batches are skipped by their statistics.
+        """
+        spark = events.sparkSession
         try:
             found = spark.read.parquet(self.index)
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return spark.createDataFrame([], "idempotency_key string")
             raise
-        return found.where(F.col("batch") != batch_id).select("idempotency_key")
+        found = found.where(F.col("batch") != batch_id)
+        first = events.agg(F.min(F.struct("binlog_file", "position")).alias("at")).first().at
+        if first is not None and first.binlog_file is not None:
+            found = found.where(F.col("binlog_file").isNull() | at_or_after(first.binlog_file, first.position or 0))
+        return found.select("idempotency_key")

@@ -9,10 +9,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.delivery import payloads
+from ..operators.transactions import CAP
 from .base import Sink
 
 
@@ -33,7 +34,7 @@ class WebhookSink(Sink):
     """Posts from the executors, so a batch of many transactions is sent in parallel.
 
     Refusals (4xx) are permanent; server and network errors are tried ``max_retries`` times more, with
-    doubling pauses. The key header lets the receiver drop what it has had before.
+    doubling pauses. The defaults, headers and names in the body are fixed values, which receivers rely on. The key header lets the receiver drop what it has had before.
     """
 
     def __init__(self, url: str, timeout_seconds: float = 10, max_retries: int = 10, initial_backoff_seconds: float = 0.5, max_backoff_seconds: float = 30, extra_headers: dict[str, str] | None = None, source: str = "incremental"):
@@ -63,8 +64,15 @@ class WebhookSink(Sink):
         raise RuntimeError(f"gave up on {self.url} after {self.retries + 1} attempts") from last
 
     def batches(self, events: DataFrame) -> DataFrame:
-        """batch_id, key and body of the posts: one for each transaction, and for each position of loose events."""
-        own = events.withColumn("batch_id", F.coalesce("transaction_id", F.concat_ws("-", F.lit("at"), "binlog_file", "position")))
+        """batch_id, key and body of the posts: one for each delivery batch, or else for each transaction and each position of loose events.
+
+        A post has at most ``CAP`` + 1 events, so that no list grows without a bound; more make further posts.
+        """
+        name = F.col("delivery_batch") if "delivery_batch" in events.columns else F.coalesce("transaction_id", F.concat_ws("-", F.lit("at"), "binlog_file", "position"))
+        number = F.row_number().over(Window.partitionBy("_name").orderBy("binlog_file", "position"))
+        part = F.floor((number - 1) / (CAP + 1))
+        own = events.withColumn("_name", name).withColumn("_part", part)
+        own = own.withColumn("batch_id", F.when(F.col("_part") > 0, F.concat_ws("-part-", "_name", "_part")).otherwise(F.col("_name"))).drop("_name", "_part")
         lists = own.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("binlog_file", "position", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("event")))).alias("sorted"))
         return payloads(own, "batch_id").join(lists, "batch_id").withColumn("events", F.transform("sorted", lambda x: x["event"])).drop("sorted")
 

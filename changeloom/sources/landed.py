@@ -41,12 +41,3 @@ def from_binlog_events(events: DataFrame) -> DataFrame:
     own = own.withColumn("transaction_id", tx).withColumn("row", F.explode_outer("rows")).where("kind <> 'row' or row is not null")
     schema = F.col("kind") == "schema"
     return own.select("kind", "database", F.when(schema, table_of(F.col("query"))).otherwise(F.col("table")).alias("table"), F.when(F.col("kind") == "row", op).alias("operation"), F.col("row.before").alias("before_row"), F.col("row.after").alias("after_row"), F.when(schema, F.col("query")).alias("ddl"), "binlog_file", "position", F.lit(None).cast("string").alias("gtid"), "ts", "transaction_id")
-
-
-def read_mysql_binlog(*_, **__):
-    """A live binlog needs pymysqlreplication; land its events as files and use ``from_binlog_events``."""
-    try:
-        import pymysqlreplication  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading a live binlog needs the package pymysqlreplication, which isn't installed") from e
-    raise NotImplementedError("dump the binlog's events to files and read them with from_binlog_events")

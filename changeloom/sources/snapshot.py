@@ -60,16 +60,42 @@ def page(rows: DataFrame, primary_key: list[str], number: int, size: int = 1000)
     return rows.orderBy(*primary_key).offset(number * size).limit(size)
 
 
-def jdbc_tables(spark: SparkSession, url: str, database: str, tables: list[str], properties: dict[str, str]) -> list[SnapshotTable]:
-    """Tables of a database by JDBC (its driver must be on the class path).
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "''") + "'"
+
+
+def information(database: str) -> str:
+    """The query for a database's base tables: a row for each column in order, with its full type and whether it is in the key."""
+    return (
+        "(SELECT c.TABLE_NAME t, c.COLUMN_NAME c, c.COLUMN_TYPE d, c.COLUMN_KEY k, c.ORDINAL_POSITION o FROM INFORMATION_SCHEMA.COLUMNS c JOIN INFORMATION_SCHEMA.TABLES b"
+        f" ON b.TABLE_SCHEMA = c.TABLE_SCHEMA AND b.TABLE_NAME = c.TABLE_NAME WHERE b.TABLE_TYPE = 'BASE TABLE' AND c.TABLE_SCHEMA = {_quoted(database)}) x"
+    )
+
+
+def tables_of(columns: list, database: str, tables: TableFilter = TableFilter(), names: list[str] | None = None) -> dict[str, list]:
+    """The columns (t, c, d, k, o) of each table wanted, in order."""
+    out: dict[str, list] = {}
+    for r in sorted(columns, key=lambda r: (r.t, r.o)):
+        full = f"{database}.{r.t}"
+        barred = full in tables.exclude_tables or database in tables.exclude_databases or (tables.include_databases and database not in tables.include_databases) or (tables.include_tables and full not in tables.include_tables)
+        if not barred and (names is None or r.t in names):
+            out.setdefault(r.t, []).append(r)
+    return out
+
+
+def jdbc_tables(spark: SparkSession, url: str, database: str, properties: dict[str, str], tables: TableFilter = TableFilter(), names: list[str] | None = None, partitions: int = 64) -> list[SnapshotTable]:
+    """Tables of a database by JDBC (its driver must be on the class path), those that the filter passes.
 
-    Executors can't share one database transaction, so a consistent position needs a read-only
-    or quiesced source, or a single connection.
+    A table with one integer key column is read in ``partitions`` ranges of it, in parallel; others by one task. Executors can't
+    share one database transaction, so a consistent position needs a read-only or quiesced source, or a single connection.
     """
-    info = f"(SELECT TABLE_NAME t, COLUMN_NAME c, DATA_TYPE d, COLUMN_KEY k FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_SCHEMA = '{database}') x"
-    found = spark.read.jdbc(url, info, properties=properties).where(F.col("t").isin(*tables)).collect()  # one row per column
+    found = spark.read.jdbc(url, information(database), properties=properties).collect()  # one row per column
     out = []
-    for t in tables:
-        own = [r for r in found if r.t == t]
-        out.append(SnapshotTable(database, t, spark.read.jdbc(url, f"{database}.{t}", properties=properties), [r.c for r in own if r.k == "PRI"], {r.c: r.d for r in own}))
+    for t, own in tables_of(found, database, tables, names).items():
+        key, name, ranges = [r for r in own if r.k == "PRI"], f"{database}.{t}", {}
+        if len(key) == 1 and "int" in key[0].d.lower():
+            lo, hi = spark.read.jdbc(url, f"(SELECT MIN({key[0].c}) lo, MAX({key[0].c}) hi FROM {name}) x", properties=properties).first()
+            if lo is not None:
+                ranges = {"column": key[0].c, "lowerBound": int(lo), "upperBound": int(hi) + 1, "numPartitions": partitions}
+        out.append(SnapshotTable(database, t, spark.read.jdbc(url, name, properties=properties, **ranges), [r.c for r in key], {r.c: r.d for r in own}))
     return out

@@ -66,10 +66,13 @@ def assembled(events: DataFrame, cap: int = CAP) -> DataFrame:
     """A row per delivered transaction, part of one beyond the cap, or orphan; ``events`` in log order, as JSON.
 
     State is kept by transaction (use the RocksDB provider), so it is open transactions only. Loose events,
-    without a transaction, don't pass here. Order between transactions is that of ``max_file`` and ``max_position``.
+    without a transaction, pass at once, a row each (``kind`` loose), and are batched by the micro-batch. Order between transactions is that of ``max_file`` and ``max_position``.
     """
-    own = events.where("transaction_id is not null").select("transaction_id", "kind", "binlog_file", "position", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("event"))
-    return own.groupBy("transaction_id").transformWithStateInPandas(_Assembler(cap), BATCH, "Append", "None")
+    every = events.select("transaction_id", "kind", "binlog_file", "position", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("event"))
+    own = every.where("transaction_id is not null")
+    loose = every.where("transaction_id is null").select("transaction_id", F.lit("loose").alias("kind"), F.lit(1).alias("n_events"), (F.col("kind") == "row").cast("int").alias("row_count"), F.col("binlog_file").alias("max_file"), F.col("position").alias("max_position"), F.lit(False).alias("cut"), F.array("event").alias("events"))
+    whole = own.groupBy("transaction_id").transformWithStateInPandas(_Assembler(cap), BATCH, "Append", "None")
+    return whole.unionByName(loose)
 
 
 def unique(events: DataFrame, key: str = "idempotency_key", within: str | None = None, ts: str = "event_time") -> DataFrame:

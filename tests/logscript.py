@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from ..schemas import RAW_LOG
+from changeloom.schemas import RAW_LOG
 
 FIRST, STEP = 4, 128
 RECORD = tuple[Any, ...]

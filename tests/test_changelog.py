@@ -7,7 +7,7 @@ import pytest
 from changeloom.config import Settings
 from changeloom.functions.ddl import Schema, apply_ddl, statement_kind, table_of
 from changeloom.functions.positions import committed_so_far
-from changeloom.operators import transactions, views
+from changeloom.operators import delivery, transactions, views
 from changeloom.operators.asof import schema_at
 from changeloom.operators.filters import TableFilter
 from changeloom.pipeline import Pipeline
@@ -16,11 +16,11 @@ from changeloom.schemas import spark_type
 from changeloom.sinks import JsonLinesSink, MemorySink, WebhookSink, create
 from changeloom.sinks.webhook import PermanentError
 from changeloom.sources.landed import from_binlog_events
-from changeloom.sources.simulator import LogScript, scripted_source
-from changeloom.sources.snapshot import Snapshot, SnapshotTable, page
+from logscript import LogScript, scripted_source
+from changeloom.sources.snapshot import Snapshot, SnapshotTable, information, page, tables_of
 from changeloom.sources.stores import OffsetStore
 from changeloom.streaming.assemble import assembled, unique
-from changeloom.streaming.run import deliver, start
+from changeloom.streaming.run import Progress, deliver, start
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +48,7 @@ def users(spark):
 
 
 def pipeline(spark, tmp_path, **settings):
-    out = Pipeline(spark, Settings(offset_path=str(tmp_path / "offsets.json"), schema_path=str(tmp_path / "history.json"), **settings), MemorySink())
+    out = Pipeline(spark, Settings(offset_path=str(tmp_path / "offsets.json"), schema_path=str(tmp_path / "history.json"), staging_path=str(tmp_path / "staged"), **settings), MemorySink())
     return out
 
 
@@ -119,6 +119,8 @@ def test_unknown_operation_is_an_error(spark, tmp_path):
         ("ALTER TABLE t CHANGE a z BIGINT", "z b", "z", 2),
         ("ALTER TABLE t MODIFY COLUMN b TEXT FIRST", "a b", "a", 2),
         ("ALTER TABLE t ADD COLUMN a INT", "a b", "a", 2),
+        ("ALTER TABLE t ADD COLUMN first VARCHAR(5)", "first a b", "a", 2),
+        ("ALTER TABLE t ADD COLUMN c INT COMMENT 'a remark that goes on for more than fifty characters' FIRST", "a b c", "a", 2),
         ("ALTER TABLE t ADD INDEX i (a)", "a b INDEX", "a", 2),
         ("ALTER TABLE t DROP COLUMN IF EXISTS b", "a b", "a", 2),
         ("RENAME TABLE t TO u", "a b", "a", 2),
@@ -217,6 +219,89 @@ def test_webhook_attempts(spark):
     script = LogScript().begin().insert("app", "t", [1]).commit().frame(spark).withColumn("idempotency_key", F.concat_ws(":", "kind", "position"))
     r = sink.batches(script).first()
     assert (r.event_count, r.max_binlog_position, len(r.events)) == (3, 388, 3)
+    named = sink.batches(script.withColumn("delivery_batch", F.lit("b"))).first()
+    assert (named.batch_id, named.event_count) == ("b", 3)
+
+
+def test_webhook_posts_are_bounded(spark, monkeypatch):
+    from changeloom.sinks import webhook
+
+    monkeypatch.setattr(webhook, "CAP", 3)
+    script = LogScript().begin()
+    for k in range(9):
+        script.insert("app", "t", [k])
+    log = script.commit().frame(spark).withColumn("idempotency_key", F.concat_ws(":", "kind", "position"))
+    posts = {r.batch_id.rpartition("-part-")[2]: len(r.events) for r in WebhookSink("http://x").batches(log).collect()}
+    assert sorted(posts.values()) == [3, 4, 4]
+
+
+def test_batches_parts_and_what_is_pending(spark, tmp_path):
+    script = LogScript().insert("app", "t", [0]).begin().insert("app", "t", [1]).insert("app", "t", [2]).commit()
+    for k in range(4):
+        script.insert("app", "t", [k])
+    done = script.at
+    script.begin().insert("app", "t", [9])
+    log = script.frame(spark)
+    got = {r.delivery_batch: (r.pending, r.n) for r in delivery.batched(log, size=2).groupBy("delivery_batch", "pending").agg(F.count("*").alias("n")).collect()}
+    assert sorted(got.values(), key=str) == sorted([(False, 2), (False, 2), (False, 1), (False, 4), (True, 2)], key=str) and got[None] == (True, 2)
+    cut = delivery.batched(log, cap=2, size=100).groupBy("delivery_batch").agg(F.count("*").alias("n")).collect()
+    assert sorted((str(r.delivery_batch)[:5], r.n) for r in cut) == [("None", 2), ("loose", 6), ("tx-tx", 3)]
+    # an open transaction isn't delivered, and the next run begins with it
+    p = pipeline(spark, tmp_path, snapshot_enabled=False, batch_size=2)
+    assert p.run(log) == 9 and p.offsets.committed == (FILE, done)
+    script.commit()
+    again = pipeline(spark, tmp_path, snapshot_enabled=False, batch_size=2)
+    again.run(script.frame(spark))
+    assert [r[0] for r in rows(again, "event_type")] == ["row", "tx_begin", "row", "tx_commit"]
+    assert again.sink.events().where("transaction_id is not null").select("delivery_batch").distinct().count() == 1
+
+
+def test_snapshot_chunks(spark, tmp_path):
+    p = pipeline(spark, tmp_path, snapshot_chunk_size=10)
+    table = SnapshotTable("app", "many", spark.range(95).select("id"), ["id"])
+    assert p.run(LogScript().frame(spark), Snapshot(FILE, 4, [table])) == 95
+    assert 5 <= p.sink.events().select("delivery_batch").distinct().count() <= 10
+
+
+def test_information_of_a_database():
+    from collections import namedtuple
+
+    C = namedtuple("C", "t c d k o")
+    assert "= 'o''b' " in information("o'b") + " " or "'o''b'" in information("o'b")
+    columns = [C("u", "b", "varchar(9)", "", 2), C("u", "a", "int unsigned", "PRI", 1), C("v", "x", "int", "", 1)]
+    found = tables_of(columns, "app", TableFilter(exclude_tables=("app.v",)))
+    assert {t: [(r.c, r.d) for r in own] for t, own in found.items()} == {"u": [("a", "int unsigned"), ("b", "varchar(9)")]}
+    assert set(tables_of(columns, "app", names=["v"])) == {"v"} and not tables_of(columns, "app", TableFilter(include_databases=("x",)))
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from changeloom import cli
+
+    monkeypatch.chdir(tmp_path)
+    assert cli.main([]) == 2
+    (tmp_path / "c.yaml").write_text("source: mysql\n")
+    assert cli.main(["--config", "c.yaml"]) == 2 and "log_path" in capsys.readouterr().err
+    assert cli.settings_of(cli.arguments(["--demo", "--sink", "jsonl", "--sink-path", "x"])).sink == {"type": "jsonl", "path": "x"}
+    assert cli.main(["--demo", "--sink", "stdout"]) == 0
+    events = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [e["event_type"] for e in events].count("snapshot") == 2 and len(events) == 8  # the last transaction is open
+    wall = next(e for e in events if e["change_type"] == "INSERT")
+    assert [c["name"] for c in wall["after_columns"]] == ["shade", "bed", "plants", "square_meters"]
+    # a landed log, as files
+    script = LogScript().begin().insert("app", "t", [1]).commit()
+    script.files(str(tmp_path / "log"), 2)
+    (tmp_path / "d.yaml").write_text(f"source: files\nlog_path: {tmp_path}/log\nsink: {{type: jsonl, path: {tmp_path}/out}}\noffset_storage: {{path: {tmp_path}/o.json}}\nschema_storage: {{path: {tmp_path}/h.json}}\n")
+    assert cli.main(["--config", "d.yaml"]) == 0 and spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_row_counts_meet_commits_only(spark):
+    """Loose rows and rows of transactions are not shuffled for the counts: only commits are joined."""
+    from changeloom.operators.envelope import envelopes
+    from changeloom.schemas import SCHEMA_HISTORY
+
+    log = LogScript().begin().insert("app", "t", [1]).commit().commit().frame(spark).union(LogScript().insert("app", "t", [5]).frame(spark))
+    got = envelopes(log, spark.createDataFrame([], SCHEMA_HISTORY)).where("event_type = 'tx_commit'").orderBy("position").collect()
+    assert [r.row_count for r in got] == [1, 0]
 
 
 def test_sink_factory_and_retries():
@@ -254,6 +339,10 @@ def test_stream_assembles_across_batches_and_restarts(spark, tmp_path):
     script = LogScript()
     for k in range(4):
         script.begin().insert("app", "t", [k, "a"]).insert("app", "t", [k, "b"]).commit()
+    script.insert("app", "t", [77])
+    told = []
+    listener = Progress(told.append)
+    spark.streams.addListener(listener)
     spark.dataSource.register(scripted_source(script, "scripted_for_test", 6))
     stream = spark.readStream.format("scripted_for_test").load()
     got = []
@@ -267,12 +356,14 @@ def test_stream_assembles_across_batches_and_restarts(spark, tmp_path):
     q = start(batches, Sink(), str(tmp_path / "cp"), offsets, flush_interval_ms=200)
     try:
         for _ in range(120):
-            if len(got) >= 4 or not q.isActive:
+            if len(got) >= 5 or not q.isActive:
                 break
             q.awaitTermination(0.5)
     finally:
         q.stop()
-    assert got == [("transaction", 4, 2)] * 4 and offsets.committed == (FILE, script.at)
+    spark.streams.removeListener(listener)
+    assert sorted(got) == [("loose", 1, 1)] + [("transaction", 4, 2)] * 4 and offsets.committed == (FILE, script.at)
+    assert sum(t["rows"] for t in told) > 0 and {t["batch"] for t in told} >= {0}
 
 
 def test_stream_unique_from_files(spark, tmp_path):
