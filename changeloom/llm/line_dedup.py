@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_broadcast, held, is_small, mix, signed, slices, spread_join
 
 MIN_CHARS = 16
+LISTED = 1_000_000  # lines in the lists that are broadcast at most (some 60 MB); what joins with them is whole texts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,7 +211,7 @@ def _without(docs: DataFrame, edits: int, exact_chars: int) -> DataFrame:
     gone = held(find_repeats(docs, edits, exact_chars))
     per_doc = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone_lines"), F.countDistinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     # the bound is on the lines in all lists
-    per_doc = (F.broadcast(per_doc) if is_small(gone, 2 * BROADCAST_ROWS) else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})
+    per_doc = (F.broadcast(per_doc) if is_small(gone, LISTED) else per_doc).withColumnsRenamed({"doc_id": "gone_id", "t": "gone_t"})
     # whole rows in a struct, so that no name can clash
     rows = docs.select(F.struct("*").alias("doc")).withColumn("parts", F.split("doc.text", "\n"))
     joined = rows.join(per_doc, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc.text") == F.col("gone_t")), "left")
