@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, seque
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, at = with_end(*encoder(path).encode(batch["text"]), end_id)
             size = np.diff(at)
             n = -(-size // sequence_length)
