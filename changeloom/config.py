@@ -34,7 +34,7 @@ class Settings:
     exclude_tables: list[str] = field(default_factory=list)
     include_databases: list[str] = field(default_factory=list)
     exclude_databases: list[str] = field(default_factory=list)
-    staging_path: str = "./cdc_staging"  # where events are written before they are delivered
+    staging_path: str | None = None  # where events are written before they are delivered; None: below spark.checkpoint.dir
     snapshot_enabled: bool = True
     snapshot_chunk_size: int = 1000
     batch_size: int = 100

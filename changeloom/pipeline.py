@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
@@ -40,6 +40,8 @@ class Pipeline:
         self.sink = self.sink or create(self.settings.sink)
         self.offsets = OffsetStore(self.settings.offset_path, self.settings.offset_flush_ms)
         self.runs = 0
+        # executors write here, so it has to be a folder that they share
+        self.staging = self.settings.staging_path or f"{self.spark.conf.get('spark.checkpoint.dir', None) or '.'}/cdc_staging"
 
     def history(self, log: DataFrame, snapshot: Snapshot | None) -> DataFrame:
         """The stored history with the snapshot's tables and the log's statements."""
@@ -64,9 +66,13 @@ class Pipeline:
             self.offsets.begin_snapshot()
             rows = snapshot_envelopes(snapshot.rows(self.spark, self.settings.tables), snapshot.binlog_file, snapshot.position)
             # chunks by the key's hash: rows of a snapshot have no order
-            chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*").over(Window.partitionBy("database", "table")) / self.settings.snapshot_chunk_size))
-            chunk = F.pmod(F.xxhash64("idempotency_key"), chunks)
-            total += self._deliver(rows.withColumn("delivery_batch", F.concat_ws("-", F.lit("snapshot"), "database", "table", chunk)).withColumn("pending", F.lit(False)))[0]
+            # counted by table first (a row for each table), so that no table is shuffled to one task
+            chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / self.settings.snapshot_chunk_size)).alias("chunks")
+            sized = rows.groupBy("database", "table").agg(chunks).withColumnsRenamed({"database": "_database", "table": "_table"})
+            rows = rows.join(F.broadcast(sized), F.col("database").eqNullSafe(F.col("_database")) & F.col("table").eqNullSafe(F.col("_table")))
+            chunk = F.pmod(F.xxhash64("idempotency_key"), F.col("chunks"))
+            rows = rows.withColumn("delivery_batch", F.concat_ws("-", F.lit("snapshot"), "database", "table", chunk)).withColumn("pending", F.lit(False))
+            total += self._deliver(rows.drop("_database", "_table", "chunks"))[0]
             self.offsets.end_snapshot(snapshot.binlog_file, snapshot.position)
         save_history(history, self.settings.schema_path)
         own = resume(log, self.offsets.committed)
@@ -82,7 +88,7 @@ class Pipeline:
 
         Events are written durably first, so that their ids stay the same whatever is lost or delivered again.
         """
-        staged = f"{self.settings.staging_path}/run-{uuid.uuid4().hex}"
+        staged = f"{self.staging}/run-{uuid.uuid4().hex}"
         events.write.parquet(staged)
         events = self.spark.read.parquet(staged)
         place = F.when(F.col("binlog_file").isNotNull(), F.struct("binlog_file", "position"))
