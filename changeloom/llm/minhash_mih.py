@@ -39,6 +39,7 @@ SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 31
 WORDS, PERCENT = 5, 75
 KEYS_BROADCAST = 500_000  # of two longs each, some 30 MB; what joins with them is the largest table here
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # nodes (and their shingles) compared with as many at a time
+EDGES = 1 << 18  # edges that a task holds before it cuts them down to trees
 
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 _SEED, _TIMES = mix(np.arange(100, 100 + SYMBOLS, dtype=np.uint64)), mix(np.arange(300, 300 + SYMBOLS, dtype=np.uint64)) | np.uint64(1)
@@ -213,6 +214,23 @@ def _close_nodes(apart: DataFrame, signatures: DataFrame) -> DataFrame:
     return held(connected_components(near).withColumnRenamed("root", "cluster"))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a tree for each component of the edges given: no more of them than nodes."""
+    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = both[: len(a)], both[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    return names[tied], names[root[tied]]
+
+
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges that connect what is within the distance, of rows in order of their groups (key, x, y)."""
     names, rest = ["key", "x", "y", "own", "node", "label", "n_shingles"], None
@@ -221,7 +239,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, x, y, own, node, label, size = numbers
         last = np.flatnonzero(np.append((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), True))
         end = np.repeat(last, np.diff(last, prepend=-1))  # the last row of each row's group
-        one, two = [], []
+        one, two, loose = [], [], 0
         left, step = np.arange(len(key)), 0
         while True:
             step += 1
@@ -236,21 +254,13 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = (symbols[p] != symbols[q]).sum(axis=1) <= DISTANCE
                 one.append(node[p[near]])
                 two.append(node[q[near]])
+                loose += len(one[-1])
+                if loose > EDGES:
+                    p, q = _forest(np.concatenate(one), np.concatenate(two))
+                    one, two, loose = [p], [q], 0
         a, b = np.concatenate([np.zeros(0, np.int64), *one]), np.concatenate([np.zeros(0, np.int64), *two])
-        # a tree for each component: no more rows than nodes
-        names_, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = both[: len(a)], both[len(a) :]
-        root = np.arange(len(names_))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(names_[tied]), pa.array(names_[root[tied]])], ["a", "b"])
+        a, b = _forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
