@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from .common import text_bytes
 
 LETTER, DIGIT, SPACE, OTHER, ODD = range(5)
+KNOWN = 600_000  # pre-tokens that a worker keeps between batches at most, of some 200 bytes
 
 
 def _classes() -> np.ndarray:
@@ -97,22 +98,24 @@ def bounds_of(data: np.ndarray, kind: np.ndarray, text_at: np.ndarray) -> np.nda
 class BatchEncoder:
     """``encode`` gives the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
 
-    KNOWN = 600_000  # pre-tokens kept between batches at most
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
+        self.most = known
         self.known: dict[str, int] = {}
         self.values = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
+    def keep(self, parts: list[str]) -> None:
+        """Forgets all but those of ``parts`` that are known: what came up again, not what came once."""
+        again = [p for p in parts if p in self.known]
+        self.values, self.offsets = gather(self.values, self.offsets, np.fromiter(map(self.known.get, again), np.int64, len(again)))
+        self.known = dict(zip(again, range(len(again)), strict=True))
+
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return _ragged(found)
@@ -143,8 +146,8 @@ class BatchEncoder:
             spans = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
             coded = spans.dictionary_encode()
             names = coded.dictionary.to_pylist()
-            if len(self.known) + len(names) > self.KNOWN:
-                self.forget()
+            if len(self.known) + len(names) > self.most:
+                self.keep(names)
             row = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
             new = np.flatnonzero(row < 0)
             if len(new):
@@ -169,14 +172,14 @@ def _ragged(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *found]), out
 
 
-_encoders: dict[str, BatchEncoder] = {}
+_encoders: dict[tuple[str, int], BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
+def encoder(path: str, known: int = KNOWN) -> BatchEncoder:
     """One per Python worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = BatchEncoder(path)
-    return _encoders[path]
+    if (path, known) not in _encoders:
+        _encoders[path, known] = BatchEncoder(path, known)
+    return _encoders[path, known]
 
 
 def default_tokenizer() -> str:

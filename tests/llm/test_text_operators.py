@@ -26,15 +26,24 @@ def documents(spark, rows):
 
 
 ENCODER = BatchEncoder(default_tokenizer())
+FORGETFUL = BatchEncoder(default_tokenizer(), known=8)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*"abZ é ß\n\t'12.!_÷’ \r 漢", "'s", "'ll", " '", "  ", "<|endoftext|>"]), max_size=12).map("".join), max_size=6))
 def test_ids_are_those_of_the_library(texts):
-    e = ENCODER
-    ids, at = e.encode(pa.array(texts, pa.string()))
-    want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    want = [x.ids for x in ENCODER.library.encode_batch(texts, add_special_tokens=False)]
+    for e in (ENCODER, FORGETFUL):
+        ids, at = e.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_what_comes_up_again_is_kept():
+    e = BatchEncoder(default_tokenizer(), known=4)
+    for text in ("one two", "one two three", "one four five six", "one seven"):
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == e.library.encode(text, add_special_tokens=False).ids
+        assert "one" in e.known and len(e.known) <= 4
 
 
 def test_token_file_round_trip_and_random_access(tmp_path):
@@ -151,6 +160,35 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_mih.near_duplicates(documents(spark, ODD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edges", [0, 5, 1 << 18])
+def test_edges_within_the_distance_keep_components(monkeypatch, edges):
+    monkeypatch.setattr(minhash_mih, "EDGES", edges)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (4, minhash_mih.SYMBOLS)).astype(np.uint16)
+    source = rng.integers(0, 4, 40)
+    symbols = base[source]
+    for row in symbols:
+        row[rng.permutation(minhash_mih.SYMBOLS)[:12]] ^= 1
+    n, group = len(symbols), np.sort(rng.integers(0, 3, len(symbols)))
+    node = rng.permutation(n) + 100
+    columns = {"key": group, "x": np.zeros(n, int), "y": np.zeros(n, int), "own": np.zeros(n, int), "node": node, "label": node, "n_shingles": np.full(n, 50)}
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns.values()), pa.array([r.astype("<u2").tobytes() for r in symbols], pa.binary())], [*columns, "symbols"])
+    found = pa.Table.from_batches(minhash_mih._within(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])))
+    reach = {int(k): int(k) for k in node}
+
+    def top(k):
+        while reach[k] != k:
+            k = reach[k]
+        return k
+
+    for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist()):
+        reach[max(top(a), top(b))] = min(top(a), top(b))
+    whole = collections.defaultdict(set)
+    for k, g, s in zip(node.tolist(), group, source):
+        whole[g, s].add(k)
+    assert all(top(k) == min(own) for own in whole.values() for k in own)
+
+
 def test_any_signatures_within_the_distance_share_a_key():
     rng = np.random.default_rng(5)
     for _ in range(200):
