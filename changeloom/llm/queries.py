@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hnsw, line_dedup, minhash_mih, packing, quality_mil, secret_scan, token_ans, warc_bundles
+from . import chat_format, decontaminate, hnsw, line_dedup, minhash_mih, packing, quality_mil, resampling, secret_scan, substring_dedup, token_ans, warc_bundles, whitening
 from .common import read
 from .oracle import ORACLE_SQL
 
@@ -58,6 +58,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_warc_bundles, op3_decontaminate, op4_token_ans, op5_secret_scan, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih, op10_chat_format)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mil, op2_warc_bundles, op3_decontaminate, op4_token_ans, op5_secret_scan, op6_packing, op7_hnsw, op8_line_dedup, op9_minhash_mih, op10_chat_format, op11_substring_dedup, op12_whitening, op13_resampling)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
