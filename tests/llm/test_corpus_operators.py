@@ -156,7 +156,7 @@ def test_whitened_rows(spark):
 
 def test_directions_without_variance_and_huge_entries(spark):
     rng = np.random.default_rng(4)
-    flat = [(i, [a, 2 * a, 5.0]) for i, a in enumerate(rng.integers(-50, 50, 40).astype(float))]
+    flat = [(i, [a, 2 * a, 5.0]) for i, a in enumerate(rng.integers(-50, 50, 40).astype(float).tolist())]
     found = whitening.whiten(vectors(spark, flat)).collect()
     assert {r["component"] for r in found} == {1} and len(found) == 40 and found[0]["explained"] == pytest.approx(1)
     assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0])] * 3)).collect() == []
