@@ -6,7 +6,7 @@ a window over it starts earlier, too: in a document with a smaller id, or before
 Shipping each window would take as many rows as there are words. Anchors of ``ANCHOR`` words are taken at word
 positions whose remainder by ``PERIOD`` is in ``COVER`` instead. Every remainder is a difference of two members of the cover, so
 two equal windows, however they lie, hold an equal anchor at the same place inside of them. An anchor that is met once
-can't be part of a repeat; the windows round the others are hashed whole (two lanes of 64 bits), and all but the first of a hash go.
+can't be part of a repeat; the windows round the others are hashed whole (96 bits), and all but the first of a hash go.
 
 Groups of copies: rows whose whole text occurs under a smaller id only lose all their windows, so after the anchors they take no further part.
 Anchors that a sample of the documents shows to be frequent go unshuffled as repeated (their windows are compared
@@ -140,7 +140,8 @@ def _windows(frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 many = hot[at + PERIOD] > hot[at]
             text = w.text[at]
             d, k = (batch[c].to_numpy()[text] for c in ("d", "k"))
-            columns = [signed(_summed(h, WINDOW, lane)[at]) for lane in (1, 2)] + [d, k, w.place[at].astype(np.int32), many]
+            a, b = signed(_summed(h, WINDOW, 1)[at]), (_summed(h, WINDOW, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns = [a, b, d, k, w.place[at].astype(np.int32), many]
             yield pa.record_batch([pa.array(x) for x in columns], names=["a", "b", "d", "k", "p", "frequent"])
 
     return found
@@ -199,7 +200,7 @@ def repeated_windows(rows: DataFrame, frequent=None, copies: DataFrame | None =
     places = met.groupBy("d", "k").agg(F.collect_set("p").alias("places"))
     if copies is not None:
         places = places.join(copies, ["d", "k"], "left_anti")
-    windows = packed(rows).join(places, ["d", "k"]).mapInArrow(_windows(frequent), "a long, b long, d long, k long, p int, frequent boolean")
+    windows = packed(rows).join(places, ["d", "k"]).mapInArrow(_windows(frequent), "a long, b int, d long, k long, p int, frequent boolean")
     part = F.when(F.col("frequent"), F.pmod(F.xxhash64("d", "k"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
     ranked = windows.withColumn("part", part).withColumn("r", F.rank().over(Window.partitionBy("a", "b", "part").orderBy("d", "p")))
     later = ranked.where("r > 1").select("d", "k", "p")
@@ -213,7 +214,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text (the words that stay, joined by one space), n_words and n_removed of each row of ``docs``."""
     rows = _keyed(docs)
     copies = _copies(rows)
-    gone = repeated_windows(rows, copies=copies).groupBy("d", "k").agg(F.collect_set("p").alias("places"))
+    # dealt first: sets made before the shuffle would hold a place or two each, and be larger than the rows
+    gone = repeated_windows(rows, copies=copies).repartition("d", "k").groupBy("d", "k").agg(F.collect_set("p").alias("places"))
     told = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("d", "k", F.array().cast("array<int>").alias("places"), F.lit(True).alias("copy")))
     both = packed(rows).join(told, ["d", "k"], "left")
     own = both.select("doc_id", "z", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("copy", F.lit(False)).alias("copy"))
