@@ -10,7 +10,7 @@ can't be part of a repeat; the windows round the others are hashed whole (96 bit
 
 Groups of copies: rows whose whole text occurs under a smaller id only lose all their windows, so after the anchors they take no further part.
 Anchors that a sample of the documents shows to be frequent go unshuffled as repeated (their windows are compared
-like all others), and windows over them are ranked in parts first. The sample decides where rows go, never what is found.
+like all others), and windows over them are compared in parts first. The sample decides where rows go, never what is found.
 
 Defined results: a null text is an empty one and has no words; a null id comes after all others; rows with one id are one
 document whose texts lie side by side, so that words at equal places of them don't repeat each other; equal rows get equal results; other columns are
@@ -24,8 +24,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import mix, signed, slices, span_hashes, spread_join, text_bytes, words_of
 
@@ -124,7 +125,7 @@ def _flat(batch: pa.RecordBatch, column: str, w: _Words) -> np.ndarray:
 
 
 def _windows(frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, d, k, p, frequent): hashes and place of each window that holds a repeated anchor at one of its first PERIOD places."""
+    """(a, b, d, k, p, part): hashes and place of each window that holds a repeated anchor at one of its first PERIOD places; part 0: not frequent."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
@@ -134,15 +135,16 @@ def _windows(frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             near = _covered(_flat(batch, "places", w), len(w.start), PERIOD - 1, 0)[: len(fits)]
             at = np.flatnonzero(fits & near)
             h = w.hashes()
-            many = np.zeros(len(at), bool)
-            if len(often):  # told by the words alone, so alike for equal windows
-                hot = np.concatenate([[0], np.cumsum(_is_in(_summed(h, ANCHOR, 0), often))])
-                many = hot[at + PERIOD] > hot[at]
             text = w.text[at]
             d, k = (batch[c].to_numpy()[text] for c in ("d", "k"))
+            part = np.zeros(len(at), np.int32)
+            if len(often):  # whether it holds a frequent anchor is told by the words alone, so alike for equal windows
+                hot = np.concatenate([[0], np.cumsum(_is_in(_summed(h, ANCHOR, 0), often))])
+                many = hot[at + PERIOD] > hot[at]
+                part[many] = 1 + mix((d ^ k)[many].view(np.uint64)) % np.uint64(PARTS)
             a, b = signed(_summed(h, WINDOW, 1)[at]), (_summed(h, WINDOW, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            columns = [a, b, d, k, w.place[at].astype(np.int32), many]
-            yield pa.record_batch([pa.array(x) for x in columns], names=["a", "b", "d", "k", "p", "frequent"])
+            columns = [a, b, d, k, w.place[at].astype(np.int32), part]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["a", "b", "d", "k", "p", "part"])
 
     return found
 
@@ -189,7 +191,8 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "d", "k", "text").mapInArrow(_packed, "doc_id long, d long, k long, z binary")
+    """(doc_id, d, k, z). The keys are declared as never null, else a join would filter them, and two joins not share a shuffle."""
+    return rows.select("doc_id", "d", "k", "text").mapInArrow(_packed, StructType([StructField("doc_id", LongType()), StructField("d", LongType(), False), StructField("k", LongType(), False), StructField("z", BinaryType())]))
 
 
 def repeated_windows(rows: DataFrame, frequent=None, copies: DataFrame | None = None) -> DataFrame:
@@ -200,16 +203,22 @@ def repeated_windows(rows: DataFrame, frequent=None, copies: DataFrame | None =
     places = met.groupBy("d", "k").agg(F.collect_set("p").alias("places"))
     if copies is not None:
         places = places.join(copies, ["d", "k"], "left_anti")
-    windows = packed(rows).join(places, ["d", "k"]).mapInArrow(_windows(frequent), "a long, b int, d long, k long, p int, frequent boolean")
-    part = F.when(F.col("frequent"), F.pmod(F.xxhash64("d", "k"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
-    ranked = windows.withColumn("part", part).withColumn("r", F.rank().over(Window.partitionBy("a", "b", "part").orderBy("d", "p")))
-    later = ranked.where("r > 1").select("d", "k", "p")
+    windows = packed(rows).join(places, ["d", "k"]).mapInArrow(_windows(frequent), "a long, b int, d long, k long, p int, part int")
+    # both uses of ``seen`` read one shuffle: they filter by what the window gives, and by no column that one of them lacks
+    seen = windows.withColumn("later", _later("a", "b", "part"))
+    later = seen.where("later").select("d", "k", "p")
     if len(frequent.value):
-        first = ranked.where("frequent and r = 1").withColumn("r", F.rank().over(Window.partitionBy("a", "b").orderBy("d", "p")))
-        later = later.union(first.where("r > 1").select("d", "k", "p"))
+        first = seen.where(F.when(F.col("later"), F.lit(False)).otherwise(F.col("part") > 0))
+        later = later.union(first.withColumn("later", _later("a", "b")).where("later").select("d", "k", "p"))
     return later
 
 
+def _later(*keys: str) -> Column:
+    """Whether a row isn't at the least place among those with its keys."""
+    own = Window.partitionBy(*keys).orderBy("d", "p")  # of plain columns: a struct would be made, and shipped, before the shuffle
+    return (F.first("d").over(own) < F.col("d")) | (F.first("p").over(own) < F.col("p"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text (the words that stay, joined by one space), n_words and n_removed of each row of ``docs``."""
     rows = _keyed(docs)
