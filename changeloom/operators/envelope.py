@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,28 @@ def named(image: Column, columns: Column) -> Column:
     return F.when(image.isNull(), F.array().cast(IMAGE)).when(F.size(image) == F.size(columns), known).otherwise(unknown)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body uses it (also inside lambdas, where it would be made for each element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def as_map(image: Column) -> Column:
     """name → value of an image; of equal names the last counts."""
-    kept = F.filter(image, lambda c, i: F.size(F.filter(F.slice(image, i + 2, F.size(image)), lambda later: later["name"] == c["name"])) == 0)
-    return F.map_from_entries(F.transform(kept, lambda c: F.struct(c["name"], c["value"])))
+
+    def made(own: Column) -> Column:
+        names = F.array_distinct(F.transform(own, lambda c: c["name"]))
+        entries = F.transform(own, lambda c: F.struct(c["name"].alias("key"), c["value"].alias("value")))
+        # names that are repeated are rare, so only then is each looked for
+        last = F.transform(names, lambda n: F.element_at(F.filter(own, lambda c: c["name"] == n), -1)["value"])
+        return F.when(F.size(names) == F.size(own), F.map_from_entries(entries)).otherwise(F.map_from_arrays(names, last))
+
+    return bound(image, made)
 
 
 def primary_key(before: Column, after: Column, key_columns: Column) -> Column:
     """Key columns and their values, from the later image if there is one; a missing column is null."""
-    image = as_map(F.when(F.size(after) > 0, after).otherwise(before))
     names = F.coalesce(key_columns, F.array().cast("array<string>"))
-    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(image, k)))
+    return bound(as_map(F.when(F.size(after) > 0, after).otherwise(before)), lambda m: F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(m, k))))
 
 
 def envelopes(log: DataFrame, history: DataFrame, source: str = "mysql", qualified_keys: bool = False) -> DataFrame:

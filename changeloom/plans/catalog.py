@@ -15,8 +15,9 @@ from ..operators.envelope import as_map, envelopes, named, snapshot_envelopes, t
 from ..operators.filters import TableFilter, without_boundaries
 from ..operators.history import latest_version, schema_history
 from ..sources.landed import from_binlog_events
-from ..sources.snapshot import Snapshot, SnapshotTable, page
+from ..sources.snapshot import Snapshot, SnapshotTable, page, schema_entries
 from . import changelog as c
+from . import statements
 
 
 def op_counts(s: SparkSession, d: str) -> DataFrame:
@@ -75,14 +76,11 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return envelopes(c.raw(s, d), c.full_history(s))
 
 
-def _cell(image: F.Column, name: str) -> F.Column:
-    return F.element_at(as_map(image), name)
-
-
 def before_after(s: SparkSession, d: str) -> DataFrame:
-    """What an update's two images say of one column, of the table whose images match its columns."""
-    updates = _events(s, d).where("change_type = 'UPDATE' and table = 'user_state'")
-    return updates.select(F.element_at("primary_key", "user_id").alias("user_id"), "binlog_file", "position", _cell(F.col("before_columns"), "value").alias("before_value"), _cell(F.col("after_columns"), "value").alias("after_value"))
+    """What an update's two images say of one column: by its name, or by its number where a table's columns are anonymous."""
+    maps = _events(s, d).where("change_type = 'UPDATE'").select("table", "binlog_file", "position", as_map(F.col("before_columns")).alias("before"), as_map(F.col("after_columns")).alias("after"))
+    cell = lambda image, name, number: F.coalesce(F.element_at(image, name), F.element_at(image, f"col_{number}"))
+    return maps.select("table", "binlog_file", "position", cell("after", "user_id", 0).alias("user_id"), F.map_contains_key("after", "col_0").alias("anonymous"), cell("before", "value", 3).alias("before_value"), cell("after", "value", 3).alias("after_value"))
 
 
 def _line(image: F.Column) -> F.Column:
@@ -134,11 +132,9 @@ def snapshot_envelope_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_schema(s: SparkSession, d: str) -> DataFrame:
-    """The history's entries of a snapshot's tables that the filter passes."""
-    own = c.snapshot(s, d)
-    tables = [SnapshotTable("app", t, own.select("user_id", "position"), ["user_id"]) for t in ("audit", "user_state")]
-    found = Snapshot(f"{c.FILE}000001", 4, tables).history(s, TableFilter(exclude_tables=("app.audit",)))
-    return found.select("database", "table", "binlog_file", "position", "version", F.posexplode("columns").alias("i", "x")).select("database", "table", "binlog_file", "position", "version", "i", F.col("x.name").alias("col_name"), F.col("x.data_type").alias("data_type"), F.col("x.is_primary_key").alias("in_key"))
+    """The history's entries of the tables that the filter passes, from rows of a database's own description."""
+    found = schema_entries(statements.information(s, d), f"{c.FILE}000001", 4, TableFilter(exclude_tables=("app.t3", "app.t5")))
+    return found.select("database", "table", "binlog_file", "position", "version", F.array_join("primary_key_columns", ",").alias("key_columns"), F.explode("columns").alias("x")).select("database", "table", "binlog_file", "position", "version", "key_columns", F.col("x.ordinal_position").alias("i"), F.col("x.name").alias("col_name"), F.col("x.data_type").alias("data_type"), F.col("x.is_primary_key").alias("in_key"), F.col("x.is_nullable").alias("nullable"))
 
 
 def snapshot_page(s: SparkSession, d: str) -> DataFrame:
@@ -152,18 +148,14 @@ def binlog_records(s: SparkSession, d: str) -> DataFrame:
 
 
 def statement_kinds(s: SparkSession, d: str) -> DataFrame:
-    from .statements import QUERIES
-
-    return s.createDataFrame(list(enumerate(QUERIES)), "k bigint, query string").select("k", statement_kind(F.col("query"), F.col("k") % 2 == 0).alias("kind"), table_of(F.col("query")).alias("table_name"))
+    """What the queries of a binlog are, and which table they name."""
+    return statements.queries(s, d).select("event_id", statement_kind(F.col("query"), F.col("event_id") % 2 == 0).alias("kind"), table_of(F.col("query")).alias("table_name"))
 
 
 def ddl_filter(s: SparkSession, d: str) -> DataFrame:
     """Statements of captured tables pass, and those whose table isn't known."""
-    from .statements import statements
-
-    unknown = statements(s).where("table in ('users', 'keys')").withColumn("table", F.when(F.col("table") == "users", F.lit("")))
-    log = statements(s).select("kind", "database", "table").union(unknown.select("kind", "database", "table")).union(c.raw(s, d).select("kind", "database", "table"))
-    kept = TableFilter(include_databases=("app",), exclude_tables=("app.audit", "app.gone")).apply(log)
+    own = statements.statements(s, d).select("kind", "database", F.when(F.col("table").endswith("0"), F.lit("")).otherwise(F.col("table")).alias("table"))
+    kept = TableFilter(include_databases=("app",), exclude_tables=("app.audit", "app.t3", "app.t15")).apply(own.unionByName(c.raw(s, d).select("kind", "database", "table")))
     return kept.groupBy("kind", F.coalesce("table", F.lit("?")).alias("table_name")).agg(F.count("*").alias("n"))
 
 
@@ -271,19 +263,19 @@ def batch_idempotency_key(s: SparkSession, d: str) -> DataFrame:
     return c.events(s, d).groupBy("tx").agg(batch_key("idempotency_key").alias("batch_key"))
 
 
-def ddl_history(s: SparkSession, d: str) -> DataFrame:
-    """The fold of a set of statements, one for each rule of the statement grammar."""
-    from .statements import registered, statements
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    return schema_history(statements.registered(s, d), statements.statements(s, d))
+
 
-    out = schema_history(registered(s), statements(s))
-    return out.select("database", "table", "position", "version", F.array_join(F.transform("columns", lambda x: F.concat_ws(" ", x["name"], x["data_type"])), ", ").alias("columns"), F.array_join("primary_key_columns", ",").alias("key"))
+def ddl_history(s: SparkSession, d: str) -> DataFrame:
+    """All versions of hundreds of tables, from their registrations and the log's statements."""
+    columns = F.array_join(F.transform("columns", lambda x: F.concat_ws(" ", x["name"], x["data_type"])), ", ")
+    return _versions(s, d).select("database", "table", "binlog_file", "position", "version", columns.alias("columns"), F.array_join("primary_key_columns", ",").alias("key"))
 
 
 def ddl_versions(s: SparkSession, d: str) -> DataFrame:
-    """The version that an event of each table reports: of a dropped table none."""
-    from .statements import registered, statements
-
-    return latest_version(schema_history(registered(s), statements(s)))
+    """The version that an event of each table reports: of one that is dropped or not known, 0."""
+    return latest_version(_versions(s, d))
 
 
 _NAMES = """op_counts table_filter envelope_keys unique_events duplicates latest_by_dedup_key materialized_view tx_batches tx_pending non_tx_orphans size_batches resume_from

@@ -4,6 +4,15 @@ from __future__ import annotations
 
 import re
 
+
+
+def _added(clause: str, columns: str) -> str:
+    """Columns with those of an addition [name, type, after]: < is at the front, > at the end; none if the name is there."""
+    names = f"list_transform({columns}, lambda x: split_part(x,' ',1))"
+    at = f"case {clause}[3] when '<' then 0 else coalesce(nullif(list_position({names}, {clause}[3]),0), len({columns})) end"
+    return f"case when {clause} is null or list_contains({names}, {clause}[1]) then {columns} else list_concat(list_concat(({columns})[1:{at}], [{clause}[1]||' '||{clause}[2]]), ({columns})[{at}+1:]) end"
+
+
 _NULLS = "cast(null as varchar), cast(null as varchar), cast(null as bigint), cast(null as varchar), cast(null as double), cast(null as varchar)"
 _VIEWS = {
     "cl_rows": """select event_id, cast(floor(event_id/4) as bigint) as tx, cast(floor(event_id/4) as bigint)*6+1+event_id%4 as slot,
@@ -38,17 +47,21 @@ _VIEWS = {
         max(case when kind='tx_begin' then 1 else 0 end) over (partition by tx)=1 and tx is not null as begun, max(case when kind='tx_commit' then 1 else 0 end) over (partition by tx)=1 and tx is not null as done from raw_all""",
     "snap": """select user_id, case when user_id%5=0 then 'audit' else 'user_state' end as tbl, 'mysql-bin-changelog.000001' as binlog_file, 4 as position from
         (select distinct user_id from events where user_id<100 union all select distinct user_id+100000 from events where user_id<20) s""",
+    # what each statement does, by its number
+    "edits": """select 't'||cast(user_id as varchar) as tbl, row_number() over (partition by user_id order by event_id) as i, 'mysql-bin-changelog.'||lpad(cast(event_id//600+1 as varchar),6,'0') as binlog_file,
+        132+128*(event_id%600) as position, case when k=9 and n='0' then 'drop' when k in (5,6) then 'count' when k=10 then 'create' else 'alter' end as does,
+        case k when 2 then 'c'||n when 8 then 'd'||n when 11 then 'IF' end as dropped, case k when 2 then 'name' when 8 then 'v' end as modified, case k when 2 then 'TEXT' when 8 then 'BIGINT' end as modified_to,
+        case k when 3 then 'c'||n when 9 then 'id' end as changed, case k when 3 then 'e'||n||' BIGINT UNSIGNED' when 9 then 'id BIGINT' end as changed_to,
+        case k when 0 then ['c'||n, 'INT', 'name'] when 1 then ['d'||n, 'DECIMAL(10, 2)', '<'] when 4 then ['a'||n, 'INT', 'v'] when 7 then ['INDEX', 'i'||n, '>'] when 12 then ['first'||n, 'INT', '>'] end as add1,
+        case k when 4 then ['b'||n, 'INT', 'v'] end as add2 from (select *, (event_id//3)%13 as k, cast(event_id%5 as varchar) as n from events where event_id%3=0) e""",
+    "fold": f"""select 't'||cast(user_id as varchar) as tbl, cast(0 as bigint) as i, 'mysql-bin-changelog.000001' as binlog_file, cast(4 as bigint) as position, user_id%7<>0 as known,
+        case when user_id%7<>0 then ['id INT', 'name VARCHAR(255)', 'v INT'] else cast([] as varchar[]) end as cols, case when user_id%7<>0 then ['id'] else cast([] as varchar[]) end as keys, case when user_id%7<>0 then 1 end as version from (select distinct user_id from events) u
+        union all select tbl, i, binlog_file, position, does<>'drop' and (known or does='create'), case when does='drop' or not known then cast([] as varchar[]) when does='alter' then {_added("add2", _added("add1", "c3"))} else cols end,
+        case when does='drop' or not known then cast([] as varchar[]) when does='alter' then k1 else keys end, case when does='drop' or (not known and does<>'create') then null when not known then 1 else version+1 end from (
+        select *, list_transform(c1, lambda x: case when split_part(x,' ',1)=modified then modified||' '||modified_to when split_part(x,' ',1)=changed then changed_to else x end) as c3 from (
+        select e.*, f.known, f.cols, f.keys, f.version, list_filter(f.cols, lambda x: split_part(x,' ',1) is distinct from e.dropped) as c1, list_filter(f.keys, lambda x: x is distinct from e.dropped) as k1 from fold f join edits e on e.tbl=f.tbl and e.i=f.i+1) a) b""",
+    "versions": "select * from fold where i>0 or known",
 }
-_VERSIONS = """select 'app' as database, tbl as "table", cast(position as bigint) as position, cast(version as int) as version, columns, key from (values
-    ('both', 4, 1, 'x INT', 'x'), ('both', 132, 2, 'x INT, b INT, a INT', 'x'), ('both', 260, 3, 'x INT, b INT, a INT', 'x'),
-    ('gone', 4, 1, 'id INT', 'id'), ('gone', 132, null, null, null), ('gone', 260, null, null, null), ('gone', 388, 1, '', ''),
-    ('index', 4, 1, 'id INT', 'id'), ('index', 132, 2, 'id INT, INDEX i', 'id'),
-    ('keys', 4, 1, 'id INT, v INT', 'id'), ('keys', 132, 2, 'uid BIGINT UNSIGNED, v INT', 'uid'), ('keys', 260, 3, 'v INT', ''),
-    ('new', 132, 1, '', ''), ('new', 260, 2, 'c DECIMAL(10, 2)', ''),
-    ('same', 4, 1, 'id INT', 'id'), ('same', 132, 2, 'id INT', 'id'), ('same', 260, 3, 'id INT', 'id'), ('same', 388, 4, 'id INT', 'id'),
-    ('users', 4, 1, 'id INT, name VARCHAR(255), age INT', 'id'), ('users', 132, 2, 'id INT, name VARCHAR(255), email VARCHAR(255), age INT', 'id'),
-    ('users', 260, 3, 'a INT, id INT, name VARCHAR(255), email VARCHAR(255), age INT', 'id'), ('users', 388, 4, 'a INT, id INT, name TEXT, email VARCHAR(255)', 'id')
-    ) as v(tbl, position, version, columns, key)"""
 _BEGUN, _DONE = "(select tx from log where kind='tx_begin')", "(select tx from log where kind='tx_commit')"
 _BODIES = {
     "op_counts": "select tbl, op, count(*) as n from log where kind='row' group by tbl, op",
@@ -63,8 +76,7 @@ _BODIES = {
     "non_tx_orphans": "select l.slot, l.kind from log l left join (select tx from log where kind='tx_begin') b on l.tx=b.tx where b.tx is null",
     "size_batches": "select cast(floor((rn-1)/100) as bigint) as batch_no, count(*) as n, max(binlog_file) as f from (select *, row_number() over (order by slot) rn from log where kind='row') t group by 1",
     "resume_from": "select count(*) as n from log where binlog_file>'mysql-bin-changelog.000002' or (binlog_file='mysql-bin-changelog.000002' and position>=4+128*300)",
-    "before_after": """select cast(user_id as varchar) as user_id, binlog_file, position, cast(cast(round(was_value*100) as bigint) as varchar) as before_value,
-        cast(cast(round(value*100) as bigint) as varchar) as after_value from raw_rows where op='UPDATE' and tbl='user_state'""",
+    "before_after": """select tbl as "table", binlog_file, position, cast(user_id as varchar) as user_id, ncols<>width as anonymous, cast(cast(round(was_value*100) as bigint) as varchar) as before_value, cast(cast(round(value*100) as bigint) as varchar) as after_value from raw_rows where op='UPDATE'""",
     "schema_asof": "select tbl, version, width, count(*) as n from decoded group by tbl, version, width",
     "decoded_columns": """select slot, i, case when ncols=width then case when i=0 then 'user_id' when i=1 then 'event_type' when i=2 and width=4 then 'props' else 'value' end else 'col_'||cast(i as varchar) end as col_name,
         case when i=0 then cast(user_id as varchar) when i=1 then event_type when i=2 and width=4 then props else cast(cast(round(value*100) as bigint) as varchar) end as col_value from decoded cross join idx where i<width""",
@@ -101,8 +113,10 @@ _BODIES = {
     "images_as_maps": """select binlog_file, position, width + case when ncols=width then 0 else 1 end as n, 'again' as event_type, key_value as user_id from env_rows where op='INSERT'""",
     "snapshot_envelope_rows": """select 'snapshot' as event_type, tbl as "table", 'user_id='||cast(user_id as varchar)||'|twice='||cast(user_id*2 as varchar) as after_image, binlog_file, cast(position as bigint) as position, cast(null as varchar) as transaction_id,
         'mysql:'||binlog_file||':4:snapshot:user_id='||cast(user_id as varchar) as idempotency_key, 'mysql:app:'||tbl||':user_id='||cast(user_id as varchar) as dedup_key from snap""",
-    "snapshot_schema": """select 'app' as database, 'user_state' as "table", 'mysql-bin-changelog.000001' as binlog_file, cast(4 as bigint) as position, 1 as version, i, col_name, data_type, in_key from (
-        select 0 as i, 'user_id' as col_name, 'bigint' as data_type, true as in_key union all select 1, 'position', 'int', false) t""",
+    "snapshot_schema": """select 'app' as database, tbl as "table", 'mysql-bin-changelog.000001' as binlog_file, cast(4 as bigint) as position, 1 as version, 'id' as key_columns, cast(i as integer) as i, col_name,
+        case when i=0 then 'bigint unsigned' else 'decimal(10,2)' end as data_type, i=0 as in_key, i>0 as nullable from (
+        select distinct 't'||cast(user_id as varchar) as tbl, 0 as i, 'id' as col_name from events
+        union all select 't'||cast(user_id as varchar), row_number() over (partition by user_id order by event_type), event_type from (select distinct user_id, event_type from events) e) t where tbl not in ('t3','t5')""",
     "snapshot_page": "select user_id, tbl from snap order by user_id, tbl limit 20 offset 60",
     "binlog_records": """select kind, operation, "table", binlog_file, position, case when is_open then 'tx-'||binlog_file||'-'||cast(b as varchar) when kind='tx_commit' then 'tx-'||binlog_file||'-'||cast(position as varchar) end as transaction_id,
         case when op<>'INSERT' then cast(user_id as varchar) end as before_id, case when op<>'DELETE' then cast(user_id as varchar) end as after_id from (
@@ -110,13 +124,13 @@ _BODIES = {
         select *, max(case when kind='tx_begin' then position end) over (partition by binlog_file order by position rows between unbounded preceding and current row) as b,
         max(case when kind='tx_commit' then position end) over (partition by binlog_file order by position rows between unbounded preceding and 1 preceding) as e from log) x) y
         cross join (select 1 as k union all select 2) z where (k=1 or (kind='row' and user_id%7=0)) and not (kind='tx_commit' and tx%2=1 and not is_open)""",
-    "statement_kinds": r"""select k, case when q like 'BEGIN%' then 'tx_begin' when q like 'COMMIT%' then case when k%2=0 then 'tx_commit' end else 'schema' end as kind,
-        nullif(replace(replace(regexp_extract(query, '(?i)(?:ALTER|CREATE|DROP|RENAME|TRUNCATE)\s+(?:TABLE\s+)?(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:[`"\w]+\.)?([`"\w]+)', 1),'`',''),'"','') , case when query like 'CREATE DATABASE%' then 'DATABASE' else '' end) as table_name
-        from (select k, query, upper(trim(query)) as q from (select unnest(range(14)) as k, unnest(['BEGIN', ' begin work', 'COMMIT', 'commit', 'ROLLBACK', 'SAVEPOINT a', 'ALTER TABLE `app`.`users` ADD c INT', 'create table if not exists app.t (id INT)',
-        'DROP TABLE IF EXISTS old', 'RENAME TABLE a TO b', 'TRUNCATE app.log', 'TRUNCATE TABLE log', 'CREATE DATABASE q', '']) as query) v) t""",
-    # seven tables of statements: users 3, keys 2, both 2, index 1, gone 3, same 3, new 2; the five of users and keys come again without a table for users
+    "statement_kinds": r"""select event_id, case when q like 'BEGIN%' then 'tx_begin' when q like 'COMMIT%' then case when event_id%2=0 then 'tx_commit' end else 'schema' end as kind,
+        replace(replace(split_part(coalesce(nullif(regexp_extract(query, '(?i)ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?([`"\w.]+)', 1),''), nullif(regexp_extract(query, '(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([`"\w.]+)', 1),''),
+        nullif(regexp_extract(query, '(?i)DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?([`"\w.]+)', 1),''), nullif(regexp_extract(query, '(?i)RENAME\s+TABLE\s+(?:IF\s+EXISTS\s+)?([`"\w.]+)', 1),''), nullif(regexp_extract(query, '(?i)TRUNCATE\s+(?:TABLE\s+)?([`"\w.]+)', 1),'')), '.', -1),'`',''),'"','') as table_name
+        from (select event_id, query, upper(trim(query)) as q from (select event_id, replace((['BEGIN', ' begin work', 'COMMIT', 'commit', 'ROLLBACK', 'SAVEPOINT a', 'ALTER TABLE `app`.`{t}` ADD c INT', 'create table if not exists app.{t} (id INT)',
+        'DROP TABLE IF EXISTS {t}', 'RENAME TABLE {t} TO b', 'TRUNCATE app.{t}', 'TRUNCATE TABLE {t}', 'CREATE DATABASE q', ''])[event_id%14+1], '{t}', 't'||cast(user_id as varchar)) as query from events) v) t""",
     "ddl_filter": """select kind, table_name, count(*) as n from (select kind, tbl as table_name from log where kind='row' and tbl<>'audit' union all select kind, '?' from log where kind<>'row'
-        union all select 'schema', 'user_state' union all select 'schema', t from (select unnest(['users','users','users','keys','keys','both','both','index','same','same','same','new','new','','','','?','?']) as t)) x group by 1, 2""",
+        union all select 'schema', 'user_state' union all select 'schema', case when user_id%10=0 then '' else 't'||cast(user_id as varchar) end from events where event_id%3=0 and user_id not in (3, 15)) x group by 1, 2""",
     "boundaries_off": "select kind, count(*) as n, cast(0 as bigint) as in_transactions from raw_all where kind in ('row','schema') group by kind",
     "tx_assembly": """select tx, kinds, slots, n, cut, max_file, position as max_pos from (
         select tx, string_agg(kind, ',' order by slot) as kinds, string_agg(cast(slot as varchar), ',' order by slot) as slots, count(*) as n, not bool_or(kind='tx_commit') as cut, max(binlog_file) as max_file, max(slot) as top from (
@@ -131,9 +145,8 @@ _BODIES = {
         select *, max(binlog_file) over (partition by batch_no) as top from (select *, cast(floor((row_number() over (order by delivery_seq)-1)/70) as bigint) as batch_no from delivered where kind='row') x) t group by batch_no""",
     "mixed_payloads": """select batch, count(*) as event_count, max(binlog_file) as max_binlog_file, max(position) filter (binlog_file=top) as max_binlog_position, case when count(distinct tx)=1 then max(tx) end as transaction_id,
         sha256(string_agg(idempotency_key,'|' order by idempotency_key)) as batch_key from (select *, max(binlog_file) over (partition by batch) as top from (select *, case when tx%3=0 then tx else cast(floor(tx/10) as bigint)*10+1 end as batch from env) e) t group by batch""",
-    # worked out by the rules of the statement grammar
-    "ddl_history": f"select * from ({_VERSIONS}) t",
-    "ddl_versions": f"""select database, "table", coalesce(version, 0) as schema_version from (select *, row_number() over (partition by "table" order by position desc) as rn from ({_VERSIONS}) v) t where rn=1""",
+    "ddl_history": """select 'app' as database, tbl as "table", binlog_file, position, version, case when known then array_to_string(cols, ', ') end as columns, case when known then array_to_string(keys, ',') end as key from versions""",
+    "ddl_versions": """select 'app' as database, tbl as "table", cast(coalesce(arg_max_null(version, i), 0) as integer) as schema_version from versions group by tbl""",
 }
 
 
@@ -150,6 +163,18 @@ def _expanded(sql: str) -> str:
     return re.sub(r"img\(([^)]*)\)", image, sql)
 
 
+def _needed(sql: str) -> list[str]:
+    """The views that a statement reads, each after those that it reads itself."""
+    out: list[str] = []
+    for name in _VIEWS:
+        if name not in out and re.search(rf"\b{name}\b", sql):
+            out += [x for x in [*_needed(_VIEWS[name].replace(f"from {name} ", "")), name] if x not in out]
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
-    chain = "with " + ",\n".join(f"{name} as ({_expanded(sql)})" for name, sql in _VIEWS.items())
-    return {name: f"{chain}\n{body}" for name, body in _BODIES.items()}
+    out = {}
+    for name, body in _BODIES.items():
+        views = ",\n".join(f"{v} as {'' if v == 'fold' else 'materialized '}({_expanded(_VIEWS[v])})" for v in _needed(body))
+        out[name] = f"with recursive {views}\n{body}" if views else body
+    return out

@@ -1,39 +1,70 @@
-"""Example statements for the schema history, a table for each rule."""
+"""Statements, queries and table definitions derived from ``events``: a table for each user, a statement from every third event."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import COLUMN, RAW_LOG, SCHEMA_HISTORY
-
-FILE = "mysql-bin-changelog.000001"
-#: (table, registered columns or None, statements)
-CASES: list[tuple[str, str | None, list[str]]] = [
-    ("users", "id INT,name VARCHAR(255),age INT", ["ALTER TABLE users ADD COLUMN email VARCHAR(255) AFTER name", "ALTER TABLE users ADD a INT FIRST", "ALTER TABLE users DROP COLUMN age, MODIFY COLUMN name TEXT"]),
-    ("keys", "id INT,v INT", ["ALTER TABLE keys CHANGE id uid BIGINT UNSIGNED", "ALTER TABLE keys DROP COLUMN uid"]),
-    ("both", "x INT", ["ALTER TABLE both ADD a INT, ADD b INT AFTER x", "ALTER TABLE both ADD COLUMN x INT"]),
-    ("index", "id INT", ["ALTER TABLE index ADD INDEX i (id)"]),
-    ("gone", "id INT", ["DROP TABLE gone", "ALTER TABLE gone ADD c INT", "CREATE TABLE gone (id INT)"]),
-    ("same", "id INT", ["TRUNCATE TABLE same", "RENAME TABLE same TO other", "CREATE TABLE same (id INT)"]),
-    ("new", None, ["CREATE TABLE new (id INT)", "ALTER TABLE new ADD COLUMN c DECIMAL(10, 2) AFTER nothing"]),
+from ..schemas import COLUMN, RAW_LOG
+
+#: Statements by number; {t} is the table, {n} a number from 0 to 4. The tenth drops the table where {n} is 0.
+STATEMENTS = [
+    "ALTER TABLE app.{t} ADD COLUMN c{n} INT AFTER name",
+    "ALTER TABLE `{t}` ADD d{n} DECIMAL(10, 2) FIRST",
+    "ALTER TABLE {t} DROP COLUMN c{n}, MODIFY COLUMN name TEXT",
+    "ALTER TABLE {t} CHANGE c{n} e{n} BIGINT UNSIGNED",
+    "ALTER TABLE {t} ADD a{n} INT, ADD b{n} INT AFTER v",
+    "TRUNCATE TABLE {t}",
+    "RENAME TABLE {t} TO s{n}",
+    "ALTER TABLE {t} ADD INDEX i{n} (name)",
+    "alter table {t} modify v BIGINT, drop d{n}",
+    "ALTER TABLE {t} CHANGE COLUMN id id BIGINT",
+    "CREATE TABLE IF NOT EXISTS {t} (id INT)",
+    "ALTER TABLE {t} DROP COLUMN IF EXISTS v",
+    "ALTER TABLE {t} ADD first{n} INT",
 ]
+DROP = "DROP TABLE IF EXISTS {t}"
+#: Queries of a binlog, for the classifier; those of even number stand inside a transaction.
+QUERIES = ["BEGIN", " begin work", "COMMIT", "commit", "ROLLBACK", "SAVEPOINT a", "ALTER TABLE `app`.`{t}` ADD c INT", "create table if not exists app.{t} (id INT)", "DROP TABLE IF EXISTS {t}", "RENAME TABLE {t} TO b", "TRUNCATE app.{t}", "TRUNCATE TABLE {t}", "CREATE DATABASE q", ""]
+_FILE = "mysql-bin-changelog."
 
 
-#: Queries of a binlog, for the classifier; those of even number stand inside a transaction.
-QUERIES = ["BEGIN", " begin work", "COMMIT", "commit", "ROLLBACK", "SAVEPOINT a", "ALTER TABLE `app`.`users` ADD c INT", "create table if not exists app.t (id INT)", "DROP TABLE IF EXISTS old", "RENAME TABLE a TO b", "TRUNCATE app.log", "TRUNCATE TABLE log", "CREATE DATABASE q", ""]
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    return events.withColumn("t", F.concat(F.lit("t"), F.col("user_id").cast("string"))).withColumn("n", F.col("event_id") % 5)
+
+
+def _text(templates: list[str], number: Column) -> Column:
+    chosen = F.element_at(F.array(*[F.lit(t) for t in templates]), (number + 1).cast("int"))
+    return F.replace(F.replace(chosen, F.lit("{t}"), F.col("t")), F.lit("{n}"), F.col("n").cast("string"))
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history's entries of six tables of seven; the log speaks of the others first."""
+    tables = _events(spark, sf_dir).select("user_id", "t").distinct().where("user_id % 7 <> 0")
+    own = [("id", "INT", True, False), ("name", "VARCHAR(255)", False, True), ("v", "INT", False, True)]
+    columns = F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip((*c, None, None, None, None, i), COLUMN, strict=True)]) for i, c in enumerate(own)])
+    return tables.select(F.lit("app").alias("database"), F.col("t").alias("table"), F.lit(f"{_FILE}000001").alias("binlog_file"), F.lit(4).cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("put_seq"), columns.alias("columns"), F.array(F.lit("id")).alias("primary_key_columns"), F.lit(1).alias("version"), F.lit(0.0).alias("captured_at"), F.lit(None).cast("string").alias("ddl"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema records of the log."""
+    k = F.floor(F.col("event_id") / 3) % len(STATEMENTS)
+    own = _events(spark, sf_dir).where("event_id % 3 = 0").withColumn("k", k)
+    ddl = F.when((F.col("k") == 9) & (F.col("n") == 0), _text([DROP], F.lit(0))).otherwise(_text(STATEMENTS, F.col("k")))
+    place = {"kind": F.lit("schema"), "database": F.lit("app"), "table": F.col("t"), "ddl": ddl, "binlog_file": F.concat(F.lit(_FILE), F.lpad((F.floor(F.col("event_id") / 600) + 1).cast("string"), 6, "0")), "position": (F.lit(132) + F.lit(128) * (F.col("event_id") % 600)).cast("bigint"), "ts": F.lit(0.0)}
+    return own.select(*[place.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_LOG])
 
 
-def registered(spark: SparkSession) -> DataFrame:
-    rows = []
-    for k, (table, columns, _) in enumerate(CASES):
-        if columns:
-            own = [c.split(" ") for c in columns.split(",")]
-            rows.append(("app", table, FILE, 4, k, [(n, t, i == 0, i > 0, None, None, None, None, i) for i, (n, t) in enumerate(own)], [own[0][0]], 1, 0.0, None))
-    assert len(COLUMN) == 9
-    return spark.createDataFrame(rows, SCHEMA_HISTORY)
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, query): a query of a binlog for each event."""
+    return _events(spark, sf_dir).select("event_id", _text(QUERIES, F.col("event_id") % len(QUERIES)).alias("query"))
 
 
-def statements(spark: SparkSession) -> DataFrame:
-    rows = [("schema", "app", table, None, None, None, ddl, FILE, 132 + 128 * k, None, 0.0, None) for table, _, ddls in CASES for k, ddl in enumerate(ddls)]
-    return spark.createDataFrame(rows, RAW_LOG).withColumn("put_seq", F.col("position"))
+def information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as INFORMATION_SCHEMA.COLUMNS has them: an id for each table, and a column for each kind of event that its user had."""
+    seen = _events(spark, sf_dir).select("t", "event_type").distinct()
+    kinds = seen.groupBy("t").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))  # a handful of kinds of events
+    names = kinds.select("t", F.posexplode(F.concat(F.array(F.lit("id")), "kinds")).alias("i", "name"))
+    key = F.col("i") == 0
+    return names.select(F.lit("app").alias("table_schema"), F.col("t").alias("table_name"), F.col("name").alias("column_name"), F.when(key, "bigint unsigned").otherwise("decimal(10,2)").alias("column_type"), F.when(key, "PRI").otherwise("").alias("column_key"), F.when(key, "NO").otherwise("YES").alias("is_nullable"), (F.col("i") + 1).alias("ordinal_position"))

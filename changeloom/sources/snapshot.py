@@ -53,6 +53,26 @@ class Snapshot:
         return out
 
 
+def schema_entries(columns: DataFrame, binlog_file: str, position: int, tables: TableFilter = TableFilter()) -> DataFrame:
+    """Entries of the schema history from rows as INFORMATION_SCHEMA.COLUMNS has them, at the snapshot's position.
+
+    Columns stand in their ordinal order, numbered from 0; the key is those marked PRI. Defaults are not kept.
+    A table's columns are gathered in one row, which the server's limit on columns bounds.
+    """
+    own = columns.where(tables.matches(F.col("table_schema"), F.col("table_name")))
+    text = lambda name: (F.col(name) if name in columns.columns else F.lit(None)).cast("string")
+    values = {
+        "name": F.col("column_name"), "data_type": F.col("column_type"), "is_primary_key": F.coalesce(F.col("column_key") == "PRI", F.lit(False)), "is_nullable": F.coalesce(F.upper(text("is_nullable")) == "YES", F.lit(True)),
+        "character_set": text("character_set_name"), "collation": text("collation_name"), "column_type_extra": text("extra"),
+    }
+    one = F.struct(F.col("ordinal_position").cast("int").alias("_o"), *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in COLUMN if f.name != "ordinal_position"])
+    gathered = own.groupBy(F.col("table_schema").alias("database"), F.col("table_name").alias("table")).agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    made = F.transform("_c", lambda c: F.struct(*[c[f.name].alias(f.name) for f in COLUMN if f.name != "ordinal_position"], (c["_o"] - 1).alias("ordinal_position")))
+    key = F.transform(F.filter("_c", lambda c: c["is_primary_key"]), lambda c: c["name"])
+    place = {"binlog_file": F.lit(binlog_file), "position": F.lit(position), "put_seq": F.lit(0), "columns": made, "primary_key_columns": key, "version": F.lit(1), "captured_at": F.lit(0.0), "ddl": F.lit(None)}
+    return gathered.select("database", "table", *[place[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA_HISTORY if f.name in place])
+
+
 def page(rows: DataFrame, primary_key: list[str], number: int, size: int = 1000) -> DataFrame:
     """One page by primary key, for consumers that page. Each page sorts anew: prefer the whole scan."""
     if not primary_key:

@@ -5,14 +5,15 @@ import json
 import duckdb
 import pytest
 from changeloom.config import Settings
-from changeloom.functions.ddl import Schema, apply_ddl, statement_kind, table_of
+from changeloom.functions.ddl import statement_kind, table_of
 from changeloom.functions.positions import committed_so_far
 from changeloom.operators import delivery, transactions, views
 from changeloom.operators.asof import schema_at
 from changeloom.operators.filters import TableFilter
+from changeloom.operators.history import schema_history
 from changeloom.pipeline import Pipeline
 from changeloom.plans import catalog, oracle
-from changeloom.schemas import spark_type
+from changeloom.schemas import RAW_LOG, SCHEMA_HISTORY, spark_type
 from changeloom.sinks import JsonLinesSink, MemorySink, WebhookSink, create
 from changeloom.sinks.webhook import PermanentError
 from changeloom.sources.landed import from_binlog_events
@@ -109,35 +110,53 @@ def test_unknown_operation_is_an_error(spark, tmp_path):
         pipeline(spark, tmp_path, snapshot_enabled=False).run(log)
 
 
-@pytest.mark.parametrize(
-    "ddl, names, key, version",
-    [
-        ("ALTER TABLE t ADD COLUMN c INT AFTER a", "a c b", "a", 2),
-        ("ALTER TABLE t ADD c INT FIRST", "c a b", "a", 2),
-        ("ALTER TABLE t ADD x INT, ADD y INT AFTER a", "a y x b", "a", 2),
-        ("ALTER TABLE t DROP COLUMN a", "b", "", 2),
-        ("ALTER TABLE t CHANGE a z BIGINT", "z b", "z", 2),
-        ("ALTER TABLE t MODIFY COLUMN b TEXT FIRST", "a b", "a", 2),
-        ("ALTER TABLE t ADD COLUMN a INT", "a b", "a", 2),
-        ("ALTER TABLE t ADD COLUMN first VARCHAR(5)", "first a b", "a", 2),
-        ("ALTER TABLE t ADD COLUMN c INT COMMENT 'a remark that goes on for more than fifty characters' FIRST", "a b c", "a", 2),
-        ("ALTER TABLE t ADD INDEX i (a)", "a b INDEX", "a", 2),
-        ("ALTER TABLE t DROP COLUMN IF EXISTS b", "a b", "a", 2),
-        ("RENAME TABLE t TO u", "a b", "a", 2),
-        ("RENAME TABLE", "a b", "a", 1),
-        ("TRUNCATE t", "a b", "a", 2),
-        ("ROLLBACK", "a b", "a", 2),
-    ],
-)
-def test_statements(ddl, names, key, version):
-    out = apply_ddl(Schema((("a", "INT", True, False), ("b", "INT", False, True)), ("a",), 1), ddl)
-    assert (" ".join(out.names()), " ".join(out.primary_key), out.version) == (names, key, version)
-
-
-def test_statements_of_unknown_tables():
-    assert apply_ddl(None, "CREATE TABLE t (a INT)") == Schema()
-    assert apply_ddl(None, "ALTER TABLE t ADD a INT") is None
-    assert apply_ddl(Schema(), "drop table if exists t") is None
+STATEMENTS = [
+    ("ALTER TABLE t ADD COLUMN c INT AFTER a", "a c b", "a", 2),
+    ("ALTER TABLE t ADD c INT FIRST", "c a b", "a", 2),
+    ("ALTER TABLE t ADD x INT, ADD y INT AFTER a", "a y x b", "a", 2),
+    ("ALTER TABLE t DROP COLUMN a", "b", "", 2),
+    ("ALTER TABLE t CHANGE a z BIGINT", "z b", "z", 2),
+    ("ALTER TABLE t MODIFY COLUMN b TEXT FIRST", "a b", "a", 2),
+    ("ALTER TABLE t ADD COLUMN a INT", "a b", "a", 2),
+    ("ALTER TABLE t ADD COLUMN first VARCHAR(5)", "first a b", "a", 2),
+    ("ALTER TABLE t ADD COLUMN c INT COMMENT 'a remark that goes on for more than fifty characters' FIRST", "a b c", "a", 2),
+    ("ALTER TABLE t ADD INDEX i (a)", "a b INDEX", "a", 2),
+    ("ALTER TABLE t DROP COLUMN IF EXISTS b", "a b", "a", 2),
+    ("RENAME TABLE t TO u", "a b", "a", 2),
+    ("RENAME TABLE", "a b", "a", 1),
+    ("TRUNCATE t", "a b", "a", 2),
+    ("ROLLBACK", "a b", "a", 2),
+]
+
+
+def folded(spark, scripts):
+    """The last version of each table (name: registered columns or None, statements), by the fold."""
+    registered = [("app", t, FILE, 4, 0, [(n, k, i == 0, i > 0, None, None, None, None, i) for i, (n, k) in enumerate(columns)], [columns[0][0]], 1, 0.0, None) for t, (columns, _) in scripts.items() if columns]
+    log = [("schema", "app", t, None, None, None, ddl, FILE, 100 + k, None, 0.0, None) for t, (_, ddls) in scripts.items() for k, ddl in enumerate(ddls)]
+    found = schema_history(spark.createDataFrame(registered, SCHEMA_HISTORY), spark.createDataFrame(log, RAW_LOG)).collect()
+    last = {t: max((r for r in found if r.table == t), key=lambda r: (r.position, r.put_seq)) for t in scripts}
+    return {t: None if r.columns is None else (" ".join(c.name for c in r.columns), " ".join(r.primary_key_columns), r.version) for t, r in last.items()}, found
+
+
+def test_statements(spark):
+    found, _ = folded(spark, {f"t{i}": ([("a", "INT"), ("b", "INT")], [case[0]]) for i, case in enumerate(STATEMENTS)})
+    assert found == {f"t{i}": case[1:] for i, case in enumerate(STATEMENTS)}
+
+
+def test_statements_of_unknown_tables(spark):
+    scripts = {"new": (None, ["CREATE TABLE t (a INT)"]), "never": (None, ["ALTER TABLE t ADD a INT"]), "gone": ([("a", "INT")], ["drop table if exists t"]), "again": ([("a", "INT")], ["DROP TABLE t", "CREATE TABLE t (b INT)", "ALTER TABLE t ADD c INT"])}
+    found, rows = folded(spark, scripts)
+    assert found == {"new": ("", "", 1), "never": None, "gone": None, "again": ("c", "", 2)}
+    assert len(rows) == 2 + 6  # a version for each entry, unknown ones too
+    types = {c.name: (c.data_type, c.is_nullable, c.ordinal_position) for r in rows if r.table == "again" and r.columns for c in r.columns}
+    assert types == {"a": ("INT", False, 0), "c": ("INT", True, 0)}
+
+
+def test_the_fold_has_no_python(spark):
+    from changeloom.plans import catalog
+
+    plan = catalog.ddl_history(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_statement_kinds_and_tables(spark):
