@@ -17,7 +17,7 @@ from ..operators.history import latest_version, schema_history
 from ..sources.landed import from_binlog_events
 from ..sources.snapshot import Snapshot, SnapshotTable, page, schema_entries
 from . import changelog as c
-from . import statements
+from . import statements, streams
 
 
 def op_counts(s: SparkSession, d: str) -> DataFrame:
@@ -282,4 +282,4 @@ _NAMES = """op_counts table_filter envelope_keys unique_events duplicates latest
 before_after schema_asof decoded_columns snapshot_union snapshot_overlap_latest snapshot_idempotency_overlap offset_progress tx_cap sink_dedup_anti webhook_payload_meta delivery_stats
 batch_idempotency_key ddl_history envelope_rows envelope_types envelope_marks filtered_row_counts event_json images_as_maps snapshot_envelope_rows snapshot_schema snapshot_page
 binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions""".split()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES} | streams.QUERIES

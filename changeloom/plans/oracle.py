@@ -60,6 +60,11 @@ _VIEWS = {
         case when does='drop' or not known then cast([] as varchar[]) when does='alter' then k1 else keys end, case when does='drop' or (not known and does<>'create') then null when not known then 1 else version+1 end from (
         select *, list_transform(c1, lambda x: case when split_part(x,' ',1)=modified then modified||' '||modified_to when split_part(x,' ',1)=changed then changed_to else x end) as c3 from (
         select e.*, f.known, f.cols, f.keys, f.version, list_filter(f.cols, lambda x: split_part(x,' ',1) is distinct from e.dropped) as c1, list_filter(f.keys, lambda x: x is distinct from e.dropped) as k1 from fold f join edits e on e.tbl=f.tbl and e.i=f.i+1) a) b""",
+    "in_lanes": "select user_id%16 as lane, event_id, ts, row_number() over (partition by user_id%16 order by ts, event_id) as i from events",
+    # a row after another: a batch that is full or too old ends before the next
+    "lanes": """select lane, i, event_id, ts, ts as oldest, 1 as n, cast(0 as bigint) as batch_no from in_lanes where i=1
+        union all select e.lane, e.i, e.event_id, e.ts, case when l.n=16 or e.ts-l.oldest>=interval 4 hour then e.ts else l.oldest end, case when l.n=16 or e.ts-l.oldest>=interval 4 hour then 1 else l.n+1 end,
+        case when l.n=16 or e.ts-l.oldest>=interval 4 hour then l.batch_no+1 else l.batch_no end from lanes l join in_lanes e on e.lane=l.lane and e.i=l.i+1""",
     "versions": "select * from fold where i>0 or known",
 }
 _BEGUN, _DONE = "(select tx from log where kind='tx_begin')", "(select tx from log where kind='tx_commit')"
@@ -145,6 +150,9 @@ _BODIES = {
         select *, max(binlog_file) over (partition by batch_no) as top from (select *, cast(floor((row_number() over (order by delivery_seq)-1)/70) as bigint) as batch_no from delivered where kind='row') x) t group by batch_no""",
     "mixed_payloads": """select batch, count(*) as event_count, max(binlog_file) as max_binlog_file, max(position) filter (binlog_file=top) as max_binlog_position, case when count(distinct tx)=1 then max(tx) end as transaction_id,
         sha256(string_agg(idempotency_key,'|' order by idempotency_key)) as batch_key from (select *, max(binlog_file) over (partition by batch) as top from (select *, case when tx%3=0 then tx else cast(floor(tx/10) as bigint)*10+1 end as batch from env) e) t group by batch""",
+    "stream_loose_batches": """select lane, batch_no, cast(count(*) as integer) as n_events, arg_min(event_id, i) as first_seq, arg_max(event_id, i) as last_seq, case when count(*)=16 then 'size' else 'age' end as reason
+        from lanes group by lane, batch_no having count(*)=16 or min(ts)+interval 4 hour<=(select max(ts) from events) or batch_no<(select max(batch_no) from lanes l where l.lane=lanes.lane)""",
+    "stream_unique_events": "select distinct idempotency_key from delivered",
     "ddl_history": """select 'app' as database, tbl as "table", binlog_file, position, version, case when known then array_to_string(cols, ', ') end as columns, case when known then array_to_string(keys, ',') end as key from versions""",
     "ddl_versions": """select 'app' as database, tbl as "table", cast(coalesce(arg_max_null(version, i), 0) as integer) as schema_version from versions group by tbl""",
 }
@@ -175,6 +183,7 @@ def _needed(sql: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in _BODIES.items():
-        views = ",\n".join(f"{v} as {'' if v == 'fold' else 'materialized '}({_expanded(_VIEWS[v])})" for v in _needed(body))
+        views = ",\n".join(f"{v} as {'' if v in ('fold', 'lanes') else 'materialized '}({_expanded(_VIEWS[v])})" for v in _needed(body))
         out[name] = f"with recursive {views}\n{body}" if views else body
-    return out
+    # the same rows, delivered by streams
+    return out | {f"stream_{n}": out[n] for n in ("tx_assembly", "materialized_view")}

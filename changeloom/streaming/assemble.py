@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,50 +12,63 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.transactions import CAP
 
 BATCH = "transaction_id string, kind string, n_events int, row_count int, max_file string, max_position long, cut boolean, events array<string>"
+FRAME = 10_000  # rows whose output is handed over together
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Assembler(StatefulProcessor):
-    """Keeps a transaction's events from its begin; delivers at the commit or beyond the cap."""
+    """Keeps a transaction's events from its begin; delivers at the commit or beyond the cap.
+
+    Events are appended to the state with a count beside it, and the list is read only when it is delivered: a micro-batch costs what it brings.
+    """
 
     def __init__(self, cap: int = CAP):
         self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", "event string")
+        self.events = handle.getListState("events", "kind string, file string, position long, event string")
         self.opened = handle.getValueState("opened", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)  # of one transaction in one micro-batch
-        frame = pd.concat(frames).sort_values(["binlog_file", "position"], kind="stable")
-        n = self.opened.get()[0] if self.opened.exists() else None
-        kept = [r[0] for r in self.events.get()] if n is not None else []
-        before, out = n, []
-        for r in frame.itertuples():
-            line = json.dumps({"kind": r.kind, "file": r.binlog_file, "position": int(r.position), "event": r.event})
-            if r.kind == "tx_begin":
-                kept, n = [line], 1  # a begin that is repeated starts anew
-            elif n is None:
-                out.append(self._batch(key[0], [line], "orphan"))
-            else:
-                kept.append(line)
-                n += 1
-                if r.kind == "tx_commit" or n > self.cap:
-                    out.append(self._batch(key[0], kept, "transaction" if r.kind == "tx_commit" else "part"))
-                    kept, n = [], None
+        before = n = self.opened.get()[0] if self.opened.exists() else None
+        fresh: list[tuple] = []  # at most cap + 1 events that aren't in the state yet
+        for frame in self._in_order(rows):
+            out = []
+            for r in frame.itertuples():
+                line = (r.kind, r.binlog_file, int(r.position), r.event)
+                if r.kind == "tx_begin":  # one that is repeated starts anew
+                    self.events.clear()
+                    fresh, n = [line], 1
+                elif n is None:
+                    out.append(self._batch(key[0], [line], "orphan"))
+                else:
+                    fresh.append(line)
+                    n += 1
+                    if r.kind == "tx_commit" or n > self.cap:
+                        kept = [*map(tuple, self.events.get()), *fresh] if self.events.exists() else fresh
+                        out.append(self._batch(key[0], kept, "transaction" if r.kind == "tx_commit" else "part"))
+                        self.events.clear()
+                        fresh, n = [], None
+            if fresh:
+                self.events.appendList(fresh)
+                fresh = []
+            if out:
+                yield pd.DataFrame(out, columns=[f.split()[0] for f in BATCH.split(", ")])
         if n is not None:
-            self.events.put([(x,) for x in kept])
             self.opened.update((n,))
         elif before is not None:
-            self.events.clear()
             self.opened.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in BATCH.split(", ")])
 
-    def _batch(self, tx: str, lines: list[str], kind: str) -> tuple:
-        events = [json.loads(x) for x in lines]
-        top = max((e["file"], e["position"]) for e in events)
-        return tx, kind, len(events), sum(e["kind"] == "row" for e in events), *top, kind == "part", [e["event"] for e in events]
+    @staticmethod
+    def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A transaction's rows of one micro-batch in log order, a frame at a time; the source's rate bounds them."""
+        frame = pd.concat(list(rows)).sort_values(["binlog_file", "position"], kind="stable")
+        for at in range(0, len(frame), FRAME):
+            yield frame.iloc[at : at + FRAME]
+
+    def _batch(self, tx: str, lines: list[tuple], kind: str) -> tuple:
+        top = max((file, position) for _, file, position, _ in lines)
+        return tx, kind, len(lines), sum(k == "row" for k, *_ in lines), *top, kind == "part", [e for *_, e in lines]
 
     def close(self) -> None:
         pass
