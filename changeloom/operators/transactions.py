@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 10_000
+HEAVY = 50_000  # transactions that are cut in parts first, at most
 
 
 def marks(log: DataFrame, tx: str = "transaction_id") -> DataFrame:
@@ -29,26 +30,36 @@ def orphans(log: DataFrame, tx: str = "transaction_id") -> DataFrame:
     return log.join(begun, tx, "left_anti")
 
 
+def _least(log: DataFrame, tx: str, order: tuple[str, ...], most: int) -> DataFrame:
+    """``log`` without what is surely beyond each transaction's first ``most`` rows: a transaction with far more is first cut in parts.
+
+    So no task sorts one of any size whole. Those that are cut have more than 1 / HEAVY of all rows, or 8 times ``most``.
+    """
+    counts = log.groupBy(tx).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 8 * most)
+    heavy = counts.orderBy(F.desc("_rows")).limit(HEAVY).select(tx, F.ceil(F.col("_rows") / (4 * most)).alias("_parts"))
+    marked = log.join(F.broadcast(heavy), tx, "left").withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts")))
+    big = marked.where(F.col("_parts").isNotNull())
+    cut = big.withColumn("_k", F.row_number().over(Window.partitionBy(tx, "_part").orderBy(*order))).where(F.col("_k") <= most)
+    return marked.where(F.col("_parts").isNull()).select(*log.columns).unionByName(cut.select(*log.columns))
+
+
 def assemble(log: DataFrame, tx: str = "transaction_id", cap: int = CAP, order: tuple[str, ...] = ("binlog_file", "position", "delivery_seq")) -> DataFrame:
     """One row per delivered batch: the transaction, its events in order, and whether the cap cut it.
 
     After a begin, events gather until the commit, or until there are more than ``cap``;
     then what has gathered is delivered (``cap`` + 1 events), and the rest is orphaned. A
-    begin that is repeated starts anew. Arrays are bounded by the cap.
+    begin that is repeated starts anew. Arrays are bounded by the cap, and so is what a task sorts of one transaction.
     """
-    w = Window.partitionBy(tx).orderBy(*order)
-    seen = log.where(F.col(tx).isNotNull()).withColumn("_begin", F.max(F.when(F.col("kind") == "tx_begin", F.struct(*order))).over(Window.partitionBy(tx)))
-    kept = seen.where(F.col("_begin").isNotNull() & (F.struct(*order) >= F.col("_begin"))).withColumn("_n", F.row_number().over(w))
+    begins = log.where(F.col("kind") == "tx_begin").groupBy(tx).agg(F.max(F.struct(*order)).alias("_begin"))
+    seen = log.where(F.col(tx).isNotNull()).join(begins, tx).where(F.struct(*order) >= F.col("_begin")).drop("_begin")
+    kept = _least(seen, tx, order, cap + 1).withColumn("_n", F.row_number().over(Window.partitionBy(tx).orderBy(*order)))
     kept = kept.withColumn("_closed", F.min(F.when(F.col("kind") == "tx_commit", F.col("_n"))).over(Window.partitionBy(tx)))
     kept = kept.where((F.col("_n") <= cap + 1) & (F.col("_closed").isNull() | (F.col("_n") <= F.col("_closed"))))
     out = kept.groupBy(tx).agg(F.array_sort(F.collect_list(F.struct("_n", *[F.col(c) for c in log.columns if c != tx]))).alias("events"), F.count("*").alias("n"), F.max(F.col("kind") == "tx_commit").alias("committed"), F.max(F.struct("binlog_file", "position")).alias("max_position"))
     return out.where(F.col("committed") | (F.col("n") > cap)).withColumn("cut", ~F.col("committed")).drop("committed")
 
 
-def capped(log: DataFrame, tx: str = "transaction_id", cap: int = CAP, order: str = "position") -> DataFrame:
-    """Per transaction that overflows or just fills the cap: events delivered as a part, and orphaned ones."""
-    begun = log.where("kind = 'tx_begin'").select(tx).distinct()
-    n = F.row_number().over(Window.partitionBy(tx).orderBy(order))
-    own = log.join(begun, tx, "left_semi").withColumn("_n", n)
-    out = own.groupBy(tx).agg(F.count_if(F.col("_n") <= cap + 1).alias("partial_events"), F.count_if(F.col("_n") > cap + 1).alias("orphan_events"))
-    return out.where(F.col("partial_events") > cap)
+def capped(log: DataFrame, tx: str = "transaction_id", cap: int = CAP) -> DataFrame:
+    """Per transaction that overflows or just fills the cap: events delivered as a part, and orphaned ones. Counts alone, combined first."""
+    counts = log.where(F.col(tx).isNotNull()).groupBy(tx).agg(F.count("*").alias("n"), F.max(F.col("kind") == "tx_begin").alias("begun"))
+    return counts.where(F.col("begun") & (F.col("n") > cap)).select(tx, F.least(F.col("n"), F.lit(cap + 1).cast("long")).alias("partial_events"), F.greatest(F.col("n") - cap - 1, F.lit(0).cast("long")).alias("orphan_events"))

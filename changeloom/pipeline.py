@@ -17,6 +17,7 @@ from .operators.history import schema_history
 from .operators.transactions import CAP
 from .schemas import SCHEMA_HISTORY
 from .sinks import Sink, create
+from .sources.shared import shared_folder
 from .sources.snapshot import Snapshot
 from .sources.stores import OffsetStore, load_history, save_history
 from .streaming.run import deliver
@@ -41,7 +42,7 @@ class Pipeline:
         self.offsets = OffsetStore(self.settings.offset_path, self.settings.offset_flush_ms)
         self.runs = 0
         # executors write here, so it has to be a folder that they share
-        self.staging = self.settings.staging_path or f"{self.spark.conf.get('spark.checkpoint.dir', None) or '.'}/cdc_staging"
+        self.staging = self.settings.staging_path or shared_folder(self.spark, "cdc_staging")
 
     def history(self, log: DataFrame, snapshot: Snapshot | None) -> DataFrame:
         """The stored history with the snapshot's tables and the log's statements."""
@@ -69,7 +70,8 @@ class Pipeline:
             # counted by table first (a row for each table), so that no table is shuffled to one task
             chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / self.settings.snapshot_chunk_size)).alias("chunks")
             sized = rows.groupBy("database", "table").agg(chunks).withColumnsRenamed({"database": "_database", "table": "_table"})
-            rows = rows.join(F.broadcast(sized), F.col("database").eqNullSafe(F.col("_database")) & F.col("table").eqNullSafe(F.col("_table")))
+            # a row for each table: Spark broadcasts them if they are few
+            rows = rows.join(sized, F.col("database").eqNullSafe(F.col("_database")) & F.col("table").eqNullSafe(F.col("_table")))
             chunk = F.pmod(F.xxhash64("idempotency_key"), F.col("chunks"))
             rows = rows.withColumn("delivery_batch", F.concat_ws("-", F.lit("snapshot"), "database", "table", chunk)).withColumn("pending", F.lit(False))
             total += self._deliver(rows.drop("_database", "_table", "chunks"))[0]

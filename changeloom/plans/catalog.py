@@ -241,7 +241,7 @@ def offset_progress(s: SparkSession, d: str) -> DataFrame:
 
 
 def tx_cap(s: SparkSession, d: str) -> DataFrame:
-    return transactions.capped(c.log(s, d), "tx", cap=3, order="slot")
+    return transactions.capped(c.log(s, d), "tx", cap=3)
 
 
 def sink_dedup_anti(s: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .base import LogSink, MemorySink, Sink
+from .base import LogSink, MemorySink, Sink, TableSink
 from .jsonl import JsonLinesSink
+from .keys import KeyIndex
 from .webhook import WebhookSink
 
 
@@ -12,7 +13,7 @@ def create(settings: dict) -> Sink:
     options = dict(settings)
     kind = str(options.pop("type", "log") or "log").lower()
     if kind == "memory":
-        return MemorySink()
+        return MemorySink(options.get("path"))
     if kind in ("log", "stdout"):
         return LogSink(to_stdout=kind == "stdout")
     if kind == "jsonl":
@@ -22,4 +23,4 @@ def create(settings: dict) -> Sink:
     raise ValueError(f"unknown sink type: {kind}")
 
 
-__all__ = ["JsonLinesSink", "LogSink", "MemorySink", "Sink", "WebhookSink", "create"]
+__all__ = ["JsonLinesSink", "KeyIndex", "LogSink", "MemorySink", "Sink", "TableSink", "WebhookSink", "create"]

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.positions import at_or_after
-from ..operators import views
 from ..operators.envelope import to_json
 from .base import Sink
+from .keys import KeyIndex
 
 
 class JsonLinesSink(Sink):
@@ -16,36 +14,20 @@ class JsonLinesSink(Sink):
 
     Events are sorted by position inside range partitions, so that transactions stay together
     and large batches are still written in parallel. With ``dedupe_index_path`` keys
-    that were written before are skipped; keys are kept after the write, so repeats inside a
+    that were written before are skipped, in whatever order they come (see ``KeyIndex``); keys are kept after the write, so repeats inside a
     batch are both written. ``append=False`` keeps only the last batch.
     """
 
     def __init__(self, path: str, dedupe_index_path: str | None = None, append: bool = True):
-        self.path, self.index, self.append = path, dedupe_index_path, append
+        self.path, self.index_path, self.append = path, dedupe_index_path, append
+        self.index: KeyIndex | None = None
 
     def deliver(self, events: DataFrame, batch_id: int) -> None:
         own, keys = events, ["binlog_file", "position"]
-        if self.index:
-            own = views.unseen(events, self._seen(events, batch_id)).unionByName(events.where(F.col("idempotency_key").isNull()))
+        if self.index_path:
+            self.index = self.index or KeyIndex(events.sparkSession, self.index_path)
+            own = self.index.unseen(events, batch_id)
         target = f"{self.path}/batch={batch_id}" if self.append else self.path
-        to_json(own.repartitionByRange(*keys).sortWithinPartitions(*keys)).write.mode("overwrite").text(target)
-        if self.index:
-            own.select("idempotency_key", *keys).where("idempotency_key is not null").distinct().write.mode("overwrite").parquet(f"{self.index}/batch={batch_id}")
-
-    def _seen(self, events: DataFrame, batch_id: int) -> DataFrame:
-        """Keys of all batches but this one, from this one's least position on: a key has its position in it, so older ones can't repeat.
-
-        The predicate reaches the scan, and files of older batches are skipped by their statistics.
-        """
-        spark = events.sparkSession
-        try:
-            found = spark.read.parquet(self.index)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return spark.createDataFrame([], "idempotency_key string")
-            raise
-        found = found.where(F.col("batch") != batch_id)
-        first = events.agg(F.min(F.struct("binlog_file", "position")).alias("at")).first().at
-        if first is not None and first.binlog_file is not None:
-            found = found.where(F.col("binlog_file").isNull() | at_or_after(first.binlog_file, first.position or 0))
-        return found.select("idempotency_key")
+        to_json(own.select(*events.columns).repartitionByRange(*keys).sortWithinPartitions(*keys)).write.mode("overwrite").text(target)
+        if self.index is not None:
+            self.index.add(own, batch_id)
