@@ -14,8 +14,12 @@ from ..operators import asof, delivery, transactions, views
 from ..operators.envelope import as_map, envelopes, named, snapshot_envelopes, to_json
 from ..operators.filters import TableFilter, without_boundaries
 from ..operators.history import latest_version, schema_history
+from ..sinks.keys import KeyIndex
+from ..sources.chunks import ChunkedSnapshot, between
 from ..sources.landed import from_binlog_events
+from ..sources.shared import shared_folder
 from ..sources.snapshot import Snapshot, SnapshotTable, page, schema_entries
+from ..sources.splits import SplitRead
 from . import changelog as c
 from . import statements, streams
 
@@ -194,17 +198,26 @@ def mixed_payloads(s: SparkSession, d: str) -> DataFrame:
     return delivery.payloads(rows, "batch", tx="tx")
 
 
-def _decoded(s: SparkSession, d: str) -> DataFrame:
+def _wide(s: SparkSession, d: str) -> DataFrame:
     log = c.log(s, d).where("kind = 'row'")
     wide = ((F.col("tbl") == "user_state") & (F.col("binlog_file") >= f"{c.FILE}000002")) | ((F.col("tbl") == "audit") & (F.col("binlog_file") >= f"{c.FILE}000003"))
-    log = log.withColumn("width", F.when(wide, 4).otherwise(3))
-    return asof.schema_at(log, c.history(s), keys=("tbl",))
+    return log.withColumn("width", F.when(wide, 4).otherwise(3))
+
+
+def _decoded(s: SparkSession, d: str) -> DataFrame:
+    return asof.schema_at(_wide(s, d), c.history(s), keys=("tbl",))
 
 
 def schema_asof(s: SparkSession, d: str) -> DataFrame:
     return _decoded(s, d).groupBy("tbl", F.col("h_version").alias("version"), "width").agg(F.count("*").alias("n"))
 
 
+def schema_asof_ranges(s: SparkSession, d: str) -> DataFrame:
+    """``schema_asof`` with nothing broadcast: log and history meet in ranges of the log."""
+    found = asof.by_range(_wide(s, d), c.history(s), ("tbl",), ("put_seq",), size=128 * 50)
+    return found.groupBy("tbl", F.col("h_version").alias("version"), "width").agg(F.count("*").alias("n"))
+
+
 def decoded_columns(s: SparkSession, d: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
     narrow = [F.col("user_id").cast("string"), F.col("event_type")]
@@ -278,8 +291,53 @@ def ddl_versions(s: SparkSession, d: str) -> DataFrame:
     return latest_version(_versions(s, d))
 
 
+def sink_dedup_index(s: SparkSession, d: str) -> DataFrame:
+    """``sink_dedup_anti`` through a sink's key index of four batches, delivered in any order."""
+    events = c.events(s, d).select("tx", "idempotency_key")
+    index = KeyIndex(s, shared_folder(s, "keys"))
+    for batch in (2, 0, 3, 1):
+        index.add(events.where((F.col("tx") % 2 == 0) & (F.floor(F.col("tx") / 2) % 4 == batch)), batch)
+    return index.unseen(events, 9).select("idempotency_key")
+
+
+def snapshot_chunks(s: SparkSession, d: str) -> DataFrame:
+    """``materialized_view`` from a table that is read in four chunks while its log goes on, and the log from the first mark on; no position holds for all chunks."""
+    log = c.events(s, d).where("kind = 'row'").select("kind", "tbl", "user_id", "event_type", "value", "op", "binlog_file", "position", "slot")
+    end = log.agg(F.max("slot")).first()[0] or 0
+    clock = iter(range(1, 99))
+    ends: list[int] = []
+
+    def mark() -> tuple[str, int]:
+        """The log has gone on since the last mark."""
+        ends.append(end * next(clock) // 10)
+        top = log.where(F.col("slot") <= ends[-1]).agg(F.max(F.struct("binlog_file", "position")).alias("at")).first().at
+        return ("", 0) if top is None else (top.binlog_file, top.position)
+
+    def read(i: int) -> DataFrame:
+        """The table's rows somewhere between two marks."""
+        now = log.where((F.col("slot") <= ends[-1] + end // 20) & (F.pmod(F.xxhash64("user_id"), F.lit(4)) == i))
+        return views.materialized(now, ["tbl", "user_id"], position(), "slot", ["event_type", "value"])
+
+    chunks = ChunkedSnapshot(s, shared_folder(s, "chunks"), 4, ["tbl", "user_id"])
+    chunks.run(read, lambda: log, mark, most=2)
+    chunks.run(read, lambda: log, mark)  # resumed
+    later = log.where(between(chunks.start(), ("~", 0)))
+    both = chunks.rows().withColumns({"op": F.lit("READ"), "slot": F.lit(-1).cast("long")}).unionByName(later.drop("kind"))
+    return views.materialized(both, ["tbl", "user_id"], position(), "slot", ["event_type", "value"]).select("user_id", "event_type", "value")
+
+
+def snapshot_splits(s: SparkSession, d: str) -> DataFrame:
+    """A table with a key of two columns, read in ranges of it, in two runs: how many ranges, rows and keys, and whether the ranges are even."""
+    items = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    split = SplitRead(s, shared_folder(s, "splits"), ["l_orderkey", "l_linenumber"], 16)
+    split.run(items, most=6)
+    split.run(items)
+    per = split.rows().groupBy("_range").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey", "l_linenumber").alias("k"), F.sum("l_quantity").alias("q"))
+    return per.agg(F.count("*").alias("n_ranges"), F.sum("n").alias("n_rows"), F.sum("k").alias("n_keys"), F.sum("q").cast("double").alias("quantity"), (F.max("n") <= 1.5 * F.avg("n")).alias("even"))
+
+
 _NAMES = """op_counts table_filter envelope_keys unique_events duplicates latest_by_dedup_key materialized_view tx_batches tx_pending non_tx_orphans size_batches resume_from
 before_after schema_asof decoded_columns snapshot_union snapshot_overlap_latest snapshot_idempotency_overlap offset_progress tx_cap sink_dedup_anti webhook_payload_meta delivery_stats
 batch_idempotency_key ddl_history envelope_rows envelope_types envelope_marks filtered_row_counts event_json images_as_maps snapshot_envelope_rows snapshot_schema snapshot_page
-binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions""".split()
+binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions schema_asof_ranges sink_dedup_index snapshot_chunks snapshot_splits""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES} | streams.QUERIES

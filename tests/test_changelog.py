@@ -31,7 +31,8 @@ FILE = "mysql-bin-changelog.000001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    c.sql(f"create view events as select * from '{SF}/events.parquet'")
+    for table in ("events", "lineitem"):
+        c.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     return c
 
 

@@ -1,15 +1,18 @@
-"""Streams, the keyed table, the key index and the table sink: restarts, timers, hot keys, failures half-way, bytes touched."""
+"""Streams, the keyed table, the key index, the table sink, chunks, splits, the as-of join: restarts, timers, hot keys, failures half-way."""
 
 import json
 import os
 import random
 
 import pytest
-from changeloom.operators import transactions, views
+from changeloom.operators import asof, transactions, views
 from changeloom.sinks import JsonLinesSink, KeyIndex, TableSink
 from changeloom.sinks.keys import made, may_hold
+from changeloom.sources.chunks import ChunkedSnapshot
+from changeloom.sources.ledger import Ledger
 from changeloom.sources.shared import shared_folder
 from changeloom.sources.snapshot import schema_entries
+from changeloom.sources.splits import SplitRead, bounds, predicates
 from changeloom.streaming.loose import loose_batches
 from changeloom.streaming.table import KeyedTable
 from pyspark.sql import functions as F
@@ -171,3 +174,64 @@ def test_schema_entries(spark):
 def test_shared_folders_are_fresh(spark):
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a != b and a.startswith("file:")
+
+
+def test_as_of_by_ranges_equals_that_by_intervals(spark):
+    rng = random.Random(11)
+    file = lambda: rng.choice(["a", "b", "c"])
+    history = [(t, file(), rng.randrange(60), i, f"v{i}") for i, t in enumerate(["t"] * 25 + ["u"] * 2)] + [("t", "b", 30, 90, "x"), ("t", "b", 30, 91, "y"), ("w", "a", 3, 92, "only")]
+    log = [(t, f, None if f is None else p, i) for i, (t, f, p) in enumerate((rng.choice(["t", "t", "t", "u", "w", "none", None]), rng.choice(["a", "b", "c", "d", None]), rng.randrange(70)) for _ in range(400))]
+    history = spark.createDataFrame(history, "table string, binlog_file string, position bigint, put_seq bigint, cols string")
+    log = spark.createDataFrame(log, "table string, binlog_file string, position bigint, id int")
+    one = asof.schema_at(log, history, keys=("table",))
+    two = asof.schema_at(log, history, keys=("table",), broadcast_bytes=0)
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    three = asof.by_range(log, history, ("table",), ("put_seq",), size=7)
+    assert sorted(map(str, one.collect())) == sorted(map(str, three.collect()))
+    # a table's records are dealt by ranges, not by the table
+    plan = three._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k0" in plan and "_f" in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_splits_of_any_key(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b", "é", "zz"]), rng.choice([None, *range(40)]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "name string, n int, id int").repartition(3)
+    cuts = bounds(df, ["name", "n"], 8)
+    assert 1 <= len(cuts) <= 7
+    marked = df.select("id", *[p.cast("int").alias(f"p{i}") for i, p in enumerate(predicates(["name", "n"], cuts))]).collect()
+    assert all(sum(r[1:]) == 1 for r in marked)  # each row is in one range, nulls too
+    split = SplitRead(spark, f"file://{tmp_path}/s", ["name", "n"], 8)
+    first = split.run(df, most=3)
+    asked = []
+    rest = SplitRead(spark, f"file://{tmp_path}/s", ["name", "n"], 8).run(df, read=lambda p: (asked.append(p), df.where(p))[1])
+    assert len(first) == 3 and len(asked) == len(rest) == len(cuts) + 1 - 3 and not set(first) & set(rest)
+    assert sorted(r.id for r in split.rows().collect()) == list(range(600))
+    assert split.run(df) == []
+    none = SplitRead(spark, f"file://{tmp_path}/none", ["n"], 8)
+    assert none.run(df.where("false")) == [0] and none.rows().count() == 0
+
+
+def test_chunks_give_way_to_the_log(spark, tmp_path):
+    """A row that changes while its chunk is read comes from the log, whichever version was read."""
+    log = spark.createDataFrame([("row", 1, "f", 10, "late"), ("row", 2, "f", 20, "late"), ("row", 9, "f", 30, "new")], "kind string, id int, binlog_file string, position bigint, v string")
+    marks = iter([("f", 5), ("f", 15), ("f", 15), ("f", 25)])
+    table = {0: [(1, "early"), (3, "same")], 1: [(2, "late"), (4, "same")]}
+    chunks = ChunkedSnapshot(spark, f"file://{tmp_path}/c", 2, ["id"])
+    read = lambda i: spark.createDataFrame(table[i], "id int, v string")
+    assert chunks.run(read, lambda: log, lambda: next(marks), most=1) == [0]
+    with pytest.raises(ZeroDivisionError):  # cut off while a chunk is read: it doesn't count
+        chunks.run(lambda i: 1 / 0, lambda: log, lambda: ("f", 15))
+    again = ChunkedSnapshot(spark, f"file://{tmp_path}/c", 2, ["id"])
+    assert again.run(read, lambda: log, lambda: next(marks)) == [1] and again.run(read, lambda: log, lambda: next(marks)) == []
+    assert sorted((r.id, r.v, r.position) for r in again.rows().collect()) == [(3, "same", 15), (4, "same", 25)] and again.start() == ("f", 5)
+
+
+def test_ledger(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    assert ledger.entries() == {}
+    ledger.add(3, "three")
+    ledger.add(3, "again")
+    ledger.add(12, "twelve\n")
+    assert Ledger(spark, f"file://{tmp_path}/l").entries() == {3: "three", 12: "twelve\n"}
