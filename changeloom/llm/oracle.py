@@ -113,107 +113,11 @@ PASSAGES = rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, len(w) AS n FROM docs
 ), spans AS (
-    SELECT doc_id, j, n, concat_ws(' ', word, {", ".join(f"lead(word, {i}) OVER d" for i in range(1, WORDS))}) AS x FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY j)
-), windows AS (SELECT doc_id, j, rank() OVER (PARTITION BY x ORDER BY doc_id, j) > 1 AS again FROM spans WHERE j + {WORDS - 1} <= n
-), marked AS (
-    SELECT l.*, n.norm IS NOT NULL AS near, d.place IS NOT NULL AND d.place <> l.place AND n.norm IS NULL AS again
-    FROM lines l LEFT JOIN distinct_lines d ON l.norm = d.norm LEFT JOIN near n ON hash(d.norm) = n.norm
-)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.k) FILTER (WHERE NOT m.near AND NOT m.again), '') END AS text,
-    count(m.k) AS n_lines, count(*) FILTER (WHERE m.again) AS n_exact, count(*) FILTER (WHERE m.near) AS n_near
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.text"""
-
-_SOLID = r"[^\x20\x09-\x0D]+"
-_BARE = r"lower(regexp_replace({}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))"
-_MARK = rf"""list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{NUMBER}') THEN '<num>' WHEN regexp_full_match(x, '{UNIT}') THEN '<unit>'
-        WHEN regexp_full_match(x, '{NAME}') AND NOT regexp_full_match(x, '{NO_NAME}') THEN '<name>' ELSE lower(x) END)"""
-
-TEMPLATES = rf"""
-WITH docs AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{_SOLID}') AS w FROM documents WHERE text IS NOT NULL)
-), items AS (
-    SELECT item_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t, CASE WHEN len(w) < {LEAST} THEN len(w) ELSE least(len(w), {WINDOW}) END AS size
-    FROM (SELECT item_id, regexp_extract_all(text, '{_SOLID}') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
-), item_spans AS (SELECT item_id, size, t, low, unnest(range(1, len(t) - size + 2)) AS item_at FROM items
-), windows AS (
-    SELECT item_id, size, item_at, form, array_to_string(CASE WHEN form = 0 THEN t[item_at:item_at + size - 1] ELSE low[item_at:item_at + size - 1] END, ' ') AS x, count(*) OVER (PARTITION BY item_id) AS item_windows
-    FROM (SELECT *, CASE WHEN len(t) < {LEAST} THEN 2 WHEN 2 * len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) >= size THEN 0 ELSE 1 END AS form FROM item_spans)
-), doc_spans AS (SELECT doc_id, s.size, s.form, t, low, unnest(range(1, len(t) - s.size + 2)) AS k FROM docs CROSS JOIN (SELECT DISTINCT size, form FROM windows) s WHERE s.form < 2 OR len(t) = s.size
-), hits AS (
-    SELECT d.doc_id, w.item_id, w.size, w.item_windows, w.item_at, d.k - w.item_at AS shift
-    FROM (SELECT doc_id, size, form, k, array_to_string(CASE WHEN form = 0 THEN t[k:k + size - 1] ELSE low[k:k + size - 1] END, ' ') AS x FROM doc_spans) d JOIN windows w ON d.x = w.x AND d.size = w.size AND d.form = w.form
-), spots AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(item_at, item_at + size)) AS p FROM hits
-), slots AS (
-    SELECT s.doc_id, s.item_id, s.shift, s.p, d.t[s.p + s.shift] AS kind, {_BARE.format("i.w[s.p]")} AS item, {_BARE.format("d.w[s.p + s.shift]")} AS doc
-    FROM spots s JOIN docs d USING (doc_id) JOIN items i USING (item_id) WHERE d.t[s.p + s.shift] IN ('<num>', '<unit>', '<name>')
-), steady AS (
-    SELECT h.doc_id, h.item_id, h.shift, h.item_at, any_value(h.size) AS size, any_value(h.item_windows) AS item_windows FROM hits h
-    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1
-    GROUP BY h.doc_id, h.item_id, h.shift, h.item_at HAVING count(DISTINCT (kind, item)) FILTER (s.p IS NOT NULL) = count(DISTINCT (kind, item, doc)) FILTER (s.p IS NOT NULL)
-), shifts AS (
-    SELECT h.doc_id, h.item_id, h.shift, count(DISTINCT (kind, item, doc)) FILTER (item <> doc) AS changed FROM steady h
-    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1 GROUP BY ALL
-)
-SELECT doc_id, item_id, CAST(any_value(item_windows) AS BIGINT) AS item_windows, CAST(count(DISTINCT item_at) AS BIGINT) AS covered_windows, CAST(min(changed) AS BIGINT) AS changed_slots
-FROM steady JOIN shifts USING (doc_id, item_id, shift) GROUP BY doc_id, item_id HAVING 2 * count(DISTINCT item_at) >= any_value(item_windows)"""
-
-#: Each window by its words; the first of equal ones stays.
-PASSAGES = rf"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs
-), spans AS (
-    SELECT doc_id, unnest(range(1, len(w) - {WORDS - 2})) AS j, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: sha256(array_to_string(w[i:i + {WORDS - 1}], ' ')))) AS x FROM docs
-), windows AS (SELECT doc_id, j, rank() OVER (PARTITION BY x ORDER BY doc_id, j) > 1 AS again FROM spans
-), marked AS (
-    SELECT l.*, n.norm IS NOT NULL AS near, d.place IS NOT NULL AND d.place <> l.place AND n.norm IS NULL AS again
-    FROM lines l LEFT JOIN distinct_lines d ON l.norm = d.norm LEFT JOIN near n ON hash(d.norm) = n.norm
-)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.k) FILTER (WHERE NOT m.near AND NOT m.again), '') END AS text,
-    count(m.k) AS n_lines, count(*) FILTER (WHERE m.again) AS n_exact, count(*) FILTER (WHERE m.near) AS n_near
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.text"""
-
-_SOLID = r"[^\x20\x09-\x0D]+"
-_BARE = r"lower(regexp_replace({}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))"
-_MARK = rf"""list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{NUMBER}') THEN '<num>' WHEN regexp_full_match(x, '{UNIT}') THEN '<unit>'
-        WHEN regexp_full_match(x, '{NAME}') AND NOT regexp_full_match(x, '{NO_NAME}') THEN '<name>' ELSE lower(x) END)"""
-
-TEMPLATES = rf"""
-WITH docs AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{_SOLID}') AS w FROM documents WHERE text IS NOT NULL)
-), items AS (
-    SELECT item_id, w, list_transform(w, lambda x: lower(x)) AS low, {_MARK} AS t, CASE WHEN len(w) < {LEAST} THEN len(w) ELSE least(len(w), {WINDOW}) END AS size
-    FROM (SELECT item_id, regexp_extract_all(text, '{_SOLID}') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
-), item_spans AS (SELECT item_id, size, t, low, unnest(range(1, len(t) - size + 2)) AS item_at FROM items
-), windows AS (
-    SELECT item_id, size, item_at, form, array_to_string(CASE WHEN form = 0 THEN t[item_at:item_at + size - 1] ELSE low[item_at:item_at + size - 1] END, ' ') AS x, count(*) OVER (PARTITION BY item_id) AS item_windows
-    FROM (SELECT *, CASE WHEN len(t) < {LEAST} THEN 2 WHEN 2 * len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) >= size THEN 0 ELSE 1 END AS form FROM item_spans)
-), doc_spans AS (SELECT doc_id, s.size, s.form, t, low, unnest(range(1, len(t) - s.size + 2)) AS k FROM docs CROSS JOIN (SELECT DISTINCT size, form FROM windows) s WHERE s.form < 2 OR len(t) = s.size
-), hits AS (
-    SELECT d.doc_id, w.item_id, w.size, w.item_windows, w.item_at, d.k - w.item_at AS shift
-    FROM (SELECT doc_id, size, form, k, array_to_string(CASE WHEN form = 0 THEN t[k:k + size - 1] ELSE low[k:k + size - 1] END, ' ') AS x FROM doc_spans) d JOIN windows w ON d.x = w.x AND d.size = w.size AND d.form = w.form
-), spots AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(item_at, item_at + size)) AS p FROM hits
-), slots AS (
-    SELECT s.doc_id, s.item_id, s.shift, s.p, d.t[s.p + s.shift] AS kind, {_BARE.format("i.w[s.p]")} AS item, {_BARE.format("d.w[s.p + s.shift]")} AS doc
-    FROM spots s JOIN docs d USING (doc_id) JOIN items i USING (item_id) WHERE d.t[s.p + s.shift] IN ('<num>', '<unit>', '<name>')
-), steady AS (
-    SELECT h.doc_id, h.item_id, h.shift, h.item_at, any_value(h.size) AS size, any_value(h.item_windows) AS item_windows FROM hits h
-    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1
-    GROUP BY h.doc_id, h.item_id, h.shift, h.item_at HAVING count(DISTINCT (kind, item)) FILTER (s.p IS NOT NULL) = count(DISTINCT (kind, item, doc)) FILTER (s.p IS NOT NULL)
-), shifts AS (
-    SELECT h.doc_id, h.item_id, h.shift, count(DISTINCT (kind, item, doc)) FILTER (item <> doc) AS changed FROM steady h
-    LEFT JOIN slots s ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.shift = s.shift AND s.p BETWEEN h.item_at AND h.item_at + h.size - 1 GROUP BY ALL
-)
-SELECT doc_id, item_id, CAST(any_value(item_windows) AS BIGINT) AS item_windows, CAST(count(DISTINCT item_at) AS BIGINT) AS covered_windows, CAST(min(changed) AS BIGINT) AS changed_slots
-FROM steady JOIN shifts USING (doc_id, item_id, shift) GROUP BY doc_id, item_id HAVING 2 * count(DISTINCT item_at) >= any_value(item_windows)"""
-
-#: Each window by its words; the first of equal ones stays.
-PASSAGES = rf"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), words AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs
+    SELECT doc_id, j, n, word, concat_ws(' ', word, {", ".join(f"lead(word, {i}) OVER d" for i in range(1, WORDS))}) AS x FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY j)
 ), windows AS (
-    SELECT doc_id, j, rank() OVER (PARTITION BY array_to_string(w[j:j + {WORDS - 1}], ' ') ORDER BY doc_id, j) > 1 AS again
-    FROM words WHERE j + {WORDS - 1} <= len(w)
+    SELECT doc_id, j, word, j + {WORDS - 1} <= n AND rank() OVER (PARTITION BY x, j + {WORDS - 1} <= n ORDER BY doc_id, j) > 1 AS again FROM spans
 ), marked AS (
-    SELECT a.doc_id, a.j, a.word, bool_or(coalesce(b.again, false)) OVER (PARTITION BY a.doc_id ORDER BY a.j ROWS BETWEEN {WORDS - 1} PRECEDING AND CURRENT ROW) AS gone
-    FROM words a LEFT JOIN windows b ON a.doc_id = b.doc_id AND a.j = b.j
+    SELECT doc_id, j, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {WORDS - 1} PRECEDING AND CURRENT ROW) AS gone FROM windows
 ), kept AS (
     SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY doc_id
 )
