@@ -8,9 +8,9 @@ always stands for the same value in the document. A document holds an item if, a
 consistent windows cover at least half of the item's windows.
 
 Everything is DataFrame functions. Items shorter than a window are one window of
-their own length. Windows with less than half of their words literal say too little as
-templates: they must match word by word (in lower case). So must items of fewer than ``LEAST`` words, which any text
-may hold by chance: they only match a document that consists of them.
+their own length. A window says too little as a template with fewer than ``SAYS`` literal words (one that is a whole item: with less than half of its
+words literal): then it must match word by word, in lower case. So must items of fewer than ``LEAST`` words, anywhere in a
+text; those of one or two words, which any text may hold by chance, only match a document that consists of them.
 
 Null and empty texts match nothing, nor does anything match an empty table of either kind; rows that
 repeat a document or an item give the same pair once; a null doc_id is kept as such, and rows that share a doc_id are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, held, is_small
 
-WINDOW, LEAST = 8, 5
+WINDOW, LEAST, FEW, SAYS = 8, 5, 3, 2
 BENCHMARK_ROWS = 500_000  # windows that may be broadcast (a few longs each)
 TEMPLATE, LITERAL, WHOLE = 0, 1, 2  # what of a window must match
 
@@ -81,7 +81,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("size", F.when(F.col("n") < LEAST, F.col("n")).otherwise(F.least("n", F.lit(WINDOW))))
     spans = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
     literal = F.size(F.filter(F.slice("marks", F.col("item_at") + 1, F.col("size")), lambda w: ~w.isin(*MARKS)))
-    spans = spans.withColumn("form", F.when(F.col("n") < LEAST, WHOLE).when(2 * literal >= F.col("size"), TEMPLATE).otherwise(LITERAL))
+    spans = spans.withColumn("form", F.when(F.col("n") < FEW, WHOLE).when(F.col("n") < LEAST, LITERAL).when(F.when(F.col("size") < WINDOW, 2 * literal >= F.col("size")).otherwise(literal >= SAYS), TEMPLATE).otherwise(LITERAL))
     words = F.when(F.col("form") == TEMPLATE, F.col("marks")).otherwise(F.transform("words", F.lower))
     found = spans.select("item_id", F.xxhash64("item_text").alias("item_t"), "size", "form", "item_at", _window(_hashes(words), F.col("item_at"), F.col("size"), F.col("form")).alias("hash"), (F.col("n") - F.col("size") + 1).alias("item_windows"))
     return held(found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import LEAST, NAME, NO_NAME, NUMBER, UNIT, WINDOW
+from .decontaminate import FEW, LEAST, NAME, NO_NAME, NUMBER, SAYS, UNIT, WINDOW
 from .hnsw import THRESHOLD
 from .line_dedup import MIN_CHARS
 from .minhash_mih import PERCENT
@@ -88,7 +88,8 @@ WITH docs AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS low, {_
 ), item_spans AS (SELECT item_id, size, t, low, unnest(range(1, len(t) - size + 2)) AS item_at FROM items
 ), windows AS (
     SELECT item_id, size, item_at, form, array_to_string(CASE WHEN form = 0 THEN t[item_at:item_at + size - 1] ELSE low[item_at:item_at + size - 1] END, ' ') AS x, count(*) OVER (PARTITION BY item_id) AS item_windows
-    FROM (SELECT *, CASE WHEN len(t) < {LEAST} THEN 2 WHEN 2 * len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) >= size THEN 0 ELSE 1 END AS form FROM item_spans)
+    FROM (SELECT *, CASE WHEN len(t) < {FEW} THEN 2 WHEN len(t) < {LEAST} THEN 1 WHEN CASE WHEN size < {WINDOW} THEN 2 * literal >= size ELSE literal >= {SAYS} END THEN 0 ELSE 1 END AS form
+        FROM (SELECT *, len(list_filter(t[item_at:item_at + size - 1], lambda y: y NOT IN ('<num>', '<unit>', '<name>'))) AS literal FROM item_spans))
 ), doc_spans AS (SELECT doc_id, s.size, s.form, t, low, unnest(range(1, len(t) - s.size + 2)) AS k FROM docs CROSS JOIN (SELECT DISTINCT size, form FROM windows) s WHERE s.form < 2 OR len(t) = s.size
 ), hits AS (
     SELECT d.doc_id, w.item_id, w.size, w.item_windows, w.item_at, d.k - w.item_at AS shift

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, slices, span_hashes, text_bytes, words_of
@@ -195,12 +195,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"].cast(pa.int32()), pa.array(np.diff(at)), pa.array(rows, pa.binary())], ["doc_id", "quality", "n", "x"])
 
     bags = held(own.mapInArrow(encode, "doc_id long, quality int, n long, x binary"))
-    # whole bags in the sample's order, while they fit: the running sum is over TRAIN_DOCS rows of longs
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    fits = bags.select("doc_id", "n").withColumn("upto", upto).where(F.col("upto") <= TRAIN_PASSAGES).select("doc_id")
-    found = sorted(bags.join(F.broadcast(fits), "doc_id").collect())
-    if not found:
+    # whole bags in the sample's order, as many as fit: one that is too large is left out, not those after it
+    sizes = bags.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # TRAIN_DOCS rows of longs
+    fits, room = [], TRAIN_PASSAGES
+    for r in sizes:
+        if r["n"] <= room:
+            fits.append((r["doc_id"],))
+            room -= r["n"]
+    if not sizes:
         return None
+    if not fits:
+        raise ValueError(f"no labelled document has at most {TRAIN_PASSAGES} passages")
+    found = sorted(bags.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long")), "doc_id").collect())
     x = [np.frombuffer(r.x, "<f4").reshape(-1, len(_GROUPS) + 12) for r in found]
     return fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), np.array([r.quality for r in found], np.float64))
 

@@ -71,6 +71,15 @@ def test_planted_links_across_shards_and_their_recall(spark, monkeypatch):
     assert (want[3000:3400] > 0).sum() > 300 and got.recall.dropna().min() >= 0.9 and got.recall.notna().sum() >= 5
 
 
+def test_a_class_is_audited_by_any_of_its_ids(spark):
+    rng = np.random.default_rng(13)
+    v = hnsw.unit(rng.normal(size=(30, 16)))
+    near = hnsw.unit(v[0] + 0.01 * rng.normal(size=16))
+    rows = [(37, v[0].tolist()), (100, v[0].tolist()), (38, near.tolist()), *[(200 + k, x.tolist()) for k, x in enumerate(v[1:]) if (200 + k) % 50]]
+    got = {r.vec_id: (r.n_links, r.recall) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), with_recall=True).collect()}
+    assert got[37] == got[100] == (2, 1.0) and got[38] == (2, None)
+
+
 PAGES = [(1, "a\r\nb é", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (1, "q", "x"), (None, "u", "zz"), (8, "v", "é" * 700_000), (9, "w", "x\r\n\r\nWARC/1.1")]
 
 

@@ -340,6 +340,13 @@ def test_short_items_and_items_of_placeholders(spark):
     assert found == {(1, 1): (1, 1, 0), (3, 2): (1, 1, 0), (6, 4): (9, 5, 1)}
 
 
+def test_items_full_of_slots_and_short_items_anywhere(spark):
+    bench = spark.createDataFrame([(1, "Ann paid Bob 5 dollars and 7 cents in 3 days"), (2, "four words stand here"), (3, "two words"), (4, "1 2 3 4 5 6 7 8 9 10")], "item_id long, text string")
+    rows = [(1, "so Eve paid Tom 9 dollars and 2 cents in 8 days again"), (2, "so Eve paid Tom 9 dollars or 2 cents in 8 days again"), (3, "here FOUR words stand here now"), (4, "two words more"), (5, "9 8 7 6 5 4 3 2 1 0")]
+    found = {(r.doc_id, r.item_id): (r.item_windows, r.covered_windows) for r in decontaminate.find_contaminated(documents(spark, rows), bench).collect()}
+    assert found == {(1, 1): (4, 4), (3, 2): (1, 1)}
+
+
 def test_rows_that_share_a_doc_id_stay_by_their_texts(spark):
     item = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -496,6 +503,12 @@ def test_learning_takes_whole_bags_and_one_text_of_a_doc_id(spark, monkeypatch):
     monkeypatch.setattr(quality_mil, "TRAIN_PASSAGES", 313)
     quality_mil.train(documents(spark, rows), labels)
     assert all(n in (1, 313) for n in seen[1][1]) and sum(seen[1][1]) <= 313  # whole bags or none
+    monkeypatch.setattr(quality_mil, "TRAIN_PASSAGES", 20)
+    quality_mil.train(documents(spark, rows), labels)
+    assert seen[2][1] == [1, 1]  # the one that is too large is left out, wherever it stands
+    monkeypatch.setattr(quality_mil, "TRAIN_PASSAGES", 0)
+    with pytest.raises(ValueError, match="passages"):
+        quality_mil.train(documents(spark, rows), labels)
 
 
 def test_held_out_accuracy_on_the_labels(spark):
