@@ -326,7 +326,7 @@ def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
     classes = held(good.groupBy("embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.col("vec_id") % AUDIT == 0, F.lit(False))).alias("audited")))
     size = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
     # by memory, and for small tables as many as there are cores for, but none too small: every shard is queried for every vector
-    shards = max(1, -(-size.n * size.dim * 12 // SHARD_BYTES), min(8, -(-size.n // SHARD_LEAST)))
+    shards = max(1, -(-size.n * size.dim * 12 // SHARD_BYTES), min(2, -(-size.n // SHARD_LEAST)))
     blocks = max(1, -(-size.n // BLOCK))
     dealt = classes.select("node", "copies", "embedding", "audited", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
     # heavy work on few rows: the numbers of partitions are given, or they would be merged by size

@@ -74,7 +74,7 @@ def test_planted_links_across_shards_and_their_recall(spark, monkeypatch):
 def test_a_class_is_audited_by_any_of_its_ids(spark):
     rng = np.random.default_rng(13)
     v = hnsw.unit(rng.normal(size=(30, 16)))
-    near = hnsw.unit(v[0] + 0.01 * rng.normal(size=16))
+    near = hnsw.unit((v[0] + 0.01 * rng.normal(size=16))[None])[0]
     rows = [(37, v[0].tolist()), (100, v[0].tolist()), (38, near.tolist()), *[(200 + k, x.tolist()) for k, x in enumerate(v[1:]) if (200 + k) % 50]]
     got = {r.vec_id: (r.n_links, r.recall) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), with_recall=True).collect()}
     assert got[37] == got[100] == (2, 1.0) and got[38] == (2, None)
