@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import batch_key
 from ..functions.positions import highest
-from .transactions import CAP
+from .transactions import CAP, RANGE, _far
 
 
 def numbered(rows: DataFrame, order: str, bucket: Column) -> DataFrame:
@@ -31,29 +31,48 @@ def batch_offsets(batches: DataFrame, by: str = "batch_no") -> DataFrame:
     return batches.groupBy(by).agg(highest().alias("max_position"))
 
 
-def batched(events: DataFrame, cap: int = CAP, size: int = 100, tx: str = "transaction_id") -> DataFrame:
+def batched(events: DataFrame, cap: int = CAP, size: int = 100, tx: str = "transaction_id", leads: bool = False) -> DataFrame:
     """The events with ``delivery_batch``, and ``pending`` for those of transactions that are still open (no batch).
 
     A transaction from its (last) begin to its commit is a batch; one with more than ``cap`` events is cut there, and what follows
     is loose. So are events without a transaction or whose begin isn't here; they make batches of ``size`` in log order.
+    ``leads`` adds a column that is true for one event of each batch. No task sorts a transaction whole.
     """
     kind = "event_type" if "event_type" in events.columns and "kind" not in events.columns else "kind"  # of events, or of log records
     at = F.struct(F.coalesce("binlog_file", F.lit("")).alias("f"), F.coalesce("position", F.lit(0)).alias("p"))
     has = F.col(tx).isNotNull()
-    own = Window.partitionBy(tx)
-    placed = events.where(has).withColumn("_at", at).withColumn("_begin", F.max(F.when(F.col(kind) == "tx_begin", F.col("_at"))).over(own))
-    kept = placed.where(F.col("_begin").isNull() | (F.col("_at") >= F.col("_begin"))).withColumn("_n", F.row_number().over(own.orderBy("_at", F.col(kind) != "tx_begin", F.col(kind) == "tx_commit")))
-    closed = F.min(F.when(F.col(kind) == "tx_commit", F.col("_n"))).over(own)
-    kept = kept.withColumn("_closed", closed).withColumn("_last", F.max("_n").over(own))
-    inside = F.col("_begin").isNotNull() & (F.col("_n") <= F.least(F.lit(cap + 1), F.coalesce("_closed", F.col("_n"))))
-    whole = (F.col("_closed") <= cap + 1) | (F.col("_last") > cap)
-    names = events.columns
-    labelled = kept.withColumn("_in", inside).withColumn("delivery_batch", F.when(inside & whole, F.concat(F.lit("tx-"), F.col(tx).cast("string"))))
-    labelled = labelled.withColumn("pending", inside & ~F.coalesce(whole, F.lit(False)))
-    loose = labelled.where(~F.col("_in")).select(*names, "_at").unionByName(events.where(~has).withColumn("_at", at))
-    bucket = F.struct(F.col("_at.f").alias("f"), F.floor(F.col("_at.p") / (1 << 20)).alias("p"))
-    loose = size_batches(loose, "_at", bucket, size).withColumn("delivery_batch", F.concat(F.lit("loose-"), F.col("batch_no").cast("string")))
-    return labelled.where("_in").select(*names, "delivery_batch", "pending").unionByName(loose.select(*names, "delivery_batch", F.lit(False).alias("pending")))
+    own, names = Window.partitionBy(tx), events.columns
+    begins = events.where(has & (F.col(kind) == "tx_begin")).groupBy(F.col(tx).alias("_tx")).agg(F.max(at).alias("_begin"))
+    placed = events.where(has).withColumn("_at", at).join(begins, F.col(tx) == F.col("_tx"), "left").drop("_tx")
+    # without a begin, all is loose and nothing of it is sorted by transaction; what is before the begin isn't delivered
+    begun = _far(placed.where(F.col("_at") >= F.col("_begin")), tx, cap + 1)
+    near = begun.where(~F.col("_far")).withColumn("_n", F.row_number().over(own.orderBy("_at", F.col(kind) != "tx_begin", F.col(kind) == "tx_commit")))
+    near = near.withColumn("_closed", F.min(F.when(F.col(kind) == "tx_commit", F.col("_n"))).over(own)).withColumn("_last", F.max("_n").over(own))
+    inside = F.col("_n") <= F.least(F.lit(cap + 1), F.coalesce("_closed", F.col("_n")))
+    whole = F.coalesce((F.col("_closed") <= cap + 1) | (F.col("_last") > cap), F.lit(False))
+    labelled = near.withColumn("_in", inside).withColumn("delivery_batch", F.when(inside & whole, F.concat(F.lit("tx-"), F.col(tx).cast("string"))))
+    labelled = labelled.withColumn("pending", inside & ~whole).withColumn("leads", inside & whole & (F.col("_n") == 1))
+    loose = labelled.where(~F.col("_in")).select(*names, "_at").unionByName(begun.where("_far").select(*names, "_at")).unionByName(placed.where("_begin is null").select(*names, "_at")).unionByName(events.where(~has).withColumn("_at", at))
+    bucket = F.struct(F.col("_at.f").alias("f"), F.floor(F.col("_at.p") / RANGE).alias("p"))
+    loose = numbered(loose, "_at", bucket).withColumn("delivery_batch", F.concat(F.lit("loose-"), F.floor((F.col("rn") - 1) / size).cast("string")))
+    loose = loose.withColumn("pending", F.lit(False)).withColumn("leads", (F.col("rn") - 1) % size == 0)
+    out = [*names, "delivery_batch", "pending", *(["leads"] if leads else [])]
+    return labelled.where("_in").select(*out).unionByName(loose.select(*out))
+
+
+def figures(top: Column, done: Column) -> list[Column]:
+    """What is counted of batches that have ``leads`` (see ``batched``), by sums and maxima alone, so that the pass that writes them can tell."""
+    return [F.count_if(F.col("leads")).alias("batches_delivered"), F.count_if(done).alias("events_delivered"), F.count_if(~done).alias("events_pending"), F.max(F.when(done, top)).alias("top"), F.min(F.when(~done, top)).alias("open")]
+
+
+def measured(batches: DataFrame) -> tuple[DataFrame, Observation]:
+    """The batches without ``leads``, and their figures: ``batches_delivered``, ``events_delivered``, ``events_pending``, the greatest
+    position delivered (``top``) and the least that is pending (``open``), each a struct or null. They are there once an action has
+    gone over the rows; write them in that action, last in its plan, and no other scan is needed. A retried task counts once.
+    """
+    seen = Observation()
+    place = F.when(F.col("binlog_file").isNotNull(), F.struct("binlog_file", F.coalesce("position", F.lit(0)).cast("long").alias("position")))
+    return batches.observe(seen, *figures(place, ~F.col("pending"))).drop("leads"), seen
 
 
 def summary(batches: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 10_000
-HEAVY = 50_000  # transactions that are cut in parts first, at most
+HEAVY = 50_000  # transactions that are cut first, at most
+RANGE = 1 << 20  # bytes of the log that are counted together
 
 
 def marks(log: DataFrame, tx: str = "transaction_id") -> DataFrame:
@@ -30,17 +31,21 @@ def orphans(log: DataFrame, tx: str = "transaction_id") -> DataFrame:
     return log.join(begun, tx, "left_anti")
 
 
-def _least(log: DataFrame, tx: str, order: tuple[str, ...], most: int) -> DataFrame:
-    """``log`` without what is surely beyond each transaction's first ``most`` rows: a transaction with far more is first cut in parts.
+def _far(log: DataFrame, tx: str, most: int, file: str = "binlog_file", offset: str = "position") -> DataFrame:
+    """Adds ``_far``: true for what is surely beyond the first ``most`` rows of its transaction in log order.
 
-    So no task sorts one of any size whole. Those that are cut have more than 1 / HEAVY of all rows, or 8 times ``most``.
+    Rows of a transaction are counted by ranges of the log, combined before the shuffle; only rows of ranges that begin before
+    ``most`` rows are through need to be sorted. So of a transaction of any size, a task sorts ``most`` rows and a range of the log.
     """
-    counts = log.groupBy(tx).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 8 * most)
-    heavy = counts.orderBy(F.desc("_rows")).limit(HEAVY).select(tx, F.ceil(F.col("_rows") / (4 * most)).alias("_parts"))
-    marked = log.join(F.broadcast(heavy), tx, "left").withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts")))
-    big = marked.where(F.col("_parts").isNotNull())
-    cut = big.withColumn("_k", F.row_number().over(Window.partitionBy(tx, "_part").orderBy(*order))).where(F.col("_k") <= most)
-    return marked.where(F.col("_parts").isNull()).select(*log.columns).unionByName(cut.select(*log.columns))
+    place = F.struct(F.coalesce(file, F.lit("")).alias("f"), F.floor(F.coalesce(offset, F.lit(0)) / RANGE).alias("b"))
+    counts = log.groupBy(tx, place.alias("_place")).agg(F.count("*").alias("_rows"))
+    by_tx = Window.partitionBy(tx)
+    through = F.sum("_rows").over(by_tx.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    heavy = counts.select(tx, "_place", F.sum("_rows").over(by_tx).alias("_all"), through.alias("_before")).where((F.col("_all") > 8 * most) & (F.coalesce("_before", F.lit(0)) < most))
+    ends = heavy.groupBy(tx).agg(F.max("_place").alias("_end"), F.max("_all").alias("_all"))
+    # those that are left out are sorted whole; they have fewer rows than all that are cut
+    ends = ends.orderBy(F.desc("_all")).limit(HEAVY).select(F.col(tx).alias("_tx"), "_end")
+    return log.join(F.broadcast(ends), F.col(tx) == F.col("_tx"), "left").withColumn("_far", F.coalesce(place > F.col("_end"), F.lit(False))).drop("_tx", "_end")
 
 
 def assemble(log: DataFrame, tx: str = "transaction_id", cap: int = CAP, order: tuple[str, ...] = ("binlog_file", "position", "delivery_seq")) -> DataFrame:
@@ -48,11 +53,12 @@ def assemble(log: DataFrame, tx: str = "transaction_id", cap: int = CAP, order:
 
     After a begin, events gather until the commit, or until there are more than ``cap``;
     then what has gathered is delivered (``cap`` + 1 events), and the rest is orphaned. A
-    begin that is repeated starts anew. Arrays are bounded by the cap, and so is what a task sorts of one transaction.
+    begin that is repeated starts anew. Arrays are bounded by the cap, and what a task sorts of
+    one transaction by the cap and a range of the log. ``order`` begins with the file and the position.
     """
     begins = log.where(F.col("kind") == "tx_begin").groupBy(tx).agg(F.max(F.struct(*order)).alias("_begin"))
     seen = log.where(F.col(tx).isNotNull()).join(begins, tx).where(F.struct(*order) >= F.col("_begin")).drop("_begin")
-    kept = _least(seen, tx, order, cap + 1).withColumn("_n", F.row_number().over(Window.partitionBy(tx).orderBy(*order)))
+    kept = _far(seen, tx, cap + 1, *order[:2]).where(~F.col("_far")).drop("_far").withColumn("_n", F.row_number().over(Window.partitionBy(tx).orderBy(*order)))
     kept = kept.withColumn("_closed", F.min(F.when(F.col("kind") == "tx_commit", F.col("_n"))).over(Window.partitionBy(tx)))
     kept = kept.where((F.col("_n") <= cap + 1) & (F.col("_closed").isNull() | (F.col("_n") <= F.col("_closed"))))
     out = kept.groupBy(tx).agg(F.array_sort(F.collect_list(F.struct("_n", *[F.col(c) for c in log.columns if c != tx]))).alias("events"), F.count("*").alias("n"), F.max(F.col("kind") == "tx_commit").alias("committed"), F.max(F.struct("binlog_file", "position")).alias("max_position"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.positions import resume
-from .operators.delivery import batched
+from .operators.delivery import batched, measured
 from .operators.envelope import envelopes, snapshot_envelopes
 from .operators.filters import without_boundaries
 from .operators.history import schema_history
@@ -79,7 +79,7 @@ class Pipeline:
         save_history(history, self.settings.schema_path)
         own = resume(log, self.offsets.committed)
         events = self.events(own, load_history(self.spark, self.settings.schema_path))
-        n, top = self._deliver(batched(events, CAP, self.settings.batch_size))
+        n, top = self._deliver(batched(events, CAP, self.settings.batch_size, leads=True))
         if top is not None:
             self.offsets.ack(*top)
             self.offsets.flush()
@@ -88,16 +88,16 @@ class Pipeline:
     def _deliver(self, events: DataFrame) -> tuple[int, tuple[str, int] | None]:
         """Delivers what has a batch; the number of events, and the position up to which nothing is pending.
 
-        Events are written durably first, so that their ids stay the same whatever is lost or delivered again.
+        Events are written durably first, so that their ids stay the same whatever is lost or delivered again; the pass that writes them counts them.
         """
         staged = f"{self.staging}/run-{uuid.uuid4().hex}"
-        events.write.parquet(staged)
-        events = self.spark.read.parquet(staged)
-        place = F.when(F.col("binlog_file").isNotNull(), F.struct("binlog_file", "position"))
-        seen = events.agg(F.count_if(~F.col("pending")).alias("n"), F.max(F.when(~F.col("pending"), place)).alias("top"), F.min(F.when(F.col("pending"), place)).alias("open")).first()
-        if seen.n:
+        marked, seen = measured(events if "leads" in events.columns else events.withColumn("leads", F.lit(False)))
+        marked.write.parquet(staged)
+        seen, events = seen.get, self.spark.read.parquet(staged)
+        n, top, still = seen["events_delivered"], seen["top"], seen["open"]
+        if n:
             deliver(self.sink, events.where(~F.col("pending")).drop("pending"), self.runs, attempts=5)
             self.runs += 1
         # a transaction that is still open is read again from its begin
-        last = min((x for x in (seen.top, seen.open) if x is not None), default=None) if seen.open is not None else seen.top
-        return seen.n, None if last is None or not seen.n else (last.binlog_file, last.position)
+        last = min((x for x in (top, still) if x is not None), default=None, key=tuple) if still is not None else top
+        return n, None if last is None or not n else (last["binlog_file"], last["position"])

@@ -15,6 +15,7 @@ from ..operators.envelope import as_map, envelopes, named, snapshot_envelopes, t
 from ..operators.filters import TableFilter, without_boundaries
 from ..operators.history import latest_version, schema_history
 from ..sinks.keys import KeyIndex
+from ..sinks.published import PublishedSink
 from ..sources.chunks import ChunkedSnapshot, between
 from ..sources.landed import from_binlog_events
 from ..sources.shared import shared_folder
@@ -186,6 +187,25 @@ def delivery_summary(s: SparkSession, d: str) -> DataFrame:
     return delivery.summary(delivery.batched(c.raw(s, d), size=50))
 
 
+def delivery_measured(s: SparkSession, d: str) -> DataFrame:
+    """``delivery_summary`` as counted by the pass that writes the batches."""
+    marked, seen = delivery.measured(delivery.batched(c.raw(s, d), size=50, leads=True))
+    marked.write.parquet(shared_folder(s, "measured"))
+    got, top = seen.get, seen.get["top"]
+    row = (*(got[n] for n in ("batches_delivered", "events_delivered", "events_pending")), top and top["binlog_file"], top and top["position"])
+    return s.createDataFrame([row], "batches_delivered long, events_delivered long, events_pending long, last_binlog_file string, last_position long")
+
+
+def sink_published(s: SparkSession, d: str) -> DataFrame:
+    """Events delivered in three batches, one of them once more with other rows, which changes nothing."""
+    events = c.events(s, d).select("tx", "kind", "binlog_file", "position", "idempotency_key")
+    sink = PublishedSink(shared_folder(s, "published"))
+    for batch in (0, 2, 1):
+        sink.deliver(events.where(F.col("tx") % 3 == batch), batch)
+    sink.deliver(events, 1)
+    return sink.events(s, events.schema)
+
+
 def batch_offsets(s: SparkSession, d: str) -> DataFrame:
     """The greatest (file, position) of each batch of events in delivery order."""
     batches = delivery.size_batches(c.delivered(s, d).where("kind = 'row'"), "delivery_seq", F.floor(F.col("delivery_seq") / 100_000), 70)
@@ -339,5 +359,5 @@ def snapshot_splits(s: SparkSession, d: str) -> DataFrame:
 _NAMES = """op_counts table_filter envelope_keys unique_events duplicates latest_by_dedup_key materialized_view tx_batches tx_pending non_tx_orphans size_batches resume_from
 before_after schema_asof decoded_columns snapshot_union snapshot_overlap_latest snapshot_idempotency_overlap offset_progress tx_cap sink_dedup_anti webhook_payload_meta delivery_stats
 batch_idempotency_key ddl_history envelope_rows envelope_types envelope_marks filtered_row_counts event_json images_as_maps snapshot_envelope_rows snapshot_schema snapshot_page
-binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions schema_asof_ranges sink_dedup_index snapshot_chunks snapshot_splits""".split()
+binlog_records statement_kinds ddl_filter boundaries_off tx_assembly delivery_batches delivery_summary batch_offsets mixed_payloads ddl_versions schema_asof_ranges sink_dedup_index snapshot_chunks snapshot_splits delivery_measured sink_published""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES} | streams.QUERIES

@@ -152,6 +152,8 @@ _BODIES = {
         sha256(string_agg(idempotency_key,'|' order by idempotency_key)) as batch_key from (select *, max(binlog_file) over (partition by batch) as top from (select *, case when tx%3=0 then tx else cast(floor(tx/10) as bigint)*10+1 end as batch from env) e) t group by batch""",
     "stream_loose_batches": """select lane, batch_no, cast(count(*) as integer) as n_events, arg_min(event_id, i) as first_seq, arg_max(event_id, i) as last_seq, case when count(*)=16 then 'size' else 'age' end as reason
         from lanes group by lane, batch_no having count(*)=16 or min(ts)+interval 4 hour<=(select max(ts) from events) or batch_no<(select max(batch_no) from lanes l where l.lane=lanes.lane)""",
+    "stream_resume_from": "select slot, kind, position, binlog_file from log where binlog_file>'mysql-bin-changelog.000002' or (binlog_file='mysql-bin-changelog.000002' and position>=4+128*300)",
+    "sink_published": "select tx, kind, binlog_file, position, idempotency_key from env",
     "stream_unique_events": "select distinct idempotency_key from delivered",
     "snapshot_splits": "select cast(16 as bigint) as n_ranges, count(*) as n_rows, count(distinct (l_orderkey, l_linenumber)) as n_keys, cast(sum(l_quantity) as double) as quantity, true as even from lineitem",
     "ddl_history": """select 'app' as database, tbl as "table", binlog_file, position, version, case when known then array_to_string(cols, ', ') end as columns, case when known then array_to_string(keys, ',') end as key from versions""",
@@ -187,4 +189,4 @@ def oracle_sql() -> dict[str, str]:
         views = ",\n".join(f"{v} as {'' if v in ('fold', 'lanes') else 'materialized '}({_expanded(_VIEWS[v])})" for v in _needed(body))
         out[name] = f"with recursive {views}\n{body}" if views else body
     # the same rows, by streams and by other ways
-    return out | {f"stream_{n}": out[n] for n in ("tx_assembly", "materialized_view")} | {"schema_asof_ranges": out["schema_asof"], "sink_dedup_index": out["sink_dedup_anti"], "snapshot_chunks": out["materialized_view"]}
+    return out | {f"stream_{n}": out[n] for n in ("tx_assembly", "materialized_view")} | {"delivery_measured": out["delivery_summary"], "schema_asof_ranges": out["schema_asof"], "sink_dedup_index": out["sink_dedup_anti"], "snapshot_chunks": out["materialized_view"]}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sinks.published import NAME as PUBLISHED
+from ..sinks.published import PublishedFiles, PublishedSink
+from ..sources.logstream import land, stream_positions
+from ..sources.shared import register, shared_folder
 from ..streaming.assemble import ROCKSDB, assembled, unique
 from ..streaming.loose import loose_batches
 from ..streaming.table import KeyedTable
@@ -25,18 +28,22 @@ def _session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _in_parts(log: DataFrame, order: str, path: str, parts: int = PARTS):
-    """Lands the log in ``parts`` ranges of ``order``, one after another; yields after each."""
+def _ranges(log: DataFrame, order: str, parts: int = PARTS) -> Iterator[DataFrame]:
+    """The log in ``parts`` ranges of ``order``, one after another."""
     low, high = log.agg(F.min(order), F.max(order)).first()
     for i in range(parts):
         if low is None:
-            log.write.mode("append").parquet(path)
-            yield i
+            yield log
             return
         at = lambda k: low + (high - low) * k / parts
-        chosen = (F.col(order) >= at(i)) & ((F.col(order) < at(i + 1)) if i + 1 < parts else F.lit(True))
-        log.where(chosen).write.mode("append").parquet(path)
-        yield i
+        yield log.where((F.col(order) >= at(i)) & ((F.col(order) < at(i + 1)) if i + 1 < parts else F.lit(True)))
+
+
+def _in_parts(log: DataFrame, order: str, path: str, parts: int = PARTS) -> Iterator[None]:
+    """Lands the log in ranges; yields after each."""
+    for part in _ranges(log, order, parts):
+        part.write.mode("append").parquet(path)
+        yield
 
 
 def _streamed(spark: SparkSession, log: DataFrame, order: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -83,4 +90,19 @@ def stream_materialized_view(s: SparkSession, d: str) -> DataFrame:
     return table.read().select("user_id", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (stream_loose_batches, stream_tx_assembly, stream_unique_events, stream_materialized_view)}
+def stream_resume_from(s: SparkSession, d: str) -> DataFrame:
+    """The log from a position on, inclusively, as a stream of positions into published files; it is landed in parts, each a run of its own."""
+    folder = shared_folder(s, "stream")
+    log = c.log(s, d).select("slot", "kind", "position", "binlog_file")
+    sink = PublishedSink(f"{folder}/out")
+    register(s, PublishedFiles)
+    for part in _ranges(log, "slot", PARTS):
+        land(part, f"{folder}/log")
+        stream = stream_positions(s, f"{folder}/log", log.schema, (f"{c.FILE}000002", 4 + 128 * 300), 1_000_000, f"{folder}/progress.json")
+        query = stream.writeStream.format(PUBLISHED).option("path", sink.path).option("checkpointLocation", f"{folder}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+    return sink.events(s, log.schema)
+
+
+QUERIES = {f.__name__: f for f in (stream_loose_batches, stream_tx_assembly, stream_unique_events, stream_materialized_view, stream_resume_from)}

@@ -1,11 +1,13 @@
-"""Folders that driver and executors share."""
+"""Folders that driver and executors share, and data sources that sessions share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -17,3 +19,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="changeloom-")
     return f"{(path if '://' in path or path.startswith('file:') else f'file://{path}').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Registers a data source, unless a session of the same process has."""
+    try:
+        spark.dataSource.register(source)
+    except AnalysisException as e:
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise

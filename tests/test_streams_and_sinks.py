@@ -5,12 +5,15 @@ import os
 import random
 
 import pytest
-from changeloom.operators import asof, transactions, views
-from changeloom.sinks import JsonLinesSink, KeyIndex, TableSink
+from changeloom.operators import asof, delivery, transactions, views
+from changeloom.sinks import JsonLinesSink, KeyIndex, PublishedSink, TableSink, create
 from changeloom.sinks.keys import made, may_hold
+from changeloom.sinks.published import PublishedFiles, _Files
 from changeloom.sources.chunks import ChunkedSnapshot
 from changeloom.sources.ledger import Ledger
-from changeloom.sources.shared import shared_folder
+from changeloom.sources.logstream import LogReader, stream_positions
+from changeloom.sources.logstream import land as land_files
+from changeloom.sources.shared import register, shared_folder
 from changeloom.sources.snapshot import schema_entries
 from changeloom.sources.splits import SplitRead, bounds, predicates
 from changeloom.streaming.loose import loose_batches
@@ -153,17 +156,178 @@ def test_table_sink(spark, tmp_path):
     assert TableSink(f"{tmp_path}/t").events(spark).count() == 5
 
 
-def test_hot_transaction_is_cut_in_parts(spark):
+def test_hot_transaction_is_cut_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(transactions, "RANGE", 64)
     rows = [("tx_begin", "h", 0)] + [("row", "h", i) for i in range(1, 3000)] + [("tx_commit", "h", 3000)]
     rows += [("tx_begin", "s", 5000), ("row", "s", 5001), ("tx_commit", "s", 5002), ("row", "o", 6000), ("tx_begin", "p", 7000), ("row", "p", 7001)]
     log = spark.createDataFrame([(k, t, "f", p, p) for k, t, p in rows], "kind string, transaction_id string, binlog_file string, position bigint, delivery_seq bigint")
-    kept = transactions._least(log, "transaction_id", ("binlog_file", "position", "delivery_seq"), 11)
-    assert 11 <= kept.where("transaction_id = 'h'").count() < 3000 and kept.where("transaction_id <> 'h'").count() == 6
+    kept = transactions._far(log, "transaction_id", 11).where("not _far")
+    assert 11 <= kept.where("transaction_id = 'h'").count() <= 11 + 64 and kept.where("transaction_id <> 'h'").count() == 6
     found = {r.transaction_id: ([e.position for e in r.events], r.cut) for r in transactions.assemble(log, cap=10).collect()}
     assert found == {"h": (list(range(11)), True), "s": ([5000, 5001, 5002], False)}
     assert [tuple(r) for r in transactions.capped(log, cap=10).collect()] == [("h", 11, 2990)]
 
 
+def test_batches_of_a_hot_transaction(spark, monkeypatch):
+    """What is numbered of a transaction is its first events and a range of the log; the rest is loose, in order."""
+    monkeypatch.setattr(transactions, "RANGE", 64)
+    rows = [("row", "h", 0), ("tx_begin", "h", 1)] + [("row", "h", i) for i in range(2, 2000)] + [("tx_commit", "h", 2000)]
+    rows += [("tx_begin", "s", 5000), ("row", "s", 5001), ("tx_commit", "s", 5002), ("row", "o", 6000), ("row", None, 6001), ("tx_begin", "p", 7000), ("row", "p", 7001)]
+    log = spark.createDataFrame([(k, t, "f", p) for k, t, p in rows], "kind string, transaction_id string, binlog_file string, position bigint")
+    for part in (log, log.repartition(7)):
+        found = {}
+        marked, seen = delivery.measured(delivery.batched(part, cap=10, size=100, leads=True))
+        for r in marked.collect():
+            found.setdefault((r.delivery_batch, r.pending), []).append(r.position)
+        found = {k: sorted(v) for k, v in found.items()}
+        loose = [*range(12, 2001), 6000, 6001]
+        want = {("tx-h", False): list(range(1, 12)), ("tx-s", False): [5000, 5001, 5002], (None, True): [7000, 7001]}
+        want |= {(f"loose-{i}", False): loose[100 * i : 100 * i + 100] for i in range(20)}
+        assert found == want  # what comes before the begin isn't delivered
+        got = seen.get
+        assert (got["batches_delivered"], got["events_delivered"], got["events_pending"]) == (22, 11 + 3 + len(loose), 2)
+        assert tuple(got["top"]) == ("f", 6001) and tuple(got["open"]) == ("f", 7000)
+    nothing, seen = delivery.measured(delivery.batched(log.where("false"), leads=True))
+    assert nothing.collect() == [] and seen.get["events_delivered"] == 0 and seen.get["top"] is None
+
+
+def test_figures_need_no_other_scan(spark, tmp_path):
+    """The write that counts reads the events once."""
+    land_log(spark, [("f1", p) for p in range(50)], f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log").withColumns({"delivery_batch": F.lit("b"), "pending": F.lit(False), "leads": F.col("position") == 0})
+    marked, seen = delivery.measured(log)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("figures", "")
+    try:
+        marked.write.parquet(f"{tmp_path}/out")
+        assert seen.get["events_delivered"] == 50 and tuple(seen.get["top"]) == ("f1", 49)
+        assert len(tracker.getJobIdsForGroup("figures")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+POSITIONS = "binlog_file string, position long, kind string"
+
+
+def land_log(spark, places, path, schema=POSITIONS):
+    rows = spark.createDataFrame([(f, p, f"{f}-{p}") for f, p in places], schema)
+    land_files(rows, path)
+
+
+def streamed(spark, path, tmp, name="out", stop_after=None, **options):
+    """Runs the stream until nothing is left; positions by batch."""
+    got = {}
+    schema = spark.createDataFrame([], POSITIONS).schema
+    log = stream_positions(spark, path, schema, **options)
+    query = log.writeStream.foreachBatch(lambda rows, b: got.update({b: sorted(((r.binlog_file, r.position) for r in rows.collect()), key=str)})).option("checkpointLocation", f"{tmp}/cp-{name}").start()
+    query.processAllAvailable()
+    query.stop()
+    return got
+
+
+def test_positions_as_a_stream(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    assert sum(streamed(spark, path, tmp_path, "empty").values(), []) == []
+    one = [("f1", p) for p in range(10)] + [("f2", p) for p in range(5)]
+    land_log(spark, one, path)
+    assert sorted(sum(streamed(spark, path, tmp_path).values(), [])) == one
+    land_log(spark, [("f2", 7), ("f3", 0)], path)
+    assert sorted(sum(streamed(spark, path, tmp_path).values(), [])) == [("f2", 7), ("f3", 0)]  # resumed at the checkpoint
+    land_log(spark, [("f1", 99)], path)
+    assert sum(streamed(spark, path, tmp_path).values(), []) == []  # behind the offset
+    # from a position on, inclusively, also one that no record has
+    assert sorted(sum(streamed(spark, path, tmp_path, "at", committed=("f2", 3)).values(), [])) == [("f2", 3), ("f2", 4), ("f2", 7), ("f3", 0)]
+    assert sorted(sum(streamed(spark, path, tmp_path, "gap", committed=("f2", 5)).values(), [])) == [("f2", 7), ("f3", 0)]
+
+
+def test_positions_in_limited_batches(spark, tmp_path):
+    """A limit gives several batches in order, none twice or lost, also over a restart, and repeats of a position stay together."""
+    path = f"file://{tmp_path}/log"
+    for k in range(6):
+        land_log(spark, [(f"f{k // 3}", 100 * k + p // 2) for p in range(20)], path)
+    options = {"rows_per_batch": 25, "progress_path": f"file://{tmp_path}/progress/p.json"}
+    first = streamed(spark, path, tmp_path, **options)
+    assert len(first) >= 3 and all(first.values())
+    ordered = [first[b] for b in sorted(first)]
+    assert all(a[-1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    assert sum(ordered, []) == [(f"f{k // 3}", 100 * k + p // 2) for k in range(6) for p in range(20)]
+    for k in range(6, 9):
+        land_log(spark, [(f"f{k // 3}", 100 * k + p) for p in range(20)], path)
+    again = streamed(spark, path, tmp_path, **options)
+    assert len(again) >= 2 and sum((again[b] for b in sorted(again)), []) == [(f"f{k // 3}", 100 * k + p) for k in range(6, 9) for p in range(20)]
+    kept = json.loads((tmp_path / "progress" / "p.json").read_text())
+    assert kept["planned"] == {"file": "f2", "position": 820} and kept["committed"]["file"] == "f2"
+    with pytest.raises(Exception, match="progress_path"):
+        stream_positions(spark, path, rows_per_batch=5).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp-x").start().processAllAvailable()
+
+
+def test_positions_that_are_null(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    land_log(spark, [(None, 3), (None, None), ("f1", None), ("f1", 2), ("f1", -4), ("f 1/:%", 1)], path)
+    assert sorted(sum(streamed(spark, path, tmp_path).values(), []), key=str) == sorted([(None, 3), (None, None), ("f1", None), ("f1", 2), ("f1", -4), ("f 1/:%", 1)], key=str)
+
+
+def test_positions_read_only_what_they_need(tmp_path, spark):
+    """Files before the offset aren't opened; slices are row groups that meet the range."""
+    land_log(spark, [(f"f{k}", p) for k in range(5) for p in range(10)], f"file://{tmp_path}/log")
+    reader = LogReader({"path": f"file://{tmp_path}/log", "start_file": "f3", "start_position": "4"}, spark.createDataFrame([], POSITIONS).schema)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    slices = reader.partitions(start, end)
+    assert end == {"file": "f4", "position": 10} and {s.file for s in slices} == {"f3", "f4"}
+    assert all("binlog_file=f3" in p or "binlog_file=f4" in p for p in reader.groups)
+    assert sum(b.num_rows for s in slices for b in reader.read(s)) == 16
+
+
+def test_published_files(spark, tmp_path):
+    schema = "k string, images array<struct<name:string,value:string>>, n long"
+    make = lambda *keys: spark.createDataFrame([(k, [("a", k)], i) for i, k in enumerate(keys)], schema)
+    sink = PublishedSink(f"file://{tmp_path}/p")
+    with pytest.raises(ValueError, match="nothing is published"):
+        sink.events(spark)
+    assert sink.events(spark, make("x").schema).count() == 0
+    sink.deliver(make("a", "b").repartition(3), 0)
+    sink.deliver(make("c"), 5)
+    sink.deliver(make("z", "y"), 0)  # published before
+    sink.deliver(make("x").where("false"), 6)
+    assert sorted((r.k, r.images[0].value) for r in sink.events(spark).collect()) == [("a", "a"), ("b", "b"), ("c", "c")]
+    assert [(b["batch"], sum(f["rows"] for f in b["files"])) for b in sink.batches()] == [(0, 2), (5, 1), (6, 0)]
+    listed = {f["name"] for b in sink.batches() for f in b["files"]}
+    assert {p.name for p in (tmp_path / "p" / "data").glob("*.parquet")} == listed  # the repeat's files are gone
+
+
+def test_what_fails_after_its_write_is_not_seen(spark, tmp_path):
+    sink = PublishedSink(f"file://{tmp_path}/p")
+    sink.deliver(spark.range(3), 0)
+    bad = spark.range(100, 120, 1, 4)
+    with pytest.raises(Exception):
+        sink.deliver(bad.where("id < 115 or isnotnull(raise_error('lost'))"), 1)
+    files = _Files(sink.path, spark.range(1).schema)
+    files.write(iter(spark.range(7).toArrow().to_batches()))  # an attempt whose executor is lost before the commit
+    assert sorted(r.id for r in sink.events(spark).collect()) == [0, 1, 2]
+    assert sink.sweep() == 0 and sink.sweep(older_than_s=0) >= 1
+    sink.deliver(spark.range(100, 104), 1)
+    assert sorted(r.id for r in sink.events(spark).collect()) == [0, 1, 2, 100, 101, 102, 103]
+    own = files.write(iter(spark.range(2).toArrow().to_batches()))
+    files.publish([own, None], 2)
+    files.publish([own], 2)  # a commit that is repeated keeps its files
+    assert sink.events(spark).count() == 9
+    assert isinstance(create({"type": "published", "path": sink.path}), PublishedSink)
+
+
+def test_stream_into_published_files(spark, tmp_path):
+    path, sink = f"file://{tmp_path}/log", PublishedSink(f"file://{tmp_path}/p")
+    schema = spark.createDataFrame([], POSITIONS).schema
+    register(spark, PublishedFiles)
+    want = []
+    for k in range(3):
+        want += [("f1", 10 * k + p) for p in range(10)]
+        land_log(spark, want[-10:], path)
+        query = stream_positions(spark, path, schema).writeStream.format("changeloom_published").option("path", sink.path).option("checkpointLocation", f"{tmp_path}/cp").start()
+        query.processAllAvailable()
+        query.stop()
+        assert sorted((r.binlog_file, r.position) for r in sink.events(spark).collect()) == want
+
+
 def test_schema_entries(spark):
     rows = [("app", "t", "b", "varchar(9)", "", "YES", 2), ("app", "t", "a", "int unsigned", "PRI", "NO", 1), ("app", "u", "x", "int", "", "NO", 1), ("app", "t", "c", "int", "PRI", "NO", 3)]
     found = {r.table: r for r in schema_entries(spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, column_type string, column_key string, is_nullable string, ordinal_position int"), "f", 4).collect()}
