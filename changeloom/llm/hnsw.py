@@ -3,7 +3,8 @@
 Equal vectors are one class first. Classes are dealt to shards by hash; each
 shard builds a hierarchical graph over its vectors, and every class is searched
 for in every shard, blocks of queries at a time. A query whose beam is full
-of linked vectors is searched again with twice the beam.
+of linked vectors is searched again with twice the beam. A graph is a file in the shared folder; tasks read the one
+that they ask, rows carry its path only. Cosines and links stand in memory for a bounded number of candidates at a time.
 
 Recall is measured, not assumed. When a shard is built, vectors planted just inside the threshold beside its own
 vectors are searched for, and the beam widens until they are found; so an audit never passes for want of links. In every
@@ -25,12 +26,17 @@ a null component_id and its rows are kept). Extra columns are ignored; an empty
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mix, spread_join
+from .common import bounded_broadcast, held, mix, new_folder, spread_join
 from .components import connected_components
 
 THRESHOLD = 0.95
@@ -40,6 +46,7 @@ WIDTH, BEAM = 16, 32  # links of a node (twice that on the ground layer), first
 AUDIT, RECALL = 50, 0.99  # each so-manieth id is audited
 PROBES, INSIDE = 64, 0.002  # planted vectors of a shard, so much above the threshold
 _CELLS = 1 << 24  # of a batch's table of visited nodes
+_PAIRS = 1 << 21  # candidates (query, node) whose cosines stand in memory together
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -53,7 +60,7 @@ def _spread(near: np.ndarray, ids: np.ndarray, vectors: np.ndarray, width: int)
     """Of each row's candidates (best first, -1 for none), up to ``width`` that are closer to it than to one another."""
     rows, n = ids.shape
     own = vectors[ids]
-    among = np.einsum("rcd,red->rce", own, own)
+    among = own @ own.transpose(0, 2, 1)
     taken = np.zeros((rows, n), bool)
     out, size = np.full((rows, width), -1, np.int32), np.zeros(rows, np.int64)
     for spare in (False, True):  # what stood in another's way fills up the rest
@@ -162,7 +169,10 @@ class Layer:
             near = np.einsum("nd,nkd->nk", self.v[n], self.v[both])
             near[both < 0] = -np.inf
             order = np.argsort(-near, axis=1, kind="stable")
-            self.links[n] = _spread(np.take_along_axis(near, order, 1), np.take_along_axis(both, order, 1), self.v, self.width)
+            near, both = np.take_along_axis(near, order, 1), np.take_along_axis(both, order, 1)
+            self.links[n] = both[:, : self.width]
+            over = np.flatnonzero(both[:, self.width] >= 0)  # the others keep all that they have
+            self.links[n[over]] = _spread(near[over], both[over], self.v, self.width)
 
 
 class Graph:
@@ -184,53 +194,67 @@ class Graph:
         else:
             self.layers, self.roots = [Layer(self.v, len(x), x.shape[1], x) for x in links], roots
 
-    def near(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the links found by a first beam of ``beam``; full beams widen."""
-        fine = q.astype(np.float32)
-        start = np.zeros(len(q), np.int64)
+    def near_parts(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of the links found by a first beam of ``beam``, so many queries at a time; full beams widen. A query's links come together."""
+        left, start = np.arange(len(q)), np.zeros(len(q), np.int64)
         for layer in self.layers[:-1]:
-            start = layer.search(fine, start, 4)[1][:, 0]
-        found, left = [], np.arange(len(q))
+            start = layer.search(q.astype(np.float32), start, 4)[1][:, 0]
         while len(left):
-            beam = min(beam, len(self.ids))
-            _, ids = self.layers[-1].search(fine[left], start[left], beam)
-            sims = np.einsum("qd,qkd->qk", q[left], self.exact[ids]) if ids.size < 1 << 20 else self._exact(q, left, ids)
-            hit = (sims >= THRESHOLD) & (ids >= 0)
-            full = hit.sum(axis=1) >= 0.75 * beam
-            over = full & (beam < len(self.ids))
-            a, b = np.nonzero(hit & ~over[:, None])
-            found.append((left[a], ids[a, b].astype(np.int64)))
-            left, beam = left[over], beam * 2
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-
-    def _exact(self, q, left, ids):
-        return np.concatenate([np.einsum("qd,qkd->qk", q[left[k : k + 64]], self.exact[ids[k : k + 64]]) for k in range(0, len(left), 64)])
+            beam, over = min(beam, len(self.ids)), []
+            for part in np.array_split(left, min(len(left), -(-len(left) * beam // _PAIRS))):
+                _, ids = self.layers[-1].search(q[part].astype(np.float32), start[part], beam)
+                hit = (self._cosines(q[part], ids) >= THRESHOLD) & (ids >= 0)
+                full = (hit.sum(axis=1) >= 0.75 * beam) & (beam < len(self.ids))
+                a, b = np.nonzero(hit & ~full[:, None])
+                yield part[a], ids[a, b].astype(np.int64)
+                over.append(part[full])
+            left, beam = np.concatenate(over), beam * 2
+
+    def _cosines(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        step = max(1, _PAIRS // (ids.shape[1] * q.shape[1]))
+        return np.concatenate([np.einsum("qd,qkd->qk", q[k : k + step], self.exact[ids[k : k + step]]) for k in range(0, len(q), step)])
+
+    def scan_parts(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same links by a comparison with every node."""
+        step = max(1, _PAIRS // len(self.ids))
+        for k in range(0, len(q), step):
+            a, b = np.nonzero(q[k : k + step] @ self.exact.T >= THRESHOLD)
+            yield a + k, b
+
+    def audited(self, q: np.ndarray, own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first beam, doubled from the shard's until each query has its links, and for each query its links by a scan and how many were found.
+
+        ``own`` is the node that a query is itself (-1: none), which isn't counted.
+        """
+        n = len(self.ids)
+        truth = [np.zeros(0, np.int64)]
+        for a, b in self.scan_parts(q):
+            other = own[a] != b
+            truth.append(a[other] * n + b[other])
+        truth = np.concatenate(truth)
+        there, beam = np.bincount(truth // n, minlength=len(q)), self.beam
+        while beam < n:
+            found = np.zeros(len(q), np.int64)
+            for a, b in self.near_parts(q, beam):
+                found += np.bincount(truth[np.isin(truth, a * n + b)] // n, minlength=len(q))
+            if (found >= RECALL * there).all():
+                return beam, there, found
+            beam *= 2
+        return n, there, there
+
+    def parts(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of a block of queries by a first beam of ``beam`` (all nodes: a scan), so many queries at a time."""
+        return self.near_parts(q, beam) if beam < len(self.ids) else self.scan_parts(q)
 
     def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in range(0, len(q), 256):
-            a, b = np.nonzero(q[k : k + 256] @ self.exact.T >= THRESHOLD)
-            parts.append((a + k, b))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return _joined(self.scan_parts(q))
 
     def links(self, q: np.ndarray, audit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Links of a block of queries (query, node), and for each of ``audit`` its links by a scan and how many of them were found.
-
-        The beam widens until audited queries have their links; ``own`` is the node that a query is itself (-1: none).
-        """
+        """All links of a block of queries at once (query, node), and for each of ``audit`` its links by a scan and how many of them were found."""
         audit = np.zeros(0, np.int64) if audit is None else audit
         own = np.full(len(q), -1) if own is None else own
-        a, b = self.scan(q[audit])
-        other = own[audit[a]] != b
-        n = len(self.ids)
-        truth = np.unique(audit[a[other]] * n + b[other])
-        there, beam = np.bincount(truth // n, minlength=len(q)), self.beam
-        while True:
-            a, b = self.near(q, beam) if beam < n else self.scan(q)
-            found = np.bincount(truth[np.isin(truth, a * n + b)] // n, minlength=len(q))
-            if beam >= n or (found >= RECALL * there).all():
-                return a, b, there[audit], found[audit]
-            beam *= 2
+        beam, of, hit = self.audited(q[audit], own[audit])
+        return *_joined(self.parts(q, beam)), of, hit
 
     def _probe(self) -> int:
         """The least beam that finds the vector beside which each planted one lies."""
@@ -245,7 +269,7 @@ class Graph:
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         beam = BEAM
         while beam < len(self.ids):
-            a, b = self.near(q, beam)
+            a, b = _joined(self.near_parts(q, beam))
             if np.isin(np.arange(len(at)) * len(self.ids) + at, a * len(self.ids) + b).mean() >= RECALL:
                 break
             beam *= 2
@@ -255,59 +279,87 @@ class Graph:
         """For each node the least node of its component by links inside the shard."""
         root = np.arange(len(self.ids))
         each = np.flatnonzero(mix(self.ids.view(np.uint64)) % np.uint64(AUDIT) == 0)
-        a, b, _, _ = self.links(self.exact, each, root)
-        while True:
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                return root
-            root = low
+        beam = self.audited(self.exact[each], each)[0]
+        for a, b in self.parts(self.exact, beam):
+            root = _united(root, a, b)
+        return root
+
+    def write(self, out: BinaryIO) -> None:
+        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, roots=self.roots, beam=self.beam, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, roots=self.roots, beam=self.beam, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
+        self.write(out)
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Graph:
-        z = np.load(io.BytesIO(raw))
+    def load(cls, raw: bytes | BinaryIO) -> Graph:
+        z = np.load(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
         return cls(z["ids"], z["counts"], z["exact"], [z[k] for k in sorted(z.files) if k.startswith("layer")], z["roots"], int(z["beam"]))
 
 
+def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *parts, strict=True))
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each component (``root``) after more links between nodes."""
+    a, b = root[a], root[b]
+    low = np.arange(len(root))
+    while True:
+        less = low.copy()
+        np.minimum.at(less, a, low[b])
+        np.minimum.at(less, b, low[a])
+        less = less[less]
+        if (less == low).all():
+            return low[root]
+        low = less
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return unit(np.stack(column.to_numpy()))
 
 
-def _build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-    g = Graph(f["node"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), _matrix(f["embedding"]))
-    return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [g.dump()]})
+def _build(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        g = Graph(f["node"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), _matrix(f["embedding"]))
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        name = f"{uuid.uuid4().hex}.npz"  # an attempt's own
+        with store.open_output_stream(f"{base}/{name}") as out:
+            g.write(out)
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [f"{folder}/{name}"]})
+
+    return build
 
 
-def _query(graph: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+def _query(f: pd.DataFrame) -> pd.DataFrame:
     """For each query: the vectors linked in this shard (``found``), a link to each component there, and of audited ones the links told by a scan and found."""
-    if not len(graph) or not len(f):
-        return pd.DataFrame({"node": [], "found": [], "other": [], "of": [], "hit": []}).astype("int64")
-    g, node = Graph.load(graph["graph"].iloc[0]), f["node"].to_numpy(np.int64)
+    store, path = fs.FileSystem.from_uri(f["graph"].iloc[0])
+    with store.open_input_file(path) as raw:
+        g = Graph.load(raw)
+    node, q = f["node"].to_numpy(np.int64), _matrix(f["embedding"])
     order = np.argsort(g.ids, kind="stable")
     place = np.minimum(np.searchsorted(g.ids, node, sorter=order), len(order) - 1)
     own = np.where(g.ids[order[place]] == node, order[place], -1)
     audit = np.flatnonzero(f["audited"].to_numpy())
-    a, b, of, hit = g.links(_matrix(f["embedding"]), audit, own)
-    other = g.ids[b] != node[a]
-    a, b = a[other], b[other]
-    found = np.bincount(a, weights=g.counts[b], minlength=len(node)).astype(np.int64)
-    pair = np.unique(np.stack([a, g.roots[b]]), axis=1)
+    beam, of, hit = g.audited(q[audit], own[audit])
+    found, pairs, n = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], len(g.ids)
+    for a, b in g.parts(q, beam):
+        other = own[a] != b
+        a, b = a[other], b[other]
+        found += np.bincount(a, weights=g.counts[b], minlength=len(node)).astype(np.int64)
+        pairs.append(np.unique(a * n + g.roots[b]))  # a query's links come together
+    linked, to = np.divmod(np.concatenate(pairs), n)
     some, said = np.flatnonzero(found), np.flatnonzero(of)
     none = lambda n: np.zeros(n, np.int64)
     return pd.DataFrame(
         {
-            "node": np.concatenate([node[some], node[pair[0]], node[audit[said]]]),
-            "found": np.concatenate([found[some], none(pair.shape[1]), none(len(said))]),
-            "other": np.concatenate([node[some], g.ids[pair[1]], node[audit[said]]]),
-            "of": np.concatenate([none(len(some)), none(pair.shape[1]), of[said]]),
-            "hit": np.concatenate([none(len(some)), none(pair.shape[1]), hit[said]]),
+            "node": np.concatenate([node[some], node[linked], node[audit[said]]]),
+            "found": np.concatenate([found[some], none(len(linked)), none(len(said))]),
+            "other": np.concatenate([node[some], g.ids[to], node[audit[said]]]),
+            "of": np.concatenate([none(len(some)), none(len(linked)), of[said]]),
+            "hit": np.concatenate([none(len(some)), none(len(linked)), hit[said]]),
         }
     )
 
@@ -330,12 +382,10 @@ def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
     blocks = max(1, -(-size.n // BLOCK))
     dealt = classes.select("node", "copies", "embedding", "audited", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
     # heavy work on few rows: the numbers of partitions are given, or they would be merged by size
-    graphs = held(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard long, graph binary"))
-    asked = dealt.select("node", "embedding", "dim", "block", "audited", _each(shards).alias("shard"))
-    served = graphs.withColumn("block", _each(blocks))
+    graphs = held(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build(new_folder(vectors.sparkSession, "graphs")), "dim int, shard long, graph string"))
+    asked = dealt.select("node", "embedding", "dim", "block", "audited", _each(shards).alias("shard")).join(bounded_broadcast(graphs), ["dim", "shard"])
     key = ["dim", "shard", "block"]
-    parts = shards * blocks
-    answers = held(served.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(_query, "node long, found long, other long, of long, hit long"))
+    answers = held(asked.repartition(shards * blocks, *key).groupBy(*key).applyInPandas(_query, "node long, found long, other long, of long, hit long"))
     links = answers.groupBy("node").agg(F.sum("found").alias("found"), F.sum("of").alias("of"), F.sum("hit").alias("hit"))
     roots = connected_components(answers.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from changeloom.llm import chat_format, hnsw, queries, warc_bundles
 from changeloom.llm.components import connected_components
@@ -56,6 +57,26 @@ def test_graph_recall():
     assert found <= truth and len(found) >= 0.99 * len(truth) and (hit >= 0.99 * of).all() and of.max() >= 299
 
 
+def test_graphs_are_files_and_links_come_in_parts(monkeypatch, tmp_path):
+    """Rows carry a graph's path, and cosines of a bounded number of candidates stand in memory together."""
+    monkeypatch.setattr(hnsw, "_PAIRS", 1 << 12)
+    rng = np.random.default_rng(10)
+    v = hnsw.unit(np.concatenate([rng.normal(size=(700, 16)), rng.normal(size=(1, 16)) + rng.normal(size=(300, 16)) * 0.02]))
+    row = hnsw._build(f"file://{tmp_path}/graphs")((16, 3), pd.DataFrame({"node": np.arange(1000), "copies": 1, "embedding": list(v)}))
+    assert row.to_dict("records") == [{"dim": 16, "shard": 3, "graph": f"file://{next((tmp_path / 'graphs').iterdir())}"}]
+    with open(row["graph"][0].removeprefix("file://"), "rb") as f:
+        g = hnsw.Graph.load(f)
+    for beam in (32, 1000):
+        parts = list(g.parts(g.exact, beam))
+        assert len(parts) > 8 and max(len(a) for a, _ in parts) <= 1 << 12
+        queries = np.concatenate([np.unique(a) for a, _ in parts])
+        assert len(queries) == len(set(queries))  # a query's links come together
+        found, truth = {x for a, b in parts for x in zip(a, b)}, set(zip(*g.scan(g.exact)))
+        assert found <= truth and len(found) >= 0.99 * len(truth)
+    alone = g.ids < 700
+    assert len({*g.roots[~alone]}) == 1 and (g.roots[alone] == np.flatnonzero(alone)).mean() > 0.9
+
+
 def test_planted_links_across_shards_and_their_recall(spark, monkeypatch):
     """Single links among many vectors without any: all found, against brute force, and the recall that the run tells."""
     monkeypatch.setattr(hnsw, "SHARD_LEAST", 700)
