@@ -16,8 +16,10 @@ from changeloom.sources.logstream import land as land_files
 from changeloom.sources.shared import register, shared_folder
 from changeloom.sources.snapshot import schema_entries
 from changeloom.sources.splits import SplitRead, bounds, predicates
+from changeloom.streaming.assemble import _Assembler
 from changeloom.streaming.loose import loose_batches
 from changeloom.streaming.table import KeyedTable
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 LOG = "lane long, seq long, ts timestamp"
@@ -206,6 +208,45 @@ def test_figures_need_no_other_scan(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+class PlainMap(dict):
+    """A map state that counts what is asked and written."""
+
+    asked = written = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.written += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.written += 1
+        self.pop(key, None)
+
+
+def test_assembly_of_many_transactions_in_one_call():
+    """A lane's transactions take one call; whole ones ask the state once and write nothing, open ones write what is new."""
+    states = {}
+    handle = type("Handle", (), {"getMapState": lambda self, name, *_: states.setdefault(name, PlainMap())})()
+    own = _Assembler(cap=4)
+    own.init(handle)
+    row = Row("lane", "transaction_id", "kind", "binlog_file", "position", "event")
+    make = lambda *events: iter([row(0, tx, kind, "f", at, f"{tx}-{at}") for tx, kind, at in events])
+    told = lambda rows: sorted((r.transaction_id, r.kind, r.max_position, r.cut, tuple(e.partition("-")[2] for e in r.events)) for r in rows)
+    whole = [(f"w{k}", kind, 10 * k + at) for at, kind in ((2, "tx_commit"), (0, "tx_begin"), (1, "row")) for k in range(50)]
+    assert told(own.handleInputRows((0,), make(*whole), None)) == sorted((f"w{k}", "transaction", 10 * k + 2, False, (f"{10 * k}", f"{10 * k + 1}", f"{10 * k + 2}")) for k in range(50))
+    assert states["opened"].asked == 50 and not states["opened"].written and not states["events"].written and not states["events"].asked
+    assert told(own.handleInputRows((0,), make(("a", "tx_begin", 600), ("a", "row", 601), ("b", "tx_begin", 602), ("c", "row", 603)), None)) == [("c", "orphan", 603, False, ("603",))]
+    assert told(own.handleInputRows((0,), make(("a", "row", 610), ("b", "row", 611)), None)) == [] and states["events"].asked == 0
+    got = told(own.handleInputRows((0,), make(("a", "tx_commit", 620), ("b", "tx_begin", 621), ("b", "tx_commit", 622)), None))  # a begin that is repeated starts anew
+    assert got == [("a", "transaction", 620, False, ("600", "601", "610", "620")), ("b", "transaction", 622, False, ("621", "622"))]
+    assert not states["opened"] and not states["events"]
+    got = told(own.handleInputRows((0,), make(("d", "tx_begin", 700), *[("d", "row", 700 + k) for k in range(1, 6)], ("d", "tx_commit", 706)), None))
+    assert got == [("d", "orphan", 705, False, ("705",)), ("d", "orphan", 706, False, ("706",)), ("d", "part", 704, True, ("700", "701", "702", "703", "704"))]
+
+
 POSITIONS = "binlog_file string, position long, kind string"
 
 
