@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,6 +24,9 @@ from .shared import register
 
 NAME, FOLDER, NO_FILE = "changeloom_log", "binlog_file=", "__HIVE_DEFAULT_PARTITION__"
 TASK_BYTES = 128 << 20
+OPEN_BYTES, ALONE = 4 << 20, 16  # what opening a file counts as, and slices up to which each is a task of its own
+LANDED = 64 << 20  # bytes of the log that are landed together
+LISTED = 64  # folders that are looked into at a time
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,13 @@ class Slice(InputPartition):
     high: int | None
 
 
+@dataclass(frozen=True)
+class Bundle(InputPartition):
+    """Slices of many small files, read by one task one after another."""
+
+    slices: tuple[Slice, ...]
+
+
 class LogReader(DataSourceStreamReader):
     """Micro-batches of a log that is landed as Parquet in folders ``binlog_file=<name>``, in the order of (file, position).
 
@@ -68,6 +80,10 @@ class LogReader(DataSourceStreamReader):
         self.groups: dict[str, list[Group]] = {}  # by landed file; these don't change
         self.planned: dict | None = None
 
+    def __getstate__(self) -> dict:
+        """What executors get: slices tell them all that they read, so what is known of the log stays behind."""
+        return {**self.__dict__, "groups": {}, "planned": None}
+
     # what is kept beside the checkpoint: a limited batch starts where the one before was planned to end
     def _kept(self) -> dict:
         if not self.progress:
@@ -94,6 +110,13 @@ class LogReader(DataSourceStreamReader):
         names = {i.path: unquote(i.base_name.removeprefix(FOLDER)) for i in found if i.base_name.startswith(FOLDER)}
         return sorted(("" if n == NO_FILE else n, path) for path, n in names.items())
 
+    def _in_order(self, folders: list[tuple[str, str]]) -> Iterator[tuple[str, list[Group]]]:
+        """Names and row groups of the log's files, some folders at a time."""
+        with ThreadPoolExecutor(16) as pool:
+            for k in range(0, len(folders), LISTED):
+                some = folders[k : k + LISTED]
+                yield from zip([name for name, _ in some], pool.map(self._groups, [path for _, path in some]), strict=True)
+
     def _groups(self, folder: str) -> list[Group]:
         """The row groups of one file of the log, by their ends."""
         out: list[Group] = []
@@ -132,8 +155,8 @@ class LogReader(DataSourceStreamReader):
                 if groups:
                     return max(start, {"file": name, "position": groups[-1].high + 1}, key=_order)
             return start
-        for name, path in folders:
-            for g in self._groups(path):
+        for name, groups in self._in_order(folders):
+            for g in groups:
                 end = {"file": name, "position": g.high + 1}
                 if _order(end) <= _order(start):
                     continue
@@ -154,28 +177,30 @@ class LogReader(DataSourceStreamReader):
         self.planned = end
         return end
 
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
-        out = []
-        for name, folder in self._folders():
-            if not start["file"] <= name <= end["file"]:
-                continue
+    def partitions(self, start: dict, end: dict) -> list[Slice | Bundle]:
+        out: list[tuple[Slice, int]] = []
+        for name, all_groups in self._in_order([(n, p) for n, p in self._folders() if start["file"] <= n <= end["file"]]):
             low = start["position"] if name == start["file"] else None
             high = end["position"] if name == end["file"] else None
             by_file: dict[str, list[Group]] = {}
-            for g in self._groups(folder):
+            for g in all_groups:
                 if (low is None or g.high >= low) and (high is None or g.low < high):
                     by_file.setdefault(g.path, []).append(g)
             for path, groups in by_file.items():
                 part: list[Group] = []
                 for g in sorted(groups, key=lambda g: g.number):
                     if part and sum(p.size for p in part) + g.size > TASK_BYTES:
-                        out.append(Slice(name or None, path, tuple(p.number for p in part), low, high))
+                        out.append((Slice(name or None, path, tuple(p.number for p in part), low, high), sum(p.size for p in part)))
                         part = []
                     part.append(g)
-                out.append(Slice(name or None, path, tuple(p.number for p in part), low, high))
-        return out
+                out.append((Slice(name or None, path, tuple(p.number for p in part), low, high), sum(p.size for p in part)))
+        return _bundled(out)
+
+    def read(self, partition: Slice | Bundle) -> Iterator[pa.RecordBatch]:
+        for one in partition.slices if isinstance(partition, Bundle) else (partition,):
+            yield from self._read(one)
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         want = to_arrow_schema(self.schema)
         with self.store.open_input_file(partition.path) as f:
             file = pq.ParquetFile(f)
@@ -198,6 +223,20 @@ class LogReader(DataSourceStreamReader):
         pass
 
 
+def _bundled(slices: list[tuple[Slice, int]]) -> list[Slice | Bundle]:
+    """Slices (with their bytes) as tasks: a task for each small file would cost far more than its rows."""
+    if len(slices) <= ALONE:
+        return [s for s, _ in slices]
+    out, room = [], 0
+    for one, size in slices:
+        if not out or size + OPEN_BYTES > room:
+            out.append([])
+            room = TASK_BYTES
+        out[-1].append(one)
+        room -= size + OPEN_BYTES
+    return [Bundle(tuple(some)) for some in out]
+
+
 def _order(offset: dict) -> tuple[str, int]:
     return offset["file"], offset["position"]
 
@@ -218,7 +257,8 @@ class LogSource(DataSource):
 
 def land(log: DataFrame, path: str) -> None:
     """Appends records in the layout that the stream reads: a folder per file of the log, sorted by position."""
-    log.repartitionByRange("binlog_file", "position").sortWithinPartitions("binlog_file", "position").write.mode("append").partitionBy("binlog_file").parquet(path)
+    # the number is given, or many files of few bytes would be written by one task, a folder after another; a small file isn't divided
+    log.repartitionByRange(2 * log.sparkSession.sparkContext.defaultParallelism, "binlog_file", F.floor(F.col("position") / LANDED)).sortWithinPartitions("binlog_file", "position").write.mode("append").partitionBy("binlog_file").parquet(path)
 
 
 def stream_positions(spark: SparkSession, path: str, schema: StructType = RAW_LOG, committed: tuple[str, int] | None = None, rows_per_batch: int | None = None, progress_path: str | None = None) -> DataFrame:

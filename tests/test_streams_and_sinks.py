@@ -2,6 +2,7 @@
 
 import json
 import os
+import pickle
 import random
 
 import pytest
@@ -319,6 +320,18 @@ def test_positions_read_only_what_they_need(tmp_path, spark):
     assert sum(b.num_rows for s in slices for b in reader.read(s)) == 16
 
 
+def test_many_small_files_take_few_tasks(tmp_path, spark):
+    """Small files share a task, rows come once, and executors aren't sent what the driver knows of the log."""
+    land_log(spark, [(f"f{k:03d}", p) for k in range(100) for p in range(3)], f"file://{tmp_path}/log")
+    assert len({name.split("-")[1] for name in map(os.path.basename, files(f"{tmp_path}/log"))}) > 3  # written by several tasks
+    reader = LogReader({"path": f"file://{tmp_path}/log", "start_file": "f001", "start_position": "2"}, spark.createDataFrame([], POSITIONS).schema)
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    sent = pickle.loads(pickle.dumps(reader))
+    got = sorted((r["binlog_file"], r["position"]) for t in tasks for b in sent.read(t) for r in b.to_pylist())
+    assert len(tasks) <= 8 and len(reader.groups) >= 99 and not sent.groups
+    assert got == [("f001", 2)] + [(f"f{k:03d}", p) for k in range(2, 100) for p in range(3)]
+
+
 def test_published_files(spark, tmp_path):
     schema = "k string, images array<struct<name:string,value:string>>, n long"
     make = lambda *keys: spark.createDataFrame([(k, [("a", k)], i) for i, k in enumerate(keys)], schema)
