@@ -1,16 +1,17 @@
 """Near-duplicate vectors through a navigable small-world graph for each shard.
 
 Equal vectors are one class first. Classes are dealt to shards by hash; each
-shard builds a hierarchical graph over its vectors, and every class is searched
-for in every shard, blocks of queries at a time. A query whose beam is full
-of linked vectors is searched again with twice the beam. A graph is a file in the shared folder; tasks read the one
+shard builds a hierarchical graph over its vectors and searches it for each of them. Of two
+shards one is searched for the classes of the other, blocks of queries at a time, and links are told for both ends. A query whose beam is full
+of linked vectors is searched again with twice the beam. On the ground layer each node is named by some of its closest
+neighbours, however many crowd it out of their lists, so that beams needn't grow with a shard. A graph is a file in the shared folder; tasks read the one
 that they ask, rows carry its path only. Cosines and links stand in memory for a bounded number of candidates at a time.
 
 Recall is measured, not assumed. When a shard is built, vectors planted just inside the threshold beside its own
-vectors are searched for, and the beam widens until they are found; so an audit never passes for want of links. In every
-block and shard the queries whose vec_id is divisible by ``AUDIT`` are also compared with the whole shard (self matches
-don't count), and the block's beam doubles until their links are found, each query's by itself; a scan of the shard is what is left. Their
-recall at the first beam that passes is a column of the result.
+vectors are searched for, and the beam widens until they are found; so an audit never passes for want of links. Vectors whose vec_id is divisible by ``AUDIT`` are
+also compared with all others (self matches don't count), their own shard's when it is built, then in each block as queries with the whole
+shard and as nodes with the whole block; a block's beam doubles until these links are found, each query's by itself, and a scan of the shard is
+what is left. The recall of audited vectors at the first beams that pass is a column of the result.
 
 Links are cosines, in double precision, of at least ``THRESHOLD``. A query reports how
 many vectors it links with, and one link for each component inside the shard
@@ -40,11 +41,14 @@ from .common import bounded_broadcast, held, mix, new_folder, spread_join
 from .components import connected_components
 
 THRESHOLD = 0.95
-SHARD_BYTES, SHARD_LEAST = 64 << 20, 8192  # a shard's memory at most, and vectors below which shards aren't divided for the sake of more tasks
+SHARD_BYTES, SHARDS, SHARD_LEAST = 64 << 20, 4, 8192  # a shard's memory at most; shards that are made for the sake of more tasks, and vectors below which they aren't
 BLOCK = 8192  # queries in a block, about
 WIDTH, BEAM = 16, 32  # links of a node (twice that on the ground layer), first beam
+ENTRIES, FLAT = 16, 4096  # nodes from which a layer is searched, nodes of a layer that is compared whole
+NAMED, OWED = 8, 16  # of a node's neighbours those that name it at least, links that a node has for that
 AUDIT, RECALL = 50, 0.99  # each so-manieth id is audited
 PROBES, INSIDE = 64, 0.002  # planted vectors of a shard, so much above the threshold
+OWN = ("audits", "roots", "found", "of", "hit")  # what a shard's file tells of its own nodes
 _CELLS = 1 << 24  # of a batch's table of visited nodes
 _PAIRS = 1 << 21  # candidates (query, node) whose cosines stand in memory together
 
@@ -57,22 +61,39 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _spread(near: np.ndarray, ids: np.ndarray, vectors: np.ndarray, width: int) -> np.ndarray:
-    """Of each row's candidates (best first, -1 for none), up to ``width`` that are closer to it than to one another."""
+    """Of each row's candidates (best first, -1 for none), up to ``width`` that are closer to it than to one another; others fill up the rest."""
+    step = 256
+    return np.concatenate([_spread_rows(near[k : k + step], ids[k : k + step], vectors, width) for k in range(0, max(1, len(ids)), step)])
+
+
+def _spread_rows(near, ids, vectors, width):
     rows, n = ids.shape
     own = vectors[ids]
     among = own @ own.transpose(0, 2, 1)
-    taken = np.zeros((rows, n), bool)
-    out, size = np.full((rows, width), -1, np.int32), np.zeros(rows, np.int64)
-    for spare in (False, True):  # what stood in another's way fills up the rest
-        for k in range(n):
-            clear = True if spare else (np.where(taken, among[:, k], -2.0).max(axis=1) < near[:, k])
-            ok = np.flatnonzero((ids[:, k] >= 0) & ~taken[:, k] & (size < width) & clear)
-            out[ok, size[ok]] = ids[ok, k]
-            size[ok] += 1
-            taken[ok, k] = True
+    there, taken = ids >= 0, np.zeros((rows, n), bool)
+    worst, size = np.full((rows, n), -2.0, np.float32), np.zeros(rows, np.int64)  # of each candidate the cosine with the closest one taken
+    for k in range(n):
+        ok = np.flatnonzero(there[:, k] & (size < width) & (worst[:, k] < near[:, k]))
+        taken[ok, k] = True
+        size[ok] += 1
+        worst[ok] = np.maximum(worst[ok], among[ok, k])
+    first = np.argsort(np.where(taken, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :width]
+    out = np.full((rows, width), -1, np.int32)
+    out[:, : first.shape[1]] = np.take_along_axis(np.where(there, ids, -1), first, 1)
     return out
 
 
+def _best(q: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` (or all) of ``nodes`` closest to each query, compared with all of them: cosines and places, in no order."""
+    k, step = min(k, len(nodes)), max(1, _PAIRS // len(nodes))
+    near, ids = np.empty((len(q), k), np.float32), np.empty((len(q), k), np.int32)
+    for at in range(0, len(q), step):
+        sims = q[at : at + step] @ nodes.T
+        ids[at : at + step] = np.argpartition(sims, len(nodes) - k, axis=1)[:, len(nodes) - k :]
+        near[at : at + step] = np.take_along_axis(sims, ids[at : at + step], 1)
+    return near, ids
+
+
 class Layer:
     """A graph over the first ``n`` vectors (in order of level, highest first)."""
 
@@ -87,62 +108,92 @@ class Layer:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, beam), np.float32), np.zeros((0, beam), np.int32))
 
     def _search(self, q, start, beam):
-        rows = np.arange(len(q))[:, None]
-        seen = np.zeros((len(q), self.n + 1), bool)
-        seen[rows[:, 0], start] = True
-        seen[:, -1] = True  # stands for "none" (-1)
+        start = start[:, :beam]
+        rows, wide = np.arange(len(q))[:, None], self.n + 1
+        seen = np.zeros(len(q) * wide, bool)
+        seen[rows * wide + start] = True
+        seen[wide - 1 :: wide] = True  # stands for "none" (-1)
         ids = np.full((len(q), beam), -1, np.int32)
         near = np.full((len(q), beam), -np.inf, np.float32)
         done = np.ones((len(q), beam), bool)
-        ids[:, 0], done[:, 0] = start, False
-        near[:, 0] = np.einsum("qd,qd->q", q, self.v[start])
+        some = start.shape[1]
+        ids[:, :some], done[:, :some] = start, start < 0
+        near[:, :some] = np.where(start < 0, -np.inf, np.einsum("qd,qkd->qk", q, self.v[start]))
         live = np.arange(len(q))
+        few = min(4, beam)
         while len(live):
             # the best nodes not yet opened
-            rank = np.where(done[live], -np.inf, near[live])
-            few = min(4, beam)
-            pick = np.argpartition(-rank, few - 1, axis=1)[:, :few]
-            good = np.take_along_axis(rank, pick, 1) > -np.inf
-            at = live[:, None]
-            done[at, pick] |= good
-            fresh = np.where(good[:, :, None], self.links[ids[at, pick]], -1).reshape(len(live), -1)
-            fresh = np.sort(fresh, axis=1)
+            own_near, own_ids, own_done = near[live], ids[live], done[live]
+            rank = np.where(own_done, np.inf, -own_near)
+            pick = np.argpartition(rank, few - 1, axis=1)[:, :few]
+            good = np.take_along_axis(rank, pick, 1) < np.inf
+            np.put_along_axis(own_done, pick, np.take_along_axis(own_done, pick, 1) | good, 1)
+            fresh = np.where(good[:, :, None], self.links[np.take_along_axis(own_ids, pick, 1)], -1).reshape(len(live), -1)
+            fresh.sort(axis=1)
             fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = -1
-            fresh[seen[at, fresh]] = -1
-            seen[at, fresh] = True
-            sims = np.einsum("qd,qkd->qk", q[live], self.v[fresh])
-            sims[fresh < 0] = -np.inf
-            all_near = np.concatenate([near[live], sims], axis=1)
-            best = np.argpartition(-all_near, beam - 1, axis=1)[:, :beam]
-            near[live] = np.take_along_axis(all_near, best, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], fresh], axis=1), best, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], fresh < 0], axis=1), best, 1)
-            live = live[~done[live].all(axis=1)]
+            place = (live * wide)[:, None] + np.where(fresh < 0, self.n, fresh)
+            at = np.flatnonzero(~seen[place])
+            seen[place.reshape(-1)[at]] = True
+            row, node = at // fresh.shape[1], fresh.reshape(-1)[at]
+            sim = np.einsum("ed,ed->e", q[live[row]], self.v[node])
+            # those that enter the beam, packed to the left
+            enter = sim > own_near.min(axis=1)[row]
+            row, node, sim = row[enter], node[enter], sim[enter]
+            count = np.bincount(row, minlength=len(live))
+            column = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            shape = (len(live), beam + int(count.max()))
+            all_near, all_ids, all_done = np.full(shape, np.inf, np.float32), np.full(shape, -1, np.int32), np.ones(shape, bool)
+            all_near[:, :beam], all_ids[:, :beam], all_done[:, :beam] = -own_near, own_ids, own_done
+            all_near[row, beam + column], all_ids[row, beam + column], all_done[row, beam + column] = -sim, node, False
+            if shape[1] > beam:
+                best = np.argpartition(all_near, beam - 1, axis=1)[:, :beam]
+                all_near, all_ids, all_done = (np.take_along_axis(x, best, 1) for x in (all_near, all_ids, all_done))
+            near[live], ids[live], done[live] = -all_near, all_ids, all_done
+            live = live[~all_done.all(axis=1)]
         order = np.argsort(-near, axis=1, kind="stable")
         near, ids = np.take_along_axis(near, order, 1), np.take_along_axis(ids, order, 1)
         return near, np.where(near > -np.inf, ids, -1)
 
     def _grow(self) -> np.ndarray:
-        """Inserts nodes in batches that double; nodes of a batch also see each other."""
+        """Inserts nodes in batches that double. A new node's candidates are the closest of all nodes before it and in its batch.
+
+        A shard is bounded, and products of matrices find them faster than its half-grown graph does.
+        """
         self.links = np.full((self.n, self.width), -1, np.int32)
         at = 0
         while at < self.n:
-            end = min(self.n, at + min(1024, max(32, at)))
+            end = min(self.n, at + min(4096, max(32, at)))
             new = np.arange(at, end)
-            q = self.v[new]
-            inner = q @ q.T
-            np.fill_diagonal(inner, -np.inf)
-            k = min(self.width, len(new))
-            mates = np.argpartition(-inner, k - 1, axis=1)[:, :k]
-            near, ids = np.take_along_axis(inner, mates, 1), (mates + at).astype(np.int32)
-            ids[near == -np.inf] = -1
-            if at:
-                first = (q @ self.v[: min(at, 64)].T).argmax(axis=1)
-                more_near, more = self.search(q, first, 2 * self.width)
-                near, ids = np.concatenate([near, more_near], axis=1), np.concatenate([ids, more], axis=1)
-            self._link(new, near, ids)
+            near, ids = _best(self.v[new], self.v[:end], 2 * self.width + 1)
+            itself = ids == new[:, None]
+            self._link(new, np.where(itself, -np.inf, near), np.where(itself, -1, ids))
             at = end
-        return self.links
+        return np.concatenate([self.links, self._owed()], axis=1)
+
+    def _owed(self) -> np.ndarray:
+        """More links: a node that others crowded out of its neighbours' lists is named by the closest of them all the same, or no beam would meet it."""
+        more, used = np.full((self.n, OWED), -1, np.int32), np.zeros(self.n, np.int64)
+        named = np.zeros(self.n, np.int64)
+        near = np.full(self.links.shape, -np.inf, np.float32)
+        for k in range(0, self.n, 2048):
+            part = self.links[k : k + 2048]
+            near[k : k + 2048] = np.where(part < 0, -np.inf, np.einsum("nd,nkd->nk", self.v[k : k + len(part)], self.v[part]))
+        near = np.take_along_axis(self.links, np.argsort(-near, axis=1, kind="stable"), 1)
+        for k in range(self.width):
+            of = np.flatnonzero((named < NAMED) & (near[:, k] >= 0))
+            by = near[of, k]
+            there = (self.links[by] == of[:, None]).any(axis=1)
+            named[of[there]] += 1
+            of, by = of[~there], by[~there]
+            order = np.argsort(by, kind="stable")
+            of, by = of[order], by[order]
+            node, first, count = np.unique(by, return_index=True, return_counts=True)
+            place = used[by] + np.arange(len(by)) - np.repeat(first, count)
+            fits = place < OWED
+            more[by[fits], place[fits]] = of[fits]
+            named[of[fits]] += 1
+            used[node] = np.minimum(OWED, used[node] + count)
+        return more
 
     def _link(self, new: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
         order = np.argsort(-near, axis=1, kind="stable")
@@ -178,27 +229,27 @@ class Layer:
 class Graph:
     """Layers over a shard's vectors, the sparsest first; level 0 has all."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, links: list[np.ndarray] | None = None, roots: np.ndarray | None = None, beam: int = BEAM):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, links: list[np.ndarray] | None = None, own: dict[str, np.ndarray] | None = None, beam: int = BEAM, audited: np.ndarray | None = None):
         if links is None:  # a node is on level k with a chance of WIDTH ** -k, told by its id
             chance = (mix(ids.view(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
             level = np.floor(-np.log(np.maximum(chance, 1e-18)) / np.log(WIDTH)).astype(np.int64)
             order = np.argsort(-level, kind="stable")
             ids, counts, vectors, level = ids[order], counts[order], vectors[order], level[order]
+            audited = np.zeros(len(ids), bool) if audited is None else audited[order]
         self.ids, self.counts, self.exact = ids, counts, vectors
         self.v, self.beam = vectors.astype(np.float32), beam
         if links is None:
             sizes = [int((level >= k).sum()) for k in range(int(level[0]), -1, -1)]
             self.layers = [Layer(self.v, n, 2 * WIDTH if n == len(ids) else WIDTH) for n in sorted({*sizes, len(ids)})]
             self.beam = self._probe()
-            self.roots = self._roots()
+            own = self._own(audited)
         else:
-            self.layers, self.roots = [Layer(self.v, len(x), x.shape[1], x) for x in links], roots
+            self.layers = [Layer(self.v, len(x), x.shape[1], x) for x in links]
+        self.audits, self.roots, self.found, self.of, self.hit = (own[k] for k in OWN)
 
     def near_parts(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) of the links found by a first beam of ``beam``, so many queries at a time; full beams widen. A query's links come together."""
-        left, start = np.arange(len(q)), np.zeros(len(q), np.int64)
-        for layer in self.layers[:-1]:
-            start = layer.search(q.astype(np.float32), start, 4)[1][:, 0]
+        left, start = np.arange(len(q)), self._entries(q)
         while len(left):
             beam, over = min(beam, len(self.ids)), []
             for part in np.array_split(left, min(len(left), -(-len(left) * beam // _PAIRS))):
@@ -210,6 +261,16 @@ class Graph:
                 over.append(part[full])
             left, beam = np.concatenate(over), beam * 2
 
+    def _entries(self, q: np.ndarray) -> np.ndarray:
+        """Nodes of the layer above the ground to start from: the sparsest layers, up to ``FLAT`` nodes, are compared whole, those below searched."""
+        start, q = np.zeros((len(q), 1), np.int32), q.astype(np.float32)
+        flat = [x for x in self.layers[:-1] if x.n <= FLAT]
+        if flat:
+            start = _best(q, self.v[: flat[-1].n], ENTRIES)[1]
+        for layer in self.layers[len(flat) : -1]:
+            start = layer.search(q, start, ENTRIES)[1]
+        return start
+
     def _cosines(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         step = max(1, _PAIRS // (ids.shape[1] * q.shape[1]))
         return np.concatenate([np.einsum("qd,qkd->qk", q[k : k + step], self.exact[ids[k : k + step]]) for k in range(0, len(q), step)])
@@ -222,7 +283,7 @@ class Graph:
             yield a + k, b
 
     def audited(self, q: np.ndarray, own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """The first beam, doubled from the shard's until each query has its links, and for each query its links by a scan and how many were found.
+        """The first beam that ``fitted`` finds for audited queries, and for each one its links by a scan and how many were found.
 
         ``own`` is the node that a query is itself (-1: none), which isn't counted.
         """
@@ -231,16 +292,32 @@ class Graph:
         for a, b in self.scan_parts(q):
             other = own[a] != b
             truth.append(a[other] * n + b[other])
-        truth = np.concatenate(truth)
-        there, beam = np.bincount(truth // n, minlength=len(q)), self.beam
+        beam, truth, got = self.fitted(q, np.concatenate(truth))
+        return beam, np.bincount(truth // n, minlength=len(q)), np.bincount(truth[got] // n, minlength=len(q))
+
+    def audited_ends(self, q: np.ndarray, audit: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first beam for a block of queries from other shards, the links told by scans in which the query (one of ``audit``) or the node is audited (query * n + node), and whether each was found."""
+        n, nodes = len(self.ids), np.flatnonzero(self.audits)
+        truth = [np.zeros(0, np.int64), *[audit[a] * n + b for a, b in self.scan_parts(q[audit])]]
+        step = max(1, _PAIRS // max(1, len(nodes)))
+        for k in range(0, len(q), step):
+            a, b = np.nonzero(q[k : k + step] @ self.exact[nodes].T >= THRESHOLD)
+            truth.append((a + k) * n + nodes[b])
+        return self.fitted(q, np.unique(np.concatenate(truth)))
+
+    def fitted(self, q: np.ndarray, truth: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first beam, doubled from the shard's until each query has its links of ``truth`` (query * n + node), these links, and whether each was found."""
+        n, beam = len(self.ids), self.beam
+        asked = np.unique(truth // n)
+        there = np.bincount(truth // n, minlength=len(q))[asked]
         while beam < n:
-            found = np.zeros(len(q), np.int64)
-            for a, b in self.near_parts(q, beam):
-                found += np.bincount(truth[np.isin(truth, a * n + b)] // n, minlength=len(q))
-            if (found >= RECALL * there).all():
-                return beam, there, found
+            got = np.zeros(len(truth), bool)
+            for a, b in self.near_parts(q[asked], beam):
+                got |= np.isin(truth, asked[a] * n + b)
+            if (np.bincount(truth[got] // n, minlength=len(q))[asked] >= RECALL * there).all():
+                return beam, truth, got
             beam *= 2
-        return n, there, there
+        return n, truth, np.ones(len(truth), bool)
 
     def parts(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links of a block of queries by a first beam of ``beam`` (all nodes: a scan), so many queries at a time."""
@@ -275,17 +352,22 @@ class Graph:
             beam *= 2
         return beam
 
-    def _roots(self) -> np.ndarray:
-        """For each node the least node of its component by links inside the shard."""
-        root = np.arange(len(self.ids))
-        each = np.flatnonzero(mix(self.ids.view(np.uint64)) % np.uint64(AUDIT) == 0)
-        beam = self.audited(self.exact[each], each)[0]
+    def _own(self, audited: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the shard's own nodes: which are audited, the least node of each one's component by links inside the shard, the vectors linked there, and audits."""
+        n = len(self.ids)
+        root, found, there, seen = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        each = np.flatnonzero(audited | (mix(self.ids.view(np.uint64)) % np.uint64(AUDIT) == 0))
+        beam, there[each], seen[each] = self.audited(self.exact[each], each)
         for a, b in self.parts(self.exact, beam):
+            other = a != b
+            a, b = a[other], b[other]
+            found += np.bincount(a, weights=self.counts[b], minlength=n).astype(np.int64)
             root = _united(root, a, b)
-        return root
+        return dict(zip(OWN, (audited, root, found, np.where(audited, there, 0), np.where(audited, seen, 0)), strict=True))
 
     def write(self, out: BinaryIO) -> None:
-        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, roots=self.roots, beam=self.beam, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
+        own = dict(zip(OWN, (self.audits, self.roots, self.found, self.of, self.hit), strict=True))
+        np.savez(out, ids=self.ids, counts=self.counts, exact=self.exact, beam=self.beam, **own, **{f"layer{k:02d}": x.links for k, x in enumerate(self.layers)})
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -295,7 +377,7 @@ class Graph:
     @classmethod
     def load(cls, raw: bytes | BinaryIO) -> Graph:
         z = np.load(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
-        return cls(z["ids"], z["counts"], z["exact"], [z[k] for k in sorted(z.files) if k.startswith("layer")], z["roots"], int(z["beam"]))
+        return cls(z["ids"], z["counts"], z["exact"], [z[k] for k in sorted(z.files) if k.startswith("layer")], {k: z[k] for k in OWN}, int(z["beam"]))
 
 
 def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +404,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _build(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        g = Graph(f["node"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), _matrix(f["embedding"]))
+        audited = f["audited"].to_numpy(bool) if "audited" in f else None
+        g = Graph(f["node"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), _matrix(f["embedding"]), audited=audited)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
         name = f"{uuid.uuid4().hex}.npz"  # an attempt's own
@@ -334,38 +417,43 @@ def _build(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 
 def _query(f: pd.DataFrame) -> pd.DataFrame:
-    """For each query: the vectors linked in this shard (``found``), a link to each component there, and of audited ones the links told by a scan and found."""
+    """Links between a block of queries and a shard, told for both ends: the vectors linked (``found``), a link to each component there, and of audited ones the links told by scans and found.
+
+    For queries that are nodes of the shard all that is in its file.
+    """
     store, path = fs.FileSystem.from_uri(f["graph"].iloc[0])
     with store.open_input_file(path) as raw:
         g = Graph.load(raw)
-    node, q = f["node"].to_numpy(np.int64), _matrix(f["embedding"])
+    n = len(g.ids)
+    inside = f["home"].to_numpy() == f["shard"].to_numpy()
     order = np.argsort(g.ids, kind="stable")
-    place = np.minimum(np.searchsorted(g.ids, node, sorter=order), len(order) - 1)
-    own = np.where(g.ids[order[place]] == node, order[place], -1)
-    audit = np.flatnonzero(f["audited"].to_numpy())
-    beam, of, hit = g.audited(q[audit], own[audit])
-    found, pairs, n = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], len(g.ids)
+    own = order[np.searchsorted(g.ids, f["node"].to_numpy(np.int64)[inside], sorter=order)]
+    f = f[~inside]
+    node, copies, q = f["node"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), _matrix(f["embedding"]) if len(f) else np.zeros((0, g.exact.shape[1]))
+    beam, truth, got = g.audited_ends(q, np.flatnonzero(f["audited"].to_numpy(bool)))
+    found, back, pairs = np.zeros(len(node), np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int64)]
     for a, b in g.parts(q, beam):
-        other = own[a] != b
-        a, b = a[other], b[other]
         found += np.bincount(a, weights=g.counts[b], minlength=len(node)).astype(np.int64)
+        back += np.bincount(b, weights=copies[a], minlength=n).astype(np.int64)
         pairs.append(np.unique(a * n + g.roots[b]))  # a query's links come together
     linked, to = np.divmod(np.concatenate(pairs), n)
-    some, said = np.flatnonzero(found), np.flatnonzero(of)
-    none = lambda n: np.zeros(n, np.int64)
-    return pd.DataFrame(
-        {
-            "node": np.concatenate([node[some], node[linked], node[audit[said]]]),
-            "found": np.concatenate([found[some], none(len(linked)), none(len(said))]),
-            "other": np.concatenate([node[some], g.ids[to], node[audit[said]]]),
-            "of": np.concatenate([none(len(some)), none(len(linked)), of[said]]),
-            "hit": np.concatenate([none(len(some)), none(len(linked)), hit[said]]),
-        }
-    )
+    asks, ends = np.divmod(truth, n)
+    counted = lambda x, k: (np.bincount(x, minlength=k), np.bincount(x[got], minlength=k))
+    parts = [(node, found, *np.where(f["audited"].to_numpy(bool), counted(asks, len(node)), 0)), (g.ids, back, *np.where(g.audits, counted(ends, n), 0)), (g.ids[own], g.found[own], g.of[own], g.hit[own])]
+    told = pd.concat([pd.DataFrame({"node": i, "found": x, "other": i, "of": y, "hit": z}) for i, x, y, z in parts])
+    joins = [(node[linked], g.ids[to]), (g.ids[own], g.ids[g.roots[own]])]
+    joins = pd.concat([pd.DataFrame({"node": i, "found": 0, "other": x, "of": 0, "hit": 0}) for i, x in joins])
+    return pd.concat([told[(told["found"] > 0) | (told["of"] > 0)], joins[joins["node"] != joins["other"]]])
+
 
+def _asked(dealt: DataFrame, shards: int) -> DataFrame:
+    """Vectors with each shard that is asked for them: their own (``home``), which tells what its file says, and those up to half way round after it.
 
-def _each(n: int):
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    So of two shards one is asked for the other's vectors, each shard about as often.
+    """
+    ahead = F.when(F.col("home") < shards // 2, shards // 2).otherwise((shards - 1) // 2)
+    asked = dealt.withColumnRenamed("shard", "home").withColumn("ahead", F.explode(F.sequence(F.lit(0), ahead)))
+    return asked.withColumn("shard", F.pmod(F.col("home") + F.col("ahead"), F.lit(shards))).drop("ahead")
 
 
 def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
@@ -377,13 +465,13 @@ def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
     good = rows.where(usable)
     classes = held(good.groupBy("embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.col("vec_id") % AUDIT == 0, F.lit(False))).alias("audited")))
     size = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
-    # by memory, and for small tables as many as there are cores for, but none too small: every shard is queried for every vector
-    shards = max(1, -(-size.n * size.dim * 12 // SHARD_BYTES), min(8, -(-size.n // SHARD_LEAST)))
+    # by memory, and for small tables a few for the sake of more tasks, but none too small: each more is half a search more for every vector
+    shards = max(1, -(-size.n * size.dim * 12 // SHARD_BYTES), min(SHARDS, -(-size.n // SHARD_LEAST)))
     blocks = max(1, -(-size.n // BLOCK))
     dealt = classes.select("node", "copies", "embedding", "audited", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
     # heavy work on few rows: the numbers of partitions are given, or they would be merged by size
     graphs = held(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build(new_folder(vectors.sparkSession, "graphs")), "dim int, shard long, graph string"))
-    asked = dealt.select("node", "embedding", "dim", "block", "audited", _each(shards).alias("shard")).join(bounded_broadcast(graphs), ["dim", "shard"])
+    asked = _asked(dealt, shards).join(bounded_broadcast(graphs), ["dim", "shard"])
     key = ["dim", "shard", "block"]
     answers = held(asked.repartition(shards * blocks, *key).groupBy(*key).applyInPandas(_query, "node long, found long, other long, of long, hit long"))
     links = answers.groupBy("node").agg(F.sum("found").alias("found"), F.sum("of").alias("of"), F.sum("hit").alias("hit"))

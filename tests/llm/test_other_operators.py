@@ -101,6 +101,23 @@ def test_a_class_is_audited_by_any_of_its_ids(spark):
     assert got[37] == got[100] == (2, 1.0) and got[38] == (2, None)
 
 
+def test_a_node_is_named_by_its_neighbours():
+    """Among vectors without near ones a node that others crowd out of all lists is met by no beam, unless the beam grows with the shard."""
+    rng = np.random.default_rng(14)
+    v = hnsw.unit(rng.normal(size=(4000, 64)))
+    links = hnsw.Graph(np.arange(4000), np.ones(4000, np.int64), v).layers[-1].links
+    assert np.bincount(links[links >= 0], minlength=4000).min() >= hnsw.NAMED
+    assert (np.sort(links, axis=1)[:, 1:] == np.sort(links, axis=1)[:, :-1])[np.sort(links, axis=1)[:, 1:] >= 0].sum() == 0
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 6])
+def test_of_two_shards_one_is_asked(spark, shards):
+    dealt = spark.range(shards * 3).select(F.col("id").alias("node"), F.pmod("id", F.lit(shards)).alias("shard"))
+    got = [(r.node, r.home, r.shard) for r in hnsw._asked(dealt, shards).collect()]
+    pairs = [(a, b) for a in range(shards) for b in range(a, shards)]
+    assert sorted({tuple(sorted(x[1:])) for x in got}) == pairs and len({x[1:] for x in got}) == len(pairs) and len(got) == 3 * len(pairs)
+
+
 PAGES = [(1, "a\r\nb é", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (1, "q", "x"), (None, "u", "zz"), (8, "v", "é" * 700_000), (9, "w", "x\r\n\r\nWARC/1.1")]
 
 
