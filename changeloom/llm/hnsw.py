@@ -83,6 +83,18 @@ def _spread_rows(near, ids, vectors, width):
     return out
 
 
+def _paired(q: np.ndarray, row: np.ndarray, v: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Products of a row of ``q`` with a row of ``v`` each, so few at a time that they stay in the cache."""
+    out, step = np.empty(len(row), np.float32), 4096
+    a, b = np.empty((2, min(step, len(row)), q.shape[1]), np.float32)
+    for k in range(0, len(row), step):
+        n = min(step, len(row) - k)
+        np.take(q, row[k : k + n], axis=0, out=a[:n], mode="clip")
+        np.take(v, node[k : k + n], axis=0, out=b[:n], mode="clip")
+        np.einsum("ed,ed->e", a[:n], b[:n], out=out[k : k + n])
+    return out
+
+
 def _best(q: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` (or all) of ``nodes`` closest to each query, compared with all of them: cosines and places, in no order."""
     k, step = min(k, len(nodes)), max(1, _PAIRS // len(nodes))
@@ -135,7 +147,7 @@ class Layer:
             at = np.flatnonzero(~seen[place])
             seen[place.reshape(-1)[at]] = True
             row, node = at // fresh.shape[1], fresh.reshape(-1)[at]
-            sim = np.einsum("ed,ed->e", q[live[row]], self.v[node])
+            sim = _paired(q, live[row], self.v, node)
             # those that enter the beam, packed to the left
             enter = sim > own_near.min(axis=1)[row]
             row, node, sim = row[enter], node[enter], sim[enter]
@@ -478,11 +490,12 @@ def near_duplicates(vectors: DataFrame, with_recall: bool = False) -> DataFrame:
     roots = connected_components(answers.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    code = F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0; rows are sorted by it, vectors compared where it is equal
     named = joined.join(least, "root").join(links, "node", "left")
-    named = held(named.select(F.col("embedding").alias("key"), "component_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("of") > 0, F.col("hit") / F.col("of")).alias("recall"), F.col("copies").alias("n")))
+    named = held(named.select(code.alias("code"), F.col("embedding").alias("key"), "component_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("of") > 0, F.col("hit") / F.col("of")).alias("recall"), F.col("copies").alias("n")))
     # by the class's own vector, a very common one dealt to several tasks; rows that are linked with nothing have none
-    keyed = rows.select("vec_id", "row", F.when(usable, F.col("embedding")).alias("key"))
-    out = spread_join(keyed, named.drop("n"), "key", "row", "left", named.select("key", "n"))
+    keyed = rows.select("vec_id", "row", code.alias("code"), F.when(usable, F.col("embedding")).alias("key"))
+    out = spread_join(keyed, named.drop("n"), ["code", "key"], "row", "left", named.select("code", "key", "n"))
     component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), "recall")
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -101,6 +101,12 @@ def test_a_class_is_audited_by_any_of_its_ids(spark):
     assert got[37] == got[100] == (2, 1.0) and got[38] == (2, None)
 
 
+def test_signed_zeros_are_equal(spark):
+    rows = [(5, [0.0, 1.0]), (4, [-0.0, 1.0]), (7, [1.0, -0.0]), *[(10 + k, [-0.0 if k % 2 else 0.0, -3.0]) for k in range(300)]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {5: (1, 4), 4: (1, 4), 7: (0, 7), **{10 + k: (299, 10) for k in range(300)}}
+
+
 def test_a_node_is_named_by_its_neighbours():
     """Among vectors without near ones a node that others crowd out of all lists is met by no beam, unless the beam grows with the shard."""
     rng = np.random.default_rng(14)
